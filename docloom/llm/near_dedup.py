@@ -29,7 +29,9 @@ TREES = 10
 FIRST_LEVELS = 3
 NEXT_LEVELS = 2
 ROUNDS = 4
-SMALL = 48
+SMALL = 256
+#: Nodes above this size have several centres, of which each member is compared with every one.
+WIDE, CENTRES = 16, 4
 #: 128 one-bit minwise hashes agree on 0.875 at similarity 0.75, with a standard error of 0.029.
 LEAST_AGREEING = 98
 SHARE, OF = 75, 100
@@ -85,13 +87,13 @@ def _sets(batches):
         )
 
 
-def branch(paths: np.ndarray, who: np.ndarray, signatures: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
-    """Children of the given nodes after so many levels: (path, row of signatures)."""
+def branch(paths: np.ndarray, who: np.ndarray, signatures: np.ndarray, levels: int, twofold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Children of the given nodes after so many levels: (path, row of signatures); twofold: some nodes branch twice."""
     for _ in range(levels):
         draw = mix(paths)
         first = (draw % U(COORDINATES)).astype(np.int64)
         step = U(1) + (draw >> U(16)) % U(COORDINATES - 1)
-        twice = (draw >> U(40)) % U(3) == 0
+        twice = ((draw >> U(40)) % U(3) == 0) & twofold
         second = ((first.astype(np.uint64) + step) % U(COORDINATES)).astype(np.int64)[twice]
 
         def child(p, w, c):
@@ -123,7 +125,7 @@ def _plant(batches):
 def _grow(batches):
     for batch in batches:
         paths, ids = batch.column("path").to_numpy().view(np.uint64), batch.column("id").to_numpy()
-        paths, who = branch(paths, np.arange(len(ids)), _matrix(batch.column("signature")), NEXT_LEVELS)
+        paths, who = branch(paths, np.arange(len(ids)), _matrix(batch.column("signature")), NEXT_LEVELS, twofold=False)
         yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), pa.array(ids[who])], names=["path", "id"])
 
 
@@ -133,7 +135,7 @@ def _compare(batches):
         lists = batch.column("members")
         flat = lists.flatten()
         who, comp, s1, s2, block = (flat.field(i).to_numpy() for i in range(5))
-        at, out = np.cumsum([0] + pc.list_value_length(lists).to_pylist()), [np.zeros((0, 2), np.int64)]
+        at, pairs, groups = np.cumsum([0] + pc.list_value_length(lists).to_pylist()), [], []
         for k in range(len(at) - 1):
             i, j = (x + at[k] for x in np.triu_indices(at[k + 1] - at[k], 1))
             keep = (comp[i] != comp[j]) & ((block[i] != block[j]) | (block[i] < 0))
@@ -141,15 +143,63 @@ def _compare(batches):
             differ = sum(np.bitwise_count((s[i] ^ s[j]).view(np.uint64)).astype(int) for s in (s1, s2))
             good = 128 - differ >= LEAST_AGREEING
             i, j = i[good], j[good]
-            out.append(np.stack([np.minimum(who[i], who[j]), np.maximum(who[i], who[j])], axis=1))
-        pairs = np.unique(np.concatenate(out), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            both = np.unique(np.concatenate([i, j]))
+            if len(i) <= 2 * len(both):
+                pairs.append(np.stack([np.minimum(who[i], who[j]), np.maximum(who[i], who[j])], axis=1))
+            else:
+                key = int(mix(np.sort(who[both]).view(np.uint64)).sum(dtype=np.uint64).astype(np.int64))
+                groups.append(np.stack([np.full(len(both), key), who[both]], axis=1))
+        none = [np.zeros((0, 2), np.int64)]
+        pairs, groups = np.unique(np.concatenate(pairs + none), axis=0), np.concatenate(groups + none)
+        kind = np.repeat([0, 1], [len(pairs), len(groups)])
+        rows = np.concatenate([pairs, groups])
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["kind", "a", "b"])
+
+
+def _confirm_groups(batches):
+    """Links that join all that is linked within each group, by full sets."""
+    for batch in batches:
+        lists = batch.column("members")
+        flat, at = lists.flatten(), np.cumsum([0] + pc.list_value_length(lists).to_pylist())
+        ids, inner = flat.field(0).to_numpy(), flat.field(1)
+        values, begin = inner.flatten().to_numpy(), np.cumsum([0] + pc.list_value_length(inner).to_pylist())
+        links = []
+        for k in range(len(at) - 1):
+            n, lo = int(at[k + 1] - at[k]), int(at[k])
+            sizes = begin[lo + 1 : lo + n + 1] - begin[lo : lo + n]
+            owner = np.repeat(np.arange(n), sizes)
+            _, column, count = np.unique(values[begin[lo] : begin[lo + n]], return_inverse=True, return_counts=True)
+            shared = np.cumsum(count > 1) - 1
+            owner, column = owner[count[column] > 1], shared[column[count[column] > 1]]
+            common = np.zeros((n, n), dtype=np.float32)
+            for c in range(0, len(set(column.tolist())), 4096):
+                part = (column >= c) & (column < c + 4096)
+                inc = np.zeros((n, 4096), dtype=np.float32)
+                inc[owner[part], column[part] - c] = 1
+                common += inc @ inc.T
+            near = OF * common >= SHARE * (sizes[:, None] + sizes[None, :] - common)
+            seen = np.zeros(n, dtype=bool)
+            for i in range(n):
+                todo = [] if seen[i] else [i]
+                seen[i] = True
+                while todo:
+                    x = todo.pop()
+                    for y in np.flatnonzero(near[x] & ~seen):
+                        seen[y] = True
+                        todo.append(y)
+                        links.append((ids[lo + x], ids[lo + y]))
+        pairs = np.array(links, dtype=np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1, initial=2**63 - 1)), pa.array(pairs.max(axis=1, initial=-(2**63)))], names=["a", "b"])
+
+
+def set_table(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, shingles) of the given distinct doc_ids."""
+    return cut(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>"))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the distinct pairs (a, b) that are linked, by their full sets."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = cut(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>"))
+    sets = set_table(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), docs)
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -184,7 +234,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sizes = nodes.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
     nodes = cut(nodes.join(sizes, "path"))
     central = nodes.groupBy("id").agg(F.sum("n").alias("weight"))
-    hub = nodes.join(central, "id").groupBy("path").agg(F.max(F.struct("weight", "id")).alias("h"))
+    part = F.when(F.col("n") > WIDE, F.pmod(F.xxhash64("id"), F.lit(CENTRES))).otherwise(0).alias("part")
+    hub = nodes.join(central, "id").groupBy("path", part).agg(F.max(F.struct("weight", "id")).alias("h"))
     hub = hub.select("path", F.col("h.id").alias("a"))
     star = nodes.join(hub, "path").where("a != id").select("a", F.col("id").alias("b")).distinct()
     sketch = solo.select("id", "s1", "s2")
@@ -211,14 +262,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             mark = F.when(F.col("x") == F.col("y"), F.lit(-1).cast("long")).otherwise(F.col("block"))
             dealt = dealt.select("path", "x", "y", F.struct("id", "component", "s1", "s2", mark.alias("block")).alias("m"))
             groups = groups.union(dealt.groupBy("path", "x", "y").agg(F.collect_list("m").alias("members")).select("members"))
-        pairs = cut(groups.mapInArrow(_compare, "a long, b long").distinct())
+        pairs = cut(groups.mapInArrow(_compare, "kind long, a long, b long").distinct())
         found = pairs if found is None else found.union(pairs)
         if last or large.isEmpty():
             break
         grown = large.select("path", "id").join(solo.select("id", "signature"), "id")
         rest = grown.select("path", "id", "signature").mapInArrow(_grow, "path long, id long")
         rest = rest.distinct()
-    extra = confirm(cut(found.distinct().join(star, ["a", "b"], "left_anti")), docs)
+    pairs = found.where("kind = 0").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    extra = confirm(cut(pairs), docs)
+    dense = cut(found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("id")).distinct())
+    if not dense.isEmpty():
+        sets = set_table(dense.select(F.col("id").alias("doc_id")).distinct(), docs)
+        dense = dense.join(sets, "id").groupBy("key").agg(F.collect_list(F.struct("id", "shingles")).alias("members"))
+        extra = extra.union(cut(dense.select("members").mapInArrow(_confirm_groups, "a long, b long").distinct()))
     comps = components(links.union(extra))
 
     same = features.join(folded, ["d1", "d2"], "left").where("n_shingles > 0 AND doc_id IS NOT NULL")
