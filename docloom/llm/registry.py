@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import mixing, near_dedup, url_filter
 from .common import table
 
 
@@ -12,5 +12,13 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup}
-ORACLES: dict[str, str] = {}
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op6_mixing": op6_mixing, "op9_url_filter": op9_url_filter}
+ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op9_url_filter": url_filter.oracle()}
