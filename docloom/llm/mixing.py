@@ -56,7 +56,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE_OF_AL
     up = every.orderBy("full_at", "source_rank").rowsBetween(W.unboundedPreceding, -1)
     s = s.withColumn("filled", F.coalesce(F.sum("cap").over(up), F.lit(0))).withColumn("w_left", F.sum("w").over(every) - F.coalesce(F.sum("w").over(up), F.lit(0.0)))
     s = s.withColumn("level", (share * F.sum("source_size").over(every) - F.col("filled")) / F.col("w_left"))
-    s = s.withColumn("level", F.min(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(every))
+    s = s.withColumn("level", F.max(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(every))
     target = F.least(F.col("cap").cast("double"), F.col("w") * F.col("level"))
     return s.select("source", "source_size", "source_rank", F.coalesce(target, F.lit(0.0)).alias("target"))
 
@@ -125,7 +125,7 @@ filling AS (
          sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, source_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w_left
   FROM weighed),
 levels AS (SELECT *, (1.5 * (sum(source_size) OVER ())::DOUBLE - filled::DOUBLE) / w_left AS l FROM filling),
-leveled AS (SELECT *, min(CASE WHEN l <= full_at THEN l END) OVER () AS level FROM levels),
+leveled AS (SELECT *, max(CASE WHEN l <= full_at THEN l END) OVER () AS level FROM levels),
 targets AS (SELECT source, source_size, source_rank, least(cap::DOUBLE, w * level) AS target FROM leveled),
 blocks AS (
   SELECT *, greatest(16, least(1024, floor(sum(target) OVER () / (200 * count(*) OVER ()))))::BIGINT AS block,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dedup, url_filter
+from . import mixing, near_dedup, packing, url_filter
 from .common import table
 
 
@@ -16,9 +16,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op6_mixing": op6_mixing, "op9_url_filter": op9_url_filter}
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op6_mixing": op6_mixing, "op7_packing": op7_packing, "op9_url_filter": op9_url_filter}
 ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op9_url_filter": url_filter.oracle()}

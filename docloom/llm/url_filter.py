@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, functions as F
 # fixed values: rules as (host, path prefix, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 # fixed values: the vocabulary
-STRICT = ("porn", "xxx", "sex", "nude", "nsfw", "casino", "gambling", "viagra", "escort", "hentai", "warez", "malware", "phishing", "spam")
-SOFT = ("adult", "bet", "bonus", "cheap", "click", "crack", "dating", "deal", "download", "farm", "free", "hot", "keygen", "loan", "lottery", "pills", "poker", "promo", "replica", "serial", "torrent", "winner")
+STRICT = ("adult", "porn", "xxx", "sex", "nude", "nsfw", "casino", "gambling", "viagra", "escort", "hentai", "warez", "malware", "phishing", "spam")
+SOFT = ("ads", "bet", "bets", "bonus", "cheap", "click", "crack", "dating", "deal", "download", "farm", "free", "hot", "keygen", "loan", "lottery", "pills", "poker", "promo", "replica", "serial", "torrent", "track", "win", "winner")
 SOFT_LIMIT = 2
 
 
