@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dedup, packing, url_filter
+from . import mixing, near_dedup, packing, toxicity, url_filter
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -24,5 +28,5 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op6_mixing": op6_mixing, "op7_packing": op7_packing, "op9_url_filter": op9_url_filter}
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op3_toxicity": op3_toxicity, "op6_mixing": op6_mixing, "op7_packing": op7_packing, "op9_url_filter": op9_url_filter}
 ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op9_url_filter": url_filter.oracle()}
