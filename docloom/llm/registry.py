@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dedup, packing, toxicity, url_filter
+from . import html_text, mixing, near_dedup, packing, quality, toxicity, url_filter
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -28,5 +32,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op3_toxicity": op3_toxicity, "op6_mixing": op6_mixing, "op7_packing": op7_packing, "op9_url_filter": op9_url_filter}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op3_toxicity": op3_toxicity, "op4_quality": op4_quality, "op6_mixing": op6_mixing, "op7_packing": op7_packing, "op9_url_filter": op9_url_filter, "op10_html_text": op10_html_text}
 ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op9_url_filter": url_filter.oracle()}
