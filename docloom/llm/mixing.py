@@ -103,12 +103,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE_OF_ALL, limit: in
 
 
 def take(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The mix itself: the rows of docs that it takes, with `copies`, how often (a started pass counts as one).
-
-    Documents are kept whole here: a document of which any word is taken stays.
-    """
-    taken = mix(docs, seed=seed).where("taken > 0").select("doc_id", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    return docs.join(taken.dropDuplicates(["doc_id"]), "doc_id").select(*docs.columns, "copies")
+    """The mix itself: the rows of docs (same columns), each as often as the mix takes it, rounded to whole documents."""
+    taken = mix(docs, seed=seed).where("taken > 0")
+    taken = taken.groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("copies")).where("copies > 0")
+    both = docs.join(taken, "doc_id").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return both.select(*docs.columns)
 
 
 #: DuckDB's statement of the same result.
