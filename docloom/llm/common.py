@@ -48,6 +48,8 @@ def slices(texts: list[bytes], most: int = SLICE_BYTES):
         yield start, len(texts)
 
 
+#: A filter of ids has 16 bits for each, between these bounds; beyond the upper one (32 MB) it only lets more rows through.
+FILTER_BITS = (1 << 16, 1 << 28)
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -103,6 +105,27 @@ def shingle_hashes(words: np.ndarray) -> np.ndarray:
     return mix(total)
 
 
+class IdFilter:
+    """A bitmap of bounded size that says no only for ids that aren't in `ids` (one column); what it lets through is joined later."""
+
+    def __init__(self, ids: DataFrame):
+        n = ids.count()
+        self.bits = bits = min(max(1 << max(0, 16 * n - 1).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+
+        def places(batches):
+            for batch in batches:
+                p = mix(batch.column(0).to_numpy().view(np.uint64)) % U(bits)
+                yield pa.RecordBatch.from_arrays([pa.array((p >> U(5)).view(np.int64)), pa.array((U(1) << (p & U(31))).view(np.int64))], names=["w", "b"])
+
+        words = ids.mapInArrow(places, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # bits / 32 rows at most
+        self.map = np.zeros(bits // 32, dtype=np.uint32)
+        self.map[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
+
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        p = mix(ids.view(np.uint64)) % U(self.bits)
+        return (self.map[(p >> U(5)).view(np.int64)] >> (p & U(31)).astype(np.uint32)) & 1 == 1
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): smallest id reachable over edges (a, b); ids that have no edge are left out.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U, components, cut, mix, shingle_hashes, slices, text_bytes, word_hashes
+from .common import IdFilter, U, components, cut, mix, shingle_hashes, slices, text_bytes, word_hashes
 
 COORDINATES = 128
 TREES = 10
@@ -77,14 +77,17 @@ def _features(batches):
         )
 
 
-def _sets(batches):
-    for batch in batches:
-        sets = list(shingle_sets(text_bytes(batch.column("text"))))
-        at = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
-        values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(values))], names=["id", "shingles"]
-        )
+def _sets(wanted: IdFilter):
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            keep = np.flatnonzero(wanted(ids))
+            sets = list(shingle_sets(text_bytes(batch.column("text").take(pa.array(keep)))))
+            at = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
+            values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.ListArray.from_arrays(pa.array(at), pa.array(values))], names=["id", "shingles"])
+
+    return run
 
 
 def branch(paths: np.ndarray, who: np.ndarray, signatures: np.ndarray, levels: int, twofold: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -193,8 +196,9 @@ def _confirm_groups(batches):
 
 
 def set_table(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, shingles) of the given distinct doc_ids."""
-    return cut(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>"))
+    """(id, shingles) of the given distinct doc_ids, and a few more; texts are read where they lie, not shuffled."""
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    return cut(rows.mapInArrow(_sets(IdFilter(ids)), "id long, shingles array<long>"))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
