@@ -1,4 +1,459 @@
 """Named queries over the driver's tables and the SQL that states their results."""
 
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import text as T
+from ..operators import answer, chunk, corpus, facts, search, segment
+from ..streaming import ingest
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+# --- SQL shared by the oracles ---
+_NORM = "trim(regexp_replace(replace(lower({0}), 'ß', 'ss'), '\\s+', ' ', 'g'))"
+_FOLD = "translate(replace(lower({0}), 'ß', 'ss'), '" + T.ACCENTED + "', '" + T.BASES + "')"
+_WORDS = "regexp_extract_all({0}, '\\S+')"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(f"SELECT doc_id, sha256({_NORM.format('text')}) AS text_sha256, length({_NORM.format('text')})::INT AS norm_chars FROM documents")
+def text_fingerprint(t) -> DataFrame:
+    text = F.col("text")
+    return t("documents").select("doc_id", T.fingerprint(text).alias("text_sha256"), F.length(T.squeeze(T.casefold(text))).alias("norm_chars"))
+
+
+@query(f"""
+WITH k AS (SELECT doc_id, sha256({_NORM.format("text")}) AS key FROM documents),
+g AS (SELECT key, count(*) AS group_size, min(doc_id) AS first FROM k GROUP BY key),
+r AS (SELECT key, printf('dup-%02d', row_number() OVER (ORDER BY first)) AS label FROM g WHERE group_size > 1)
+SELECT doc_id, coalesce(label, '') AS duplicate_group, group_size FROM k JOIN g USING (key) LEFT JOIN r USING (key)""")
+def duplicate_groups(t) -> DataFrame:
+    return corpus.duplicate_groups(t("documents"), T.fingerprint(F.col("text")))
+
+
+@query(f"""
+WITH k AS (SELECT doc_id, source, sha256({_NORM.format("text")}) AS key FROM documents),
+c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY source, key) AS canonical_id FROM k)
+SELECT doc_id, canonical_id, CASE WHEN doc_id = canonical_id THEN 'converted' ELSE 'duplicate_skipped' END AS status FROM c""")
+def canonical_aliases(t) -> DataFrame:
+    return corpus.canonical_aliases(t("documents"), "source", T.fingerprint(F.col("text")))
+
+
+@query(f"""
+WITH k AS (
+  SELECT source, sha256({_NORM.format("text")}) AS key, count(*) AS n, sum(len(string_split(text, chr(10)))) AS lines,
+         sum(length(text)) AS chars, sum((length(text) < 1000)::INT) AS low FROM documents GROUP BY 1, 2)
+SELECT source, sum(n)::BIGINT AS documents, sum(lines)::BIGINT AS lines, sum(chars)::BIGINT AS text_chars, sum(low)::BIGINT AS low_text,
+       sum((n > 1)::INT)::BIGINT AS duplicate_groups, sum(n - 1)::BIGINT AS duplicates FROM k GROUP BY source""")
+def corpus_inventory(t) -> DataFrame:
+    return corpus.inventory(t("documents"))
+
+
+_TITLE_OK = " AND ".join(f"NOT starts_with(lower(x), '{p}')" for p in T.BOILERPLATE)
+
+
+@query(rf"""
+WITH l AS (SELECT doc_id, source, list_transform(string_split(text, chr(10))[1:25], lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) AS lines FROM documents)
+SELECT doc_id, coalesce(list_filter(lines, lambda x: {_TITLE_OK} AND NOT regexp_full_match(x, '\d+\s*/\s*\d+') AND length(x) BETWEEN 4 AND 120)[1], source) AS title FROM l""")
+def title_guess(t) -> DataFrame:
+    return t("documents").select("doc_id", T.title_guess(F.col("text"), F.col("source")).alias("title"))
+
+
+@query(f"""
+SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace({_FOLD.format("url")}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'documento') AS slug FROM pages""")
+def slug_identity(t) -> DataFrame:
+    return t("pages").select("page_id", T.slug(F.col("url")).alias("slug"))
+
+
+@query(rf"""
+WITH l AS (
+  SELECT doc_id, list_filter(list_transform(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))),
+    lambda x: NOT (replace(lower(x), 'ß', 'ss') = replace(lower(source), 'ß', 'ss') OR regexp_matches(lower(x), 'fecha de emisi[oó]n:.*msds no\.') OR regexp_full_match(x, '\d+\s*/\s*\d+'))) AS lines
+  FROM documents),
+m AS (SELECT doc_id, list_transform(lines, lambda x: regexp_replace(regexp_replace(x, '^[•●▪▫]\s*', '- '), '^\(?([a-z])\)\s+', '- (\1) ')) AS lines FROM l),
+j AS (SELECT doc_id, trim(regexp_replace(regexp_replace(array_to_string(lines, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g')) AS md FROM m)
+SELECT doc_id, length(md)::INT AS chars, sha256(md) AS md_sha256 FROM j""")
+def line_normalise(t) -> DataFrame:
+    md = T.markdown_text(F.col("text"), F.col("source"))
+    return t("documents").select("doc_id", F.length(md).alias("chars"), F.sha2(md, 256).alias("md_sha256"))
+
+
+@query(f"SELECT doc_id, greatest(1, len({_WORDS.format('text')}))::INT AS tokens, array_to_string({_WORDS.format('text')}[-5:], ' ') AS tail FROM documents")
+def token_estimate(t) -> DataFrame:
+    return t("documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"), T.tail_words(F.col("text"), 5).alias("tail"))
+
+
+_WINDOWS = f"""
+w AS (SELECT doc_id, {_WORDS.format("text")} AS words FROM documents),
+s AS (SELECT doc_id, words, list_filter(range(0, len(words), 100), lambda i: i = 0 OR i - 100 + 120 < len(words)) AS starts FROM w),
+c AS (SELECT doc_id, len(starts) AS n, unnest(starts) AS st, words FROM s),
+chunks AS (SELECT doc_id, (st // 100 + 1)::INT AS chunk_index, n::INT AS chunk_count, words[st + 1:st + 120] AS cw FROM c)"""
+
+
+@query(f"WITH {_WINDOWS} SELECT doc_id, chunk_index, chunk_count, len(cw)::INT AS tokens, sha256(array_to_string(cw, ' ')) AS content_sha256 FROM chunks")
+def word_windows(t) -> DataFrame:
+    c = chunk.word_windows(t("documents"), 120, 20)
+    return c.select("doc_id", "chunk_index", "chunk_count", "tokens", F.sha2("content", 256).alias("content_sha256"))
+
+
+@query(r"""
+WITH RECURSIVE p AS (
+  SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_extract_all(x, '\S+')), lambda w: len(w) > 0) AS paras FROM documents),
+f AS (
+  SELECT doc_id, 0 AS i, []::VARCHAR[] AS cur, []::VARCHAR[][] AS chunks, paras FROM p
+  UNION ALL
+  SELECT doc_id, i + 1,
+    CASE WHEN len(paras[i + 1]) > 60 THEN []::VARCHAR[] WHEN len(cur) > 0 AND len(cur) + len(paras[i + 1]) > 60 THEN list_concat(cur[-10:], paras[i + 1]) ELSE list_concat(cur, paras[i + 1]) END,
+    CASE WHEN len(paras[i + 1]) > 60 THEN list_concat(CASE WHEN len(cur) > 0 THEN list_append(chunks, cur) ELSE chunks END,
+           list_transform(list_filter(range(0, len(paras[i + 1]), 50), lambda s: s = 0 OR s - 50 + 60 < len(paras[i + 1])), lambda s: paras[i + 1][s + 1:s + 60]))
+         WHEN len(cur) > 0 AND len(cur) + len(paras[i + 1]) > 60 THEN list_append(chunks, cur) ELSE chunks END,
+    paras FROM f WHERE i < len(paras)),
+d AS (SELECT doc_id, CASE WHEN len(cur) > 0 THEN list_append(chunks, cur) ELSE chunks END AS chunks FROM f WHERE i = len(paras)),
+u AS (SELECT doc_id, unnest(range(1, len(chunks) + 1)) AS k, chunks FROM d)
+SELECT doc_id, k::INT AS chunk_index, len(chunks[k])::INT AS tokens, sha256(array_to_string(chunks[k], ' ')) AS content_sha256 FROM u""")
+def line_packing(t) -> DataFrame:
+    return chunk.pack(t("documents"), 60, 10)
+
+
+@query(f"""
+WITH {_WINDOWS}, k AS (SELECT doc_id, len(cw) AS tokens, unnest(CASE WHEN contains(array_to_string(cw, ' '), '|') THEN ['text', 'table'] ELSE ['text'] END) AS content_type FROM chunks)
+SELECT content_type, count(*) AS chunks, count(DISTINCT doc_id) AS documents, sum(tokens)::BIGINT AS tokens FROM k GROUP BY 1""")
+def chunk_summary(t) -> DataFrame:
+    c = chunk.word_windows(t("documents"), 120, 20)
+    kinds = F.when(F.contains("content", F.lit("|")), F.array(F.lit("text"), F.lit("table"))).otherwise(F.array(F.lit("text")))
+    per_doc = c.select("doc_id", "tokens", F.explode(kinds).alias("content_type")).groupBy("content_type", "doc_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))
+    return per_doc.groupBy("content_type").agg(F.sum("n").alias("chunks"), F.count("*").alias("documents"), F.sum("t").alias("tokens"))
+
+
+@query("""
+SELECT source, count(*) AS expected, sum((l.doc_id IS NULL)::INT)::BIGINT AS missing, CASE WHEN sum((l.doc_id IS NULL)::INT) = 0 THEN 'pass' ELSE 'review' END AS status
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY source""")
+def coverage_gap(t) -> DataFrame:
+    return corpus.coverage_gap(t("documents").select("doc_id", "source"), t("labels"), "doc_id", "source")
+
+
+@query("""
+SELECT coalesce(a.id, r.id) AS id, CASE WHEN r.id IS NULL THEN 'orphan' WHEN a.id IS NULL THEN 'missing' ELSE 'both' END AS state
+FROM (SELECT DISTINCT doc_id AS id FROM documents) a FULL JOIN (SELECT DISTINCT vec_id AS id FROM embeddings) r ON a.id = r.id""")
+def two_way_diff(t) -> DataFrame:
+    return corpus.two_way_diff(t("documents").select(F.col("doc_id").alias("id")), t("embeddings").select(F.col("vec_id").alias("id")))
+
+
+def _checks() -> dict:
+    text, lines = F.col("text"), F.split("text", "\n")
+    return {
+        "has_text": F.length(F.trim(text)) > 0, "length_matches": F.length(text) == F.col("n_chars"), "enough_text": F.length(text) >= 80,
+        "known_language": F.col("lang").isin("en", "fr", "de", "es"), "no_table_marks": ~F.contains(text, F.lit("|")),
+        "no_repeated_lines": F.size(F.array_distinct(lines)) == F.size(lines), "ends_sentence": text.rlike(r"[.!?]\s*$"),
+    }
+
+
+_GATE = r"""
+c AS (SELECT doc_id, [CASE WHEN NOT (length(trim(text)) > 0) THEN 'has_text' END, CASE WHEN length(text) != n_chars THEN 'length_matches' END,
+  CASE WHEN length(text) < 80 THEN 'enough_text' END, CASE WHEN lang NOT IN ('en', 'fr', 'de', 'es') THEN 'known_language' END, CASE WHEN contains(text, '|') THEN 'no_table_marks' END,
+  CASE WHEN len(list_distinct(string_split(text, chr(10)))) != len(string_split(text, chr(10))) THEN 'no_repeated_lines' END, CASE WHEN NOT regexp_matches(text, '[.!?]\s*$') THEN 'ends_sentence' END] AS f FROM documents),
+g AS (SELECT doc_id, list_filter(f, lambda x: x IS NOT NULL) AS f FROM c),
+gate AS (SELECT doc_id, array_to_string(f, '|') AS failed, round(100.0::DOUBLE * (7 - len(f)) / 7, 2) AS quality_score, CASE WHEN len(f) = 0 THEN 'pass' ELSE 'review' END AS status FROM g)"""
+
+
+@query(f"WITH {_GATE} SELECT * FROM gate")
+def quality_gate(t) -> DataFrame:
+    return corpus.quality_gate(t("documents"), _checks())
+
+
+@query(f"""WITH {_GATE} SELECT count(*) AS validated, sum((status = 'pass')::INT)::BIGINT AS passed, sum((status != 'pass')::INT)::BIGINT AS review, round(avg(quality_score), 2) AS average_score FROM gate""")
+def quality_summary(t) -> DataFrame:
+    return corpus.quality_summary(corpus.quality_gate(t("documents"), _checks()))
+
+
+@query("""
+SELECT conv_id, turn, count(*) AS copies, sum((trim(coalesce(text, '')) = '')::INT)::BIGINT AS empty FROM conversations GROUP BY 1, 2
+HAVING count(*) > 1 OR sum((trim(coalesce(text, '')) = '')::INT) > 0""")
+def integrity_dupes(t) -> DataFrame:
+    return corpus.integrity(t("conversations"), ["conv_id", "turn"], "text")
+
+
+@query("SELECT conv_id, role, min(turn) AS turn, arg_min(text, struct_pack(t := turn, x := text)) AS text FROM conversations GROUP BY 1, 2")
+def first_turn_by_role(t) -> DataFrame:
+    return segment.first_by(t("conversations"), ["conv_id", "role"], ["turn"])
+
+
+@query("""
+SELECT conv_id, list_sort(list_filter(range(0, max(turn) + 1), lambda x: NOT list_contains(list(turn), x))) AS missing FROM conversations GROUP BY conv_id""")
+def missing_turns(t) -> DataFrame:
+    c = t("conversations").withColumn("all", F.sequence(F.lit(0).cast("long"), F.col("turn")))
+    return segment.missing_numbers(c, "conv_id", "turn", F.col("all"))
+
+
+@query("""
+SELECT conv_id, turn, role, coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn, role, text), max(turn) OVER (PARTITION BY conv_id)) AS span_end,
+       coalesce(lag(turn) OVER (PARTITION BY conv_id ORDER BY turn, role, text) = turn, false) AS repeated FROM conversations""")
+def turn_spans(t) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("conv_id").orderBy("turn", "role", "text")
+    end = F.coalesce(F.lead("turn").over(w), F.max("turn").over(W.partitionBy("conv_id")))
+    return t("conversations").select("conv_id", "turn", "role", end.alias("span_end"), F.coalesce(F.lag("turn").over(w) == F.col("turn"), F.lit(False)).alias("repeated"))
+
+
+@query("""
+WITH a AS (SELECT DISTINCT conv_id, turn, length(text) AS chars FROM conversations WHERE role = 'assistant'),
+u AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'user'),
+j AS (SELECT u.conv_id, u.turn, a.chars, row_number() OVER (PARTITION BY u.conv_id, u.turn ORDER BY a.turn DESC NULLS LAST, a.chars DESC) AS r
+      FROM u LEFT JOIN a ON a.conv_id = u.conv_id AND a.turn <= u.turn + 1)
+SELECT conv_id, turn, coalesce(chars, 1)::INT AS attributed FROM j WHERE r = 1""")
+def asof_attribution(t) -> DataFrame:
+    c = t("conversations")
+    users = c.where("role = 'user'").select("conv_id", "turn").distinct()
+    return segment.as_of(users, c.where("role = 'assistant'").select("conv_id", "turn", F.length("text").alias("chars")), "conv_id", "turn", 1, "chars", 1)
+
+
+@query(r"""
+SELECT doc_id, item_id, strpos(d.text, b.text)::INT AS place, ((strpos(d.text, b.text) - 1) // 1000)::INT AS block FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
+def range_attribution(t) -> DataFrame:
+    """Where each benchmark passage stands in each document: an equi-join on its first five words, then the exact test."""
+    w = T.words(F.col("text"))
+
+    def keys(w):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1)))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(5)), " "))))
+
+    docs = t("documents").select("doc_id", F.explode(T.let(w, keys)).alias("key"))
+    items = t("benchmark").select("item_id", F.col("text").alias("item"), F.xxhash64(F.array_join(F.slice(w, 1, 5), " ")).alias("key"))
+    met = docs.join(search.small(items), "key").select("doc_id", "item_id", "item").distinct()
+    place = F.instr("text", F.col("item"))
+    return met.join(t("documents").select("doc_id", "text"), "doc_id").where(place > 0).select("doc_id", "item_id", place.alias("place"), F.floor((place - 1) / 1000).cast("int").alias("block"))
+
+
+_FIXTURE = [
+    (1, 1, "Ficha\nSECCIÓN 1: Identificación de la sustancia o la mezcla\nTexto de la parte. Ver sección 3:\nComponentes no aplica\nSección 02 - Identificación de los peligros\nH315"),
+    (1, 2, "Section 3. Composición/información sobre los componentes\n| CAS | 67-64-1 |\nsección 4: ab\nSeccion 4 Primeros auxilios en caso de duda Sección 5: Medidas de lucha contra incendios"),
+    (2, 1, "sección 16: Otra información\nSeccion 14: Información relativa al transporte\nUN 1263 3 II"),
+    (3, 1, "sin encabezados"),
+]
+_TITLES = list(segment.SECTION_TITLES.items())
+
+
+def _literal(rows) -> str:
+    def one(v):
+        return str(v) if isinstance(v, int) else "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+
+
+def _heading_sql(c: str) -> str:
+    return f"trim(regexp_replace({_FOLD.format(c)}, '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(rf"""
+WITH pages(doc_id, page, text) AS (VALUES {_literal(_FIXTURE)}), titles(number, expected) AS (VALUES {_literal(_TITLES)}),
+m AS (SELECT doc_id, page, string_split(regexp_replace(translate(text, 'áéíóúñÁÉÍÓÚÑ', 'aeiounAEIOUN'), '(?i)(?:seccion|section)\s*0?(1[0-6]|[1-9])\s*[:.\-]?\s*', chr(10) || chr(1) || '\1' || chr(2), 'g'), chr(10)) AS pieces FROM pages),
+u AS (SELECT doc_id, page, unnest(range(1, len(pieces) + 1)) AS k, pieces FROM m),
+h AS (SELECT doc_id, page, k, regexp_extract(pieces[k], '^\x01([0-9]+)', 1)::INT AS number, left(trim(regexp_replace(split_part(pieces[k], chr(2), 2), '\s+', ' ', 'g')), 180) AS title
+      FROM u WHERE starts_with(pieces[k], chr(1))),
+v AS (SELECT h.*, {_heading_sql("expected")} AS e, {_heading_sql("title")} AS c FROM h JOIN titles USING (number) WHERE length(regexp_replace(title, '[^A-Za-z]', '', 'g')) >= 3),
+s AS (SELECT *, CASE WHEN e = '' OR c = '' THEN 0 WHEN starts_with(c, e) OR starts_with(e, c) THEN 100 WHEN contains(c, e) THEN 60
+        ELSE len(list_filter(string_split(e, ' '), lambda x: length(x) > 3 AND contains(c, x))) END AS score FROM v),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, number ORDER BY score DESC, page, k) AS rn FROM s)
+SELECT doc_id::INT AS doc_id, number, page::INT AS page, title, score::INT AS score FROM r WHERE rn = 1""")
+def heading_hits(t) -> DataFrame:
+    spark = t("region").sparkSession
+    pages = spark.createDataFrame(_FIXTURE, "doc_id int, page int, text string")
+    titles = spark.createDataFrame(_TITLES, "number int, expected string")
+    return segment.best_hits(segment.section_hits(pages), titles).select("doc_id", "number", "page", "title", "score")
+
+
+@query("""
+WITH r AS (SELECT source, doc_id, n_chars, text, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents)
+SELECT source, '| doc_id | n_chars | text |' || chr(10) || '|---|---|---|' || chr(10) ||
+       string_agg('| ' || doc_id || ' | ' || n_chars || ' | ' || replace(replace(left(text, 40), '|', '&#124;'), chr(10), ' ') || ' |', chr(10) ORDER BY k) AS report FROM r WHERE k <= 3 GROUP BY source""")
+def render_report(t) -> DataFrame:
+    """The three longest documents of each source as a Markdown table."""
+    d = search.top_k(t("documents").select(F.col("source").alias("query_id"), "doc_id", "n_chars", "text"), 3, "n_chars")
+    row = F.concat(F.lit("| "), F.col("doc_id"), F.lit(" | "), F.col("n_chars"), F.lit(" | "), T.cell(F.substring("text", 1, 40)), F.lit(" |"))
+    rows = F.array_sort(F.collect_list(F.struct("rank", row.alias("r"))))
+    report = F.concat(F.lit("| doc_id | n_chars | text |\n|---|---|---|\n"), F.array_join(F.transform(rows, lambda x: x["r"]), "\n"))
+    return d.groupBy("query_id").agg(report.alias("report")).select(F.col("query_id").alias("source"), "report")
+
+
+_TERMS = f"regexp_extract_all({_FOLD.format('text')}, '[\\p{{L}}\\p{{N}}_]{{2,}}')"
+_TFIDF = f"""
+dw AS (SELECT doc_id AS id, {_TERMS} AS w FROM documents),
+qw AS (SELECT item_id AS id, {_TERMS} AS w FROM benchmark),
+dt AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM dw),
+qt AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM qw),
+tf AS (SELECT id, term, count(*) AS tf FROM dt GROUP BY 1, 2),
+vocab AS (SELECT term, count(*) AS df, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term),
+wt AS (SELECT id, term, tf * idf AS w FROM tf JOIN vocab USING (term)),
+nrm AS (SELECT id, sqrt(sum(w * w)) AS norm FROM wt GROUP BY id),
+qv AS (SELECT id AS query_id, term, count(*) * any_value(idf) AS q FROM qt JOIN vocab USING (term) GROUP BY 1, 2),
+qn AS (SELECT query_id, sqrt(sum(q * q)) AS qn FROM qv GROUP BY 1),
+tfidf AS (SELECT query_id, wt.id AS doc_id, sum(w * q) / any_value(qn) / any_value(norm) AS tfidf FROM wt JOIN qv USING (term) JOIN qn USING (query_id) JOIN nrm ON nrm.id = wt.id GROUP BY 1, 2)"""
+_STOP = ", ".join(f"'{x}'" for x in search.STOPWORDS)
+_COVERAGE = f"""
+cq AS (SELECT item_id AS query_id, list_sort(list_distinct(list_filter(regexp_extract_all({_FOLD.format("text")}, '[a-z0-9]{{4,}}'), lambda x: x NOT IN ({_STOP})))) AS wanted FROM benchmark),
+cd AS (SELECT doc_id, {_FOLD.format("text")} AS content FROM documents),
+coverage AS (SELECT query_id, doc_id, CASE WHEN len(wanted) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(wanted, lambda x: contains(content, x)))::DOUBLE / len(wanted) END AS coverage FROM cd, cq)"""
+_LEXICAL = f"{_TFIDF}, {_COVERAGE}, lexical AS (SELECT query_id, doc_id, round(coalesce(tfidf, 0) + 0.2 * coverage, 6) AS score FROM coverage LEFT JOIN tfidf USING (query_id, doc_id))"
+
+
+def _ranked(table: str, k: int, score: str = "score") -> str:
+    return f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, doc_id) AS rank FROM {table}) WHERE rank <= {k}"
+
+
+def _asked(t) -> DataFrame:
+    return t("benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+@query(f"WITH {_TFIDF} SELECT term, df, round(idf, 6) AS idf FROM vocab")
+def tfidf_vocab(t) -> DataFrame:
+    d = t("documents")
+    v = search.vocabulary(search.counts(d, "doc_id", "text"), d.agg(F.count("*").alias("n")))
+    return v.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {_TFIDF}, s AS (SELECT query_id, doc_id, round(tfidf, 6) AS score FROM tfidf) SELECT query_id, rank::INT AS rank, doc_id, score FROM {_ranked('s', 5)}")
+def tfidf_search(t) -> DataFrame:
+    s = search.tfidf_scores(t("documents"), _asked(t)).select("query_id", "doc_id", F.round("tfidf", 6).alias("score"))
+    return search.top_k(s, 5).select("query_id", "rank", "doc_id", "score")
+
+
+@query(f"WITH {_COVERAGE} SELECT query_id, doc_id, round(coverage, 6) AS coverage FROM coverage")
+def term_coverage(t) -> DataFrame:
+    return search.coverage_scores(t("documents"), _asked(t)).select("query_id", "doc_id", F.round("coverage", 6).alias("coverage"))
+
+
+_DENSE = """
+e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
+dense AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, c.label, round(list_inner_product(q.v, c.v), 6) AS score FROM e q JOIN e c ON q.vec_id != c.vec_id WHERE q.vec_id % 20 = 0)"""
+
+
+def _dense(t) -> DataFrame:
+    """Every twentieth vector as a stated question against all others."""
+    e = t("embeddings")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    both = e.join(search.small(q), F.col("vec_id") != F.col("query_id"))
+    return both.select("query_id", F.col("vec_id").alias("doc_id"), "label", F.round(search.dot(F.col("q"), F.col("embedding")), 6).alias("score"))
+
+
+@query(f"WITH {_DENSE} SELECT query_id, rank::INT AS rank, doc_id, score FROM {_ranked('dense', 5)}")
+def dense_topk(t) -> DataFrame:
+    return search.top_k(_dense(t), 5).select("query_id", "rank", "doc_id", "score")
+
+
+# each language takes the place of a section; its frequent words are the hints
+_LANG_HINTS = {1: (" the ", " of ", " and "), 2: (" der ", " und ", " die "), 3: (" le ", " la ", " des "), 4: (" el ", " los ", " que ")}
+
+
+def _hint_sql(c: str) -> str:
+    parts = [f"struct_pack(score := {' + '.join(f'''contains({c}, '{h}')::INT''' for h in hs)}, section := {k})" for k, hs in _LANG_HINTS.items()]
+    return f"list_max([{', '.join(parts)}])"
+
+
+@query(f"""
+WITH b AS (SELECT item_id, {_hint_sql(_FOLD.format("text"))} AS m, nullif(regexp_extract({_FOLD.format("text")}, '\\bseccion\\s+(1[0-6]|[1-9])\\b', 1), '')::INT AS r FROM benchmark)
+SELECT item_id, coalesce(r, CASE WHEN m.score > 0 THEN m.section END)::INT AS section,
+       CASE WHEN coalesce(r, CASE WHEN m.score > 0 THEN m.section END) IS NULL THEN 0.0 ELSE 0.36 END::DOUBLE AS boost FROM b""")
+def intent_boost(t) -> DataFrame:
+    section = F.coalesce(search.requested_section(F.col("text")), search.inferred_section(F.col("text"), _LANG_HINTS))
+    return t("benchmark").select("item_id", section.alias("section")).withColumn("boost", F.when(F.col("section").isNull(), 0.0).otherwise(2 * search.BOOST))
+
+
+@query(f"""
+WITH {_LEXICAL}, {_DENSE.replace("e AS (", "e AS (", 1)},
+q AS (SELECT item_id AS query_id, (item_id * 20) AS vec FROM benchmark),
+h AS (SELECT l.query_id, l.doc_id, round(0.55 * coalesce(dv.score, 0) + 0.25 * coalesce(tfidf, 0) + 0.2 * coverage, 6) AS score
+      FROM coverage l JOIN q USING (query_id) LEFT JOIN tfidf t ON t.query_id = l.query_id AND t.doc_id = l.doc_id
+      LEFT JOIN dense dv ON dv.query_id = q.vec AND dv.doc_id = l.doc_id)
+SELECT query_id, rank::INT AS rank, doc_id, score FROM {_ranked("h", 5)}""")
+def hybrid_search(t) -> DataFrame:
+    """Dense, lexical and coverage scores fused; question i has the vector 20 i."""
+    asked = _asked(t)
+    c, s = search.coverage_scores(t("documents"), asked), search.tfidf_scores(t("documents"), asked)
+    d = _dense(t).select((F.col("query_id") / 20).cast("long").alias("query_id"), "doc_id", F.col("score").alias("dense"))
+    both = c.join(s, ["query_id", "doc_id"], "left").join(d, ["query_id", "doc_id"], "left")
+    score = search.DENSE * F.coalesce("dense", F.lit(0.0)) + search.LEXICAL * F.coalesce("tfidf", F.lit(0.0)) + search.COVERAGE * F.col("coverage")
+    return search.top_k(both.select("query_id", "doc_id", F.round(score, 6).alias("score")), 5).select("query_id", "rank", "doc_id", "score")
+
+
+@query(f"WITH {_LEXICAL} SELECT query_id, rank::INT AS rank, doc_id, score FROM {_ranked('lexical', 5)}")
+def lexical_fallback(t) -> DataFrame:
+    return search.top_k(search.lexical(t("documents"), _asked(t)), 5).select("query_id", "rank", "doc_id", "score")
+
+
+@query(rf"""
+WITH {_LEXICAL}, top AS (SELECT * FROM {_ranked("lexical", 3)}),
+b AS (SELECT query_id, rank, '[FUENTE ' || rank || ']' || chr(10) || 'documento: ' || doc_id || chr(10) || 'fuente: ' || source || chr(10) || 'contenido:' || chr(10) || trim(left(text, 400)) AS block
+      FROM top JOIN documents USING (doc_id))
+SELECT query_id, sha256(string_agg(block, chr(10) || chr(10) ORDER BY rank)) AS context_sha256, length(string_agg(block, chr(10) || chr(10) ORDER BY rank))::INT AS chars FROM b GROUP BY query_id""")
+def context_pack(t) -> DataFrame:
+    top = search.top_k(search.lexical(t("documents"), _asked(t)), 3)
+    c = answer.context(top.join(t("documents").select("doc_id", "source", "text"), "doc_id"), 400)
+    return c.select("query_id", F.sha2("context", 256).alias("context_sha256"), F.length("context").alias("chars"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x != '') AS lines FROM documents)
+SELECT doc_id, regexp_extract(text, '([A-Za-z0-9._]+@[A-Za-z0-9.]+)', 1) AS mail, regexp_extract(text, '(\d{6,})', 1) AS digits,
+       array_to_string(list_filter(lines, lambda x: contains(lower(x), 'key') OR contains(lower(x), 'licen'))[1:8], ' / ') AS marked FROM l
+WHERE regexp_matches(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+|\d{6,}') OR len(list_filter(lines, lambda x: contains(lower(x), 'key') OR contains(lower(x), 'licen'))) > 0""")
+def literal_facts(t) -> DataFrame:
+    text = F.col("text")
+    marked = F.array_join(facts.literal_lines(text, ("key", "licen"), 8), " / ")
+    d = t("documents").select("doc_id", F.regexp_extract(text, r"([A-Za-z0-9._]+@[A-Za-z0-9.]+)", 1).alias("mail"), F.regexp_extract(text, r"(\d{6,})", 1).alias("digits"), marked.alias("marked"))
+    return d.where("mail != '' OR digits != '' OR marked != ''")
+
+
+def _router_sql(c: str) -> str:
+    q = rf"trim(regexp_replace(lower({c}), '\s+', ' ', 'g'))"
+
+    def any_of(*terms):
+        return "(" + " OR ".join(f"contains({q}, '{x}')" for x in terms) + ")"
+
+    return f"""CASE WHEN {any_of("que seccion")} THEN 'trazabilidad_seccion_extraida'
+  WHEN {any_of("cisproquim")} OR ({any_of("telefono")} AND {any_of("emerg")}) THEN 'telefono_emergencia_extraido_literalmente'
+  WHEN {any_of("telefono")} AND {any_of("proveedor", "sika colombia", "fabricante")} THEN 'telefono_proveedor_extraido_literalmente'
+  WHEN {any_of("cas", "componente", "composicion", "composición")} THEN 'cas_extraido_literalmente'
+  WHEN {any_of("onu", "transporte", "embalaje", "clase")} THEN 'transporte_extraido_literalmente'
+  WHEN {any_of("epp", "proteccion personal", "protección personal", "guantes")} THEN 'epp_extraido_literalmente'
+  WHEN {any_of("logo", "pictograma", "imagen", "ocr")} THEN 'metadatos_imagen_extraidos' ELSE 'none' END"""
+
+
+@query(f"SELECT conv_id, turn, {_router_sql('text')} AS reason FROM conversations WHERE role = 'user'")
+def intent_router(t) -> DataFrame:
+    return t("conversations").where("role = 'user'").select("conv_id", "turn", facts.route(F.col("text")).alias("reason"))
+
+
+@query(f"""
+WITH {_DENSE}, top AS (SELECT * FROM {_ranked("dense", 5)}),
+p AS (SELECT query_id, max((rank = 1 AND top.label = e.label)::INT) AS top1, max((top.label = e.label)::INT) AS topk FROM top JOIN e ON e.vec_id = query_id GROUP BY query_id)
+SELECT count(*) AS questions, round(avg(top1), 4) AS top1_accuracy, round(avg(topk), 4) AS topk_recall FROM p""")
+def eval_retrieval(t) -> DataFrame:
+    top = search.top_k(_dense(t), 5).select("query_id", "rank", F.col("label").alias("value"))
+    return answer.evaluate(top, t("embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("expected")))
+
+
+def upload_microbatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through the ingesting stream, folded by fingerprint."""
+    base = (spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="docloom-")) + "/ingest-" + uuid.uuid4().hex
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    return ingest.ingest(spark, f"{sf_dir}/documents.parquet", f"{base}/out", schema, f"{base}/state").select("text_sha256", "doc_id", "tokens")
+
+
+QUERIES["upload_microbatch"] = upload_microbatch
+ORACLES["upload_microbatch"] = f"""
+SELECT sha256({_NORM.format("text")}) AS text_sha256, min(doc_id) AS doc_id, arg_min(greatest(1, len({_WORDS.format("text")})), doc_id)::INT AS tokens FROM documents GROUP BY 1"""
