@@ -451,7 +451,7 @@ def upload_microbatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents through the ingesting stream, folded by fingerprint."""
     base = (spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="docloom-")) + "/ingest-" + uuid.uuid4().hex
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-    return ingest.ingest(spark, f"{sf_dir}/documents.parquet", f"{base}/out", schema, f"{base}/state").select("text_sha256", "doc_id", "tokens")
+    return ingest.ingest(spark, f"{sf_dir}/[d]ocuments.parquet", f"{base}/out", schema, f"{base}/state").select("text_sha256", "doc_id", "tokens")
 
 
 QUERIES["upload_microbatch"] = upload_microbatch
