@@ -27,8 +27,8 @@ from .common import IdFilter, U, components, cut, mix, shingle_hashes, slices, t
 COORDINATES = 128
 TREES = 10
 FIRST_LEVELS = 3
-NEXT_LEVELS = 2
-ROUNDS = 4
+NEXT_LEVELS = 4
+ROUNDS = 2
 SMALL = 256
 #: Nodes above this size have several centres, of which each member is compared with every one.
 WIDE, CENTRES = 16, 2
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     agreeing = 128 - F.bit_count(F.col("p1").bitwiseXOR(F.col("q1"))) - F.bit_count(F.col("p2").bitwiseXOR(F.col("q2")))
     star = cut(star.where(agreeing >= LEAST_AGREEING).select("a", "b"))
     links = confirm(star, docs)
-    comps = cut(components(links))
+    comps = cut(components(links, most_rounds=2))  # parts of components do: they only save comparisons
 
     # second pass: what is left between components
     found, rest = None, nodes.select("path", "id")
@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same = features.join(folded, ["d1", "d2"], "left").where("n_shingles > 0 AND doc_id IS NOT NULL")
     # one document may have several texts: its texts' sets are linked through it
     shared = same.where("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    twice = features.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.count_distinct("d1", "d2").alias("k")).where("k > 1")
+    twice = features.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x != y")
     shared = cut(shared.join(twice, F.col("a") == F.col("doc_id"), "left_semi"))
     if not shared.isEmpty():
         comps = components(links.union(extra).union(shared))
