@@ -53,7 +53,7 @@ def minwise(x: np.ndarray) -> np.ndarray:
     out = np.full(COORDINATES, 2**64 - 1, dtype=np.uint64)
     for i in range(0, len(x), 1024):
         out = np.minimum(out, (x[i : i + 1024, None] * _A).min(axis=0))
-    return (out >> U(32)).astype(np.uint32)
+    return (out >> U(48)).astype(np.uint16)
 
 
 FEATURES = "doc_id long, n_shingles long, d1 long, d2 long, s1 long, s2 long, signature binary"
@@ -113,7 +113,7 @@ def branch(paths: np.ndarray, who: np.ndarray, signatures: np.ndarray, levels: i
 
 def _matrix(column) -> np.ndarray:
     raw = b"".join(column.to_pylist())
-    return np.frombuffer(raw, dtype=np.uint32).reshape(-1, COORDINATES)
+    return np.frombuffer(raw, dtype=np.uint16).reshape(-1, COORDINATES)
 
 
 def _plant(batches):
