@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: A word is a run of bytes outside ASCII white space; the same class bytes.split() uses.
 WORD = r"[^\x20\x09-\x0D]+"
 SHINGLE = 5
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -25,7 +25,8 @@ LEAST_PRECISION = 0.9
 FALSE_TERMS = 0.02
 WINDOW = 6
 QUOTED, ADDRESSED = 0.3, 1.25
-CACHE = 400_000
+CACHE = 100_000
+STATES = 20_000
 
 # fixed values: cues of reported speech, words of address, quotation marks
 REPORTED = frozenset("said says wrote called quote quoted sagte schrieb zitat dijo escribió cita dit écrit citation".split())
@@ -126,7 +127,7 @@ class Lexicon:
         """(entry, errors) of the best entry for a word, or None."""
         if word in self.cache:
             return self.cache[word]
-        if len(self.cache) > CACHE or len(self.sets) > CACHE // 4:
+        if len(self.cache) > CACHE or len(self.sets) > STATES:
             self._reset()
         state, best = self.start, None
         w = plain(word)
