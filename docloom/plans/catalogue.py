@@ -447,6 +447,92 @@ def eval_retrieval(t) -> DataFrame:
     return answer.evaluate(top, t("embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("expected")))
 
 
+_SQ = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+
+
+@query(rf"""
+SELECT doc_id, sha256(translate(text, 'áéíóúñÁÉÍÓÚÑ', 'aeiounAEIOUN')) AS section_form,
+       sha256(trim(regexp_replace({_FOLD.format("text")}, '[^a-z0-9]+', ' ', 'g'))) AS heading_form,
+       sha256({_SQ.format("lower(text)")}) AS fact_form, sha256({_SQ.format(f"translate(lower(text), '{T.ACCENTED}', '{T.BASES}')")}) AS evaluation_form,
+       sha256(regexp_replace(text, '\s+', ' ', 'g')) AS compact_form, sha256('"' || replace(replace(text, '\', '\\'), '"', '\"') || '"') AS yaml_form FROM documents""")
+def normaliser_variants(t) -> DataFrame:
+    """The normalisers that differ, each as a hash of what it makes of a text."""
+    forms = {"section": T.fold_sections, "heading": T.heading, "fact": T.plain_facts, "evaluation": T.evaluation, "compact": T.compact, "yaml": T.yaml_quote}
+    return t("documents").select("doc_id", *[F.sha2(f(F.col("text")), 256).alias(f"{name}_form") for name, f in forms.items()])
+
+
+_ASSETS = [
+    (1, 450, 120, 1, 119, "Logo.JPEG", 1, 1), (2, 450, 120, 1, 120, ".png", 1, 2), (3, 450, 120, 2, 0, "gif", 3, 3), (4, 80, 80, 1, 500, "..jpg", 2, 5),
+    (5, 100, 170, 4, 30, "webp", 4, 4), (6, 100, 171, 4, 30, "svg", 4, 6), (7, 99, 99, 1, 0, "", 7, 7), (8, 81, 80, 1, 0, "TIFF", 1, 9),
+]
+
+
+@query(f"""
+WITH a(asset_id, width, height, page, y0, name, page_start, page_end) AS (VALUES {_literal(_ASSETS)}), e AS (SELECT *, regexp_replace(lower(name), '^\\.+', '') AS x FROM a)
+SELECT asset_id::INT AS asset_id, CASE WHEN width >= 450 AND height >= 120 AND page = 1 AND y0 < 120 THEN 'header_logo' WHEN width <= 80 AND height <= 80 THEN 'small_icon'
+         WHEN abs(width - height) <= 70 AND width >= 100 THEN 'pictogram' ELSE 'embedded' END AS kind,
+       CASE WHEN x = 'jpeg' THEN 'jpg' WHEN x IN ('png', 'jpg', 'webp', 'gif', 'bmp', 'tiff') THEN x ELSE 'png' END AS extension,
+       CASE WHEN page_start = page_end THEN page_start::VARCHAR ELSE page_start || '-' || page_end END AS pages FROM e""")
+def asset_labels(t) -> DataFrame:
+    """Kind, extension and page span of images on both sides of each rule's bounds."""
+    a = t("region").sparkSession.createDataFrame(_ASSETS, "asset_id int, width int, height int, page int, y0 int, name string, page_start int, page_end int")
+    kind = T.image_kind(*(F.col(c) for c in ("width", "height", "page", "y0")))
+    return a.select("asset_id", kind.alias("kind"), T.image_extension(F.col("name")).alias("extension"), T.page_span(F.col("page_start"), F.col("page_end")).alias("pages"))
+
+
+_SHEETS = [
+    (1, "Emergencia CISPROQUIM\nBogotá: 601 288 60 12\nResto del país: 01 8000 91 60 12\nTeléfono: 601 412 33 00\nTelefono : Cisproquim 601\nNúmero de Teléfono: 604 555 00 11\nTeléfono: 3"),
+    (2, "Bogota: 1\n| Tolueno | 108-88-3 ; | 20 % |\nxileno 1330-20-7 en mezcla\n| Tolueno | 108-88-3 | 20 % |\nsin 12-3-4"),
+    (3, "Número ONU: UN 1263\nClase: 3\nGrupo de embalaje: III"),
+    (4, "transporte por tierra UN1263 3 ii pintura"),
+    (5, "nada"),
+]
+_MISSING = "no reportado en el fragmento"
+
+
+def _first_sql(pattern: str) -> str:
+    return f"coalesce(nullif(trim(regexp_extract(content, '(?i){pattern}', 1)), ''), '{_MISSING}')"
+
+
+@query(rf"""
+WITH s(sheet, content) AS (VALUES {_literal(_SHEETS)}),
+l AS (SELECT *, list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '{facts.CAS}')) AS cas,
+        regexp_extract_all(content, '(?i)(?:N[úu]mero de Tel[ée]fono|Tel[ée]fono)\s*:\s*([^\n]+)', 1) AS phones,
+        contains(lower(content), 'cisproquim') AND regexp_matches(content, '(?i)Bogot[áa]\s*:\s*[^\n]+|Resto del pa[íi]s\s*:\s*[^\n]+') AS emergency,
+        regexp_extract(content, '(?i)UN\s?(\d{{4}})', 1) AS un, regexp_extract(content, '(?is)UN\s?\d{{4}}(.{{0,30}})', 1) AS tail FROM s),
+c AS (SELECT *, list_filter(list_transform(flatten(list_transform(cas, lambda x: CASE WHEN starts_with(x, '|') THEN string_split(x, '|') ELSE [x] END)),
+        lambda x: regexp_replace(trim(regexp_replace(x, '\s+', ' ', 'g')), '^[ ;]+|[ ;]+$', '', 'g')), lambda x: x != '') AS cells,
+        {_first_sql(r"(?:N[úu]mero ONU|No\. UN/ID)\s*:\s*([^\n]+)")} AS o, {_first_sql(r"Clase\s*:\s*([^\n]+)")} AS k, {_first_sql(r"Grupo de embalaje\s*:\s*([^\n]+)")} AS g,
+        regexp_extract(tail, '(?i)\s*([1-9])\s*(I{{1,3}}|IV|V)\b', 1) AS sk, upper(regexp_extract(tail, '(?i)\s*([1-9])\s*(I{{1,3}}|IV|V)\b', 2)) AS sg FROM l)
+SELECT sheet::INT AS sheet, CASE WHEN emergency THEN {_first_sql(r"Bogot[áa]\s*:\s*([^\n]+)")} END AS bogota, CASE WHEN emergency THEN {_first_sql(r"Resto del pa[íi]s\s*:\s*([^\n]+)")} END AS resto,
+       array_to_string(list_filter(list_transform(phones, lambda x: trim(x)), lambda x: NOT contains(lower(x), 'cisproquim'))[1:2], ' / ') AS provider,
+       CASE WHEN starts_with(o, 'no reportado') AND un != '' THEN 'UN ' || un ELSE o END AS onu, CASE WHEN k = '{_MISSING}' AND sk != '' THEN sk ELSE k END AS transport_class,
+       CASE WHEN g = '{_MISSING}' AND sg != '' THEN sg ELSE g END AS packing_group,
+       array_to_string(list_filter(cells, lambda x, i: list_position(cells, x) = i)[1:10], '; ') AS components FROM c""")
+def safety_facts(t) -> DataFrame:
+    """Phones, transport data and CAS components read from sheets written for the purpose."""
+    sheets, c = t("region").sparkSession.createDataFrame(_SHEETS, "sheet int, content string"), F.col("content")
+    line, move = facts.emergency_phone(c), facts.transport(c)
+    return sheets.select(
+        "sheet", line["bogota"].alias("bogota"), line["resto"].alias("resto"), facts.provider_phones(c).alias("provider"),
+        *[move[k].alias(k) for k in ("onu", "transport_class", "packing_group")], facts.cas_components(c).alias("components"),
+    )
+
+
+@query(rf"""
+WITH u AS (SELECT conv_id, turn, list_sort(list_distinct(regexp_extract_all(text, '\S+'))) AS terms FROM conversations WHERE role = 'user' AND text IS NOT NULL),
+r AS (SELECT u.conv_id, u.turn, terms, len(list_filter(terms, lambda x: contains({_SQ.format(f"translate(lower(a.text), '{T.ACCENTED}', '{T.BASES}')")},
+        {_SQ.format(f"translate(lower(x), '{T.ACCENTED}', '{T.BASES}')")}))) AS hit FROM u JOIN conversations a USING (conv_id) WHERE a.role = 'assistant' AND a.text IS NOT NULL AND a.turn = u.turn + 1)
+SELECT conv_id, turn, hit = len(terms) AS all_found, round(CASE WHEN len(terms) = 0 THEN 1.0::DOUBLE ELSE hit::DOUBLE / len(terms) END, 4) AS share FROM r""")
+def reply_terms(t) -> DataFrame:
+    """Which of a question's words its reply holds."""
+    c = t("conversations").where("text IS NOT NULL")
+    asked = c.where("role = 'user'").select("conv_id", "turn", F.array_distinct(T.words(F.col("text"))).alias("terms"))
+    said = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    found, share = answer.term_check(F.col("reply"), F.col("terms"))
+    return asked.join(said, ["conv_id", "turn"]).select("conv_id", "turn", found.alias("all_found"), F.round(share, 4).alias("share"))
+
+
 def upload_microbatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents through the ingesting stream, folded by fingerprint."""
     base = (spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="docloom-")) + "/ingest-" + uuid.uuid4().hex

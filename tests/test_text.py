@@ -50,3 +50,11 @@ def test_transport_short_form(spark):
 def test_heading_needs_three_letters(spark):
     pages = spark.createDataFrame([(1, 1, "sección 4: ab\nSeccion 02 Peligros varios")], "doc_id int, page int, text string")
     assert [(r["number"], r["title"]) for r in segment.section_hits(pages).collect()] == [(2, "Peligros varios")]
+
+
+def test_items_keep_their_digits(spark):
+    """An item's place must not be taken off the item: line 0 ends in 0, line 1 starts and ends in 1."""
+    df = spark.createDataFrame([("  key 100  \n1 key 11\n",)], "t string")
+    assert df.select(facts.literal_lines(F.col("t"), ("key",), 5)).first()[0] == ["key 100", "1 key 11"]
+    df = spark.createDataFrame([("Teléfono: 604 500 \nTeléfono: 11 1",)], "t string")
+    assert df.select(facts.provider_phones(F.col("t"))).first()[0] == "604 500 / 11 1"
