@@ -3,16 +3,19 @@
 A paragraph is a line or sentence together with short sentences before it, cut only by what stands nearby, so a passage
 has the same paragraphs wherever it is put; long stretches without a stop are cut at words chosen by their hash.
 Paragraphs fold by content first. Distinct ones meet by BANDS bands of one minwise 5-word shingle: at similarity 0.75
-a pair shares a band with probability 1 - 0.25^3 = 0.98, at 0.9 with 0.999. Every member of a band is compared with
-the two ends of its band, never with all others; hashes and counts alone are shuffled. What passes exact Jaccard 0.75
-is linked; a component that occurs in several documents keeps its first occurrence, and runs of repeated paragraphs of
-LEAST_RUN words or more are reported.
+a pair shares a band with probability 1 - 0.25^3 = 0.98, at 0.9 with 0.999. Every member of a band is first compared
+with the two ends of its band. What is then left between components is compared in full: in one piece if a band is
+small or all but SMALL of it are one component; a larger band branches by CHILDREN further minwise shingles, where a
+pair at 0.75 stays together with 1 - 0.25^4 = 0.996, and what is large after ROUNDS is compared block against block.
+What passes exact Jaccard 0.75 is linked; a component that occurs in several documents keeps its first occurrence, and
+runs of repeated paragraphs of LEAST_RUN words or more are reported.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import SHINGLE, IdFilter, U, _LANES, components, cut, mix, slices, text_bytes, word_hashes
@@ -21,7 +24,10 @@ BANDS = 3
 SHORT, LONG = 8, 64
 LEAST_RUN = 16
 SHARE, OF = 75, 100
+#: Members of a band that are compared at once; branching of larger ones.
+SMALL, CHILDREN, ROUNDS, COORDINATES = 256, 4, 2, 64
 _A = np.random.Generator(np.random.PCG64(23)).integers(1, 2**63, BANDS, dtype=np.uint64) | U(1)
+_B = np.random.Generator(np.random.PCG64(29)).integers(1, 2**63, COORDINATES, dtype=np.uint64) | U(1)
 _STOP = np.zeros(256, dtype=bool)
 _STOP[list(b".!?")] = True
 _NONE = U(2**64 - 1)
@@ -124,6 +130,103 @@ def _places(involved: IdFilter, near: IdFilter):
     return run
 
 
+def _branch(batches):
+    """Children of a large node: CHILDREN coordinates drawn from its path, and the minwise shingle found there."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 4096):
+            part = batch.slice(i, 4096)
+            paths = part.column("path").to_numpy().view(np.uint64)
+            lists = part.column("shingles")
+            flat = lists.flatten().to_numpy().view(np.uint64)
+            size = pc.list_value_length(lists).to_numpy()
+            at = np.cumsum(size) - size
+            draw = mix(paths ^ U(0x5851F42D4C957F2D))
+            step = U(1) + U(2) * ((draw >> U(16)) % U(COORDINATES // 2))  # odd: the coordinates of a node differ
+            children = []
+            for k in range(CHILDREN):
+                c = (draw + U(k) * step) % U(COORDINATES)
+                least = np.minimum.reduceat(mix(flat * np.repeat(_B[c.view(np.int64)], size)), at)
+                children.append(mix(paths * U(0x2545F4914F6CDD1D) + mix(least + c)))
+            who = pa.array(np.tile(np.arange(part.num_rows), CHILDREN))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(children).view(np.int64)), part.column("pid").take(who)], names=["path", "pid"])
+
+
+def _sketch(batches):
+    """Size of each set, and 128 bits of which each of its shingles sets one."""
+    for batch in batches:
+        lists = batch.column("shingles")
+        flat, size = mix(lists.flatten().to_numpy().view(np.uint64)), pc.list_value_length(lists).to_numpy().astype(np.int64)
+        at, bit = np.cumsum(size) - size, U(1) << (flat & U(63))
+        high = flat >> U(63) == U(1)
+        b1, b2 = (np.bitwise_or.reduceat(np.where(part, bit, U(0)), at).view(np.int64) if len(at) else at for part in (high, ~high))
+        yield pa.RecordBatch.from_arrays([batch.column("pid"), *map(pa.array, (size, b1, b2))], names=["pid", "n", "b1", "b2"])
+
+
+def _compare(batches):
+    """Pairs of members of different components (and blocks, where given) of each group that may be linked.
+
+    Each bit that differs is a shingle in one set alone, of which sets at SHARE / OF have (OF - SHARE) / (OF + SHARE) of both sizes at most.
+    """
+    for batch in batches:
+        lists = batch.column("members")
+        flat, n = lists.flatten(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+        pid, comp, block, size = (flat.field(i).to_numpy() for i in range(4))
+        b1, b2 = (flat.field(i).to_numpy().view(np.uint64) for i in (4, 5))
+        at, pairs = np.cumsum(n) - n, [np.zeros((0, 2), np.int64)]
+        for k in np.unique(n):
+            x, y = np.triu_indices(k, 1)
+            groups = at[n == k]
+            for g in range(0, len(groups), step := max(1, (1 << 18) // max(1, len(x)))):
+                i, j = ((groups[g : g + step, None] + z).ravel() for z in (x, y))
+                alone = np.bitwise_count(b1[i] ^ b1[j]).astype(np.int64) + np.bitwise_count(b2[i] ^ b2[j])
+                near = (OF + SHARE) * alone <= (OF - SHARE) * (size[i] + size[j])
+                near &= (comp[i] != comp[j]) & ((block[i] < 0) | (block[i] != block[j]))
+                pairs.append(np.stack([pid[i[near]], pid[j[near]]], axis=1))
+        pairs = np.concatenate(pairs)
+        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that are linked, by their full sets."""
+    both = F.size(F.array_intersect("s", "t"))
+    links = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
+    return cut(links.where(OF * both >= SHARE * (F.size("s") + F.size("t") - both)).select("a", "b"))
+
+
+def links_between(rest: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b): links within bands (path, pid) between components of `links`."""
+    comps = cut(components(links, most_rounds=2))  # parts of components do: they only save comparisons
+    sketch = cut(sets.mapInArrow(_sketch, "pid long, n long, b1 long, b2 long"))
+    sketch = sketch.join(comps.toDF("pid", "component"), "pid", "left").withColumn("component", F.coalesce("component", "pid"))
+    found, n_all = None, F.col("n_in") + F.col("n_out")
+    for round_ in range(ROUNDS + 1):
+        rest = cut(rest.join(sketch, "pid"))
+        counts = rest.groupBy("path", "component").agg(F.count("*").alias("m"))
+        counts = counts.groupBy("path").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("m"))
+        counts = counts.select("path", F.col("top.component").alias("main"), F.col("top.m").alias("n_in"), (F.col("m") - F.col("top.m")).alias("n_out"))
+        counts = cut(counts.where("n_out > 0"))
+        last = round_ == ROUNDS
+        now = rest.join(counts if last else counts.where(F.col("n_out") <= SMALL), "path")
+        # blocks of those outside the main component against all blocks; within the main component nothing is open
+        outer, inner = F.ceil(F.col("n_out") / SMALL).cast("long"), F.ceil(F.col("n_in") / SMALL).cast("long")
+        out = F.col("component") != F.col("main")
+        block = F.when(n_all <= SMALL, 0).when(out, F.pmod(F.xxhash64("pid"), outer)).otherwise(outer + F.pmod(F.xxhash64("pid"), inner))
+        most = F.when(n_all <= SMALL, 0).when(out, outer + inner - 1).otherwise(outer - 1)
+        dealt = now.withColumn("block", block.cast("long")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), most.cast("long"))))
+        x, y = F.least("block", "other"), F.greatest("block", "other")
+        mark = F.when(x == y, F.lit(-1).cast("long")).otherwise(F.col("block"))
+        dealt = dealt.select("path", x.alias("x"), y.alias("y"), F.struct("pid", "component", mark.alias("block"), "n", "b1", "b2").alias("m"))
+        groups = dealt.groupBy("path", "x", "y").agg(F.collect_list("m").alias("members")).select("members")
+        pairs = cut(groups.mapInArrow(_compare, "a long, b long").distinct())
+        found = pairs if found is None else found.union(pairs)
+        wide = counts.where(F.col("n_out") > SMALL)
+        if last or wide.isEmpty():
+            return confirm(found.distinct(), sets)
+        large = rest.select("path", "pid").join(wide.select("path"), "path").join(sets, "pid")
+        rest = cut(large.mapInArrow(_branch, "path long, pid long"))
+
+
 def repeated_passages(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     """(doc_id, paragraph, n_words, pid, component, kept_doc_id, removed, run_words): every repeated paragraph.
 
@@ -138,8 +241,9 @@ def repeated_passages(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     folded = units.groupBy("pid").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), *[F.min(k).alias(k) for k in keys])
     folded = cut(folded.select("pid", F.expr("lo < hi").alias("again"), *keys))
     rows = folded.where("k0 >= 0").select("pid", F.explode(F.array(*[F.xxhash64(k, F.lit(i)) for i, k in enumerate(keys)])).alias("key"))
-    ends = rows.groupBy("key").agg(F.min("pid").alias("x"), F.max("pid").alias("y")).where("x != y")
-    met = rows.join(ends, "key").select("pid", F.explode(F.array("x", "y")).alias("hub")).where("pid != hub")
+    ends = rows.groupBy("key").agg(F.min("pid").alias("x"), F.max("pid").alias("y"), (F.count("*") > 3).alias("wide")).where("x != y")
+    banded = cut(rows.join(ends, "key"))
+    met = banded.select("pid", F.explode(F.array("x", "y")).alias("hub")).where("pid != hub")
     near = cut(met.select(F.least("pid", "hub").alias("a"), F.greatest("pid", "hub").alias("b")).distinct())
 
     asked = near.select(F.col("a").alias("pid")).union(near.select("b")).distinct()
@@ -149,11 +253,10 @@ def repeated_passages(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     sets = places.where("shingles IS NOT NULL").select("pid", "shingles").dropDuplicates(["pid"])
     sets = cut(sets)
     places = places.drop("shingles").distinct()
-    both = F.size(F.array_intersect("s", "t"))
-    links = near.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
-    links = cut(links.where(OF * both >= SHARE * (F.size("s") + F.size("t") - both)).select("a", "b"))
+    links = confirm(near, sets)
 
-    comps = components(links)
+    wide = banded.where("wide").select(F.col("key").alias("path"), "pid")  # up to three, the ends have met all
+    comps = components(links.union(links_between(wide, sets, links)))
     places = places.join(comps.toDF("pid", "component"), "pid", "left").withColumn("component", F.coalesce("component", "pid"))
     first = F.min(F.struct("doc_id", "paragraph")).alias("first")
     groups = places.groupBy("component").agg(first, F.max("doc_id").alias("last")).where("first.doc_id < last")

@@ -203,6 +203,34 @@ def test_repeated_passages(spark):
     assert substring_dedup.repeated_passages(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [substring_dedup.ROUNDS, 0])  # 0: by blocks alone
+def test_repeated_passages_under_a_hot_shingle(spark, monkeypatch, rounds):
+    monkeypatch.setattr(substring_dedup, "ROUNDS", rounds)
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
+    # a phrase that holds the minwise shingle of most paragraphs it stands in, in all bands
+    phrases = [" ".join(r.sample(words, 14)) for _ in range(2000)]
+    w, _, _, start, to, _ = substring_dedup.paragraphs([p.encode() for p in phrases])
+    hashes, within = substring_dedup.shingles(w, start, to)
+    none = np.uint64(2**64 - 1)
+    least = [np.minimum.reduceat(np.where(within, substring_dedup.mix(hashes * a), none), start) for a in substring_dedup._A]
+    hot = phrases[int(np.argmin(np.max(least, axis=0)))].split()
+    rows, pairs = [], []
+    for k in range(1500):
+        w = [*r.sample(words, 3), *hot, *r.sample(words, 9)]
+        rows.append((k, " ".join(w) + "."))
+        if k % 5 == 0:  # a near copy: its last word differs
+            rows.append((10_000 + k, " ".join([*w[:-1], r.choice(words)]) + "."))
+            pairs.append((k, 10_000 + k))
+    got = collections.defaultdict(set)
+    for x in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[x["component"]].add(x["doc_id"])
+    assert all(len(v) == 2 for v in got.values())
+    found = len({tuple(sorted(v)) for v in got.values()} & set(pairs))
+    print(f"hot shingle: {found} of {len(pairs)} pairs")
+    assert found >= 0.99 * len(pairs)
+
+
 def test_mixing(docs):
     rows = docs.collect()
     got = mixing.mix(docs).collect()
