@@ -6,7 +6,8 @@ the tokens found there) draws its next coordinate, and with probability 1/3 a se
 hash, so a pair at 0.75 has one common child on average and survives a level with probability
 1 - q where q' = 2/3 (1/4 + 3q/4) + 1/3 (1/4 + 3q/4)^2. At three levels q = 0.40: ten trees miss a pair at
 the threshold once in ten thousand, closer pairs far less often. Small nodes are compared exhaustively;
-larger ones branch on. Every link is confirmed on the full sets.
+larger ones branch on, always twofold, so a pair at 0.75 in such a node stays together with 0.91 in each
+round, and with its other trees is missed far less often. Every link is confirmed on the full sets.
 
 Copies fold into one set first. Then each node is compared with its most central member only, and what that
 links is taken as one component: a node within one component needs no more work, so a dense group of n
@@ -27,7 +28,7 @@ from .common import IdFilter, U, components, cut, mix, shingle_hashes, slices, t
 COORDINATES = 128
 TREES = 10
 FIRST_LEVELS = 3
-NEXT_LEVELS = 4
+NEXT_LEVELS = 2
 ROUNDS = 2
 SMALL = 256
 #: Nodes above this size have several centres, of which each member is compared with every one.
@@ -53,7 +54,7 @@ def minwise(x: np.ndarray) -> np.ndarray:
     out = np.full(COORDINATES, 2**64 - 1, dtype=np.uint64)
     for i in range(0, len(x), 1024):
         out = np.minimum(out, (x[i : i + 1024, None] * _A).min(axis=0))
-    return (out >> U(48)).astype(np.uint16)
+    return (out >> U(32)).astype(np.uint32)
 
 
 FEATURES = "doc_id long, n_shingles long, d1 long, d2 long, s1 long, s2 long, signature binary"
@@ -92,13 +93,13 @@ def _sets(wanted: IdFilter):
     return run
 
 
-def branch(paths: np.ndarray, who: np.ndarray, signatures: np.ndarray, levels: int, twofold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Children of the given nodes after so many levels: (path, row of signatures); twofold: some nodes branch twice."""
+def branch(paths: np.ndarray, who: np.ndarray, signatures: np.ndarray, levels: int, twice_of_3: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Children of the given nodes after so many levels: (path, row of signatures); twice_of_3: how many nodes of three branch twice."""
     for _ in range(levels):
         draw = mix(paths)
         first = (draw % U(COORDINATES)).astype(np.int64)
         step = U(1) + (draw >> U(16)) % U(COORDINATES - 1)
-        twice = ((draw >> U(40)) % U(3) == 0) & twofold
+        twice = (draw >> U(40)) % U(3) < U(twice_of_3)
         second = ((first.astype(np.uint64) + step) % U(COORDINATES)).astype(np.int64)[twice]
 
         def child(p, w, c):
@@ -113,7 +114,7 @@ def branch(paths: np.ndarray, who: np.ndarray, signatures: np.ndarray, levels: i
 
 def _matrix(column) -> np.ndarray:
     raw = b"".join(column.to_pylist())
-    return np.frombuffer(raw, dtype=np.uint16).reshape(-1, COORDINATES)
+    return np.frombuffer(raw, dtype=np.uint32).reshape(-1, COORDINATES)
 
 
 def _plant(batches):
@@ -130,8 +131,9 @@ def _plant(batches):
 def _grow(batches):
     for batch in batches:
         paths = batch.column("path").to_numpy().view(np.uint64)
-        paths, _ = branch(paths, np.arange(len(paths)), _matrix(batch.column("signature")), NEXT_LEVELS, twofold=False)
-        yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), batch.column("id"), batch.column("signature")], names=["path", "id", "signature"])
+        paths, who = branch(paths, np.arange(len(paths)), _matrix(batch.column("signature")), NEXT_LEVELS, twice_of_3=3)
+        who = pa.array(who)
+        yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), batch.column("id").take(who), batch.column("signature").take(who)], names=["path", "id", "signature"])
 
 
 def _compare(batches):

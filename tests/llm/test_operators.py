@@ -94,6 +94,33 @@ def test_near_duplicates_dense_group(spark):
     assert got == want
 
 
+def test_large_nodes_keep_their_pairs():
+    """Pairs at 0.75 through the first levels and two rounds of growth."""
+    import pyarrow as pa
+
+    r, n = np.random.default_rng(3), 1000
+    a, b = r.integers(0, 2**16, (2, n, near_dedup.COORDINATES))
+    b, kind = np.where(r.random(a.shape) < 0.75, a, b), near_dedup.minwise(np.arange(5, dtype=np.uint64)).dtype
+    met = 0
+    for x, y in zip(a.astype(kind), b.astype(kind), strict=True):
+        rows = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([x.tobytes(), y.tobytes()])], names=["id", "signature"])
+        (rows,) = near_dedup._plant([rows])
+        signature = pa.array([(x, y)[i].tobytes() for i in rows.column("id").to_pylist()])
+        rows = pa.RecordBatch.from_arrays([*rows.columns, signature], names=["path", "id", "signature"])
+        for _ in range(near_dedup.ROUNDS):
+            (rows,) = near_dedup._grow([rows])
+        path, who = rows.column("path").to_numpy(), rows.column("id").to_numpy()
+        met += bool(np.intersect1d(path[who == 0], path[who == 1]).size)
+    print(f"large nodes: {met} of {n} pairs")
+    assert met >= 0.99 * n
+
+
+def test_minwise_hashes_of_long_texts_differ():
+    r = np.random.default_rng(4)
+    a, b = (near_dedup.minwise(r.integers(0, 2**63, 20_000, dtype=np.uint64)) for _ in range(2))
+    assert (a == b).mean() < 0.02
+
+
 def test_keep_one_keeps_columns(docs):
     kept = near_dedup.keep_one(docs)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
