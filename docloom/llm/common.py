@@ -50,6 +50,7 @@ def slices(texts: list[bytes], most: int = SLICE_BYTES):
 
 #: A filter of ids has 16 bits for each, between these bounds; beyond the upper one (32 MB) it only lets more rows through.
 FILTER_BITS = (1 << 16, 1 << 28)
+PIECE = 1 << 14
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -117,9 +118,18 @@ class IdFilter:
                 p = mix(batch.column(0).to_numpy().view(np.uint64)) % U(bits)
                 yield pa.RecordBatch.from_arrays([pa.array((p >> U(5)).view(np.int64)), pa.array((U(1) << (p & U(31))).view(np.int64))], names=["w", "b"])
 
-        words = ids.mapInArrow(places, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # bits / 32 rows at most
-        self.map = np.zeros(bits // 32, dtype=np.uint32)
-        self.map[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
+        def pieces(frame):  # PIECE words of the bitmap as bytes, so that the driver gets the bitmap and no rows of words
+            import pandas as pd
+
+            part = np.zeros(PIECE, dtype="<u4")
+            part[frame["w"].to_numpy(np.int64) % PIECE] = frame["b"].to_numpy(np.int64)
+            return pd.DataFrame({"piece": [int(frame["w"].iloc[0]) // PIECE], "bits": [part.tobytes()]})
+
+        words = ids.mapInArrow(places, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b"))
+        found = words.groupBy(F.floor(F.col("w") / PIECE).alias("p")).applyInPandas(pieces, "piece long, bits binary").toPandas()  # bits / 8 bytes at most
+        self.map = np.zeros(max(bits // 32, PIECE), dtype=np.uint32)
+        for k, x in zip(found["piece"], found["bits"], strict=True):
+            self.map[k * PIECE : (k + 1) * PIECE] = np.frombuffer(x, dtype="<u4")
 
     def __call__(self, ids: np.ndarray) -> np.ndarray:
         p = mix(ids.view(np.uint64)) % U(self.bits)
