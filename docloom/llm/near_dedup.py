@@ -12,8 +12,8 @@ round, and with its other trees is missed far less often. Every link is confirme
 Copies fold into one set first. Then each node is compared with its most central member only, and what that
 links is taken as one component: a node within one component needs no more work, so a dense group of n
 documents costs about n comparisons in each tree, never n * n. A node that holds several components is
-compared across them: whole if it is small, by further branching if it is not, and in blocks if the tree
-ends before it is small.
+compared across them: all that is outside its largest component with all members, in blocks of SMALL, if that
+is SMALL or less; by further branching if it is more, and in blocks again where the tree ends.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ FIRST_LEVELS = 3
 NEXT_LEVELS = 2
 ROUNDS = 2
 SMALL = 256
-#: Nodes above this size have several centres, of which each member is compared with every one.
+#: Nodes above WIDE members have several centres, of which each member is compared with every one.
 WIDE, CENTRES = 16, 2
 #: 128 one-bit minwise hashes agree on 0.875 at similarity 0.75, with a standard error of 0.029.
 LEAST_AGREEING = 98
@@ -255,30 +255,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comps = cut(components(links, most_rounds=2))  # parts of components do: they only save comparisons
 
     # second pass: what is left between components
-    found, rest = None, nodes.select("path", "id")
+    found, rest, signatures = None, nodes.select("path", "id"), solo.select("id", "signature")
     for round_ in range(ROUNDS + 1):
         rest = labelled(rest)
-        size = rest.groupBy("path").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        rest = rest.join(size.where("lo != hi").select("path", "n"), "path")
-        if round_ == 0:
-            rest = rest.join(solo.select("id", "signature"), "id")
-        rest = cut(rest.select("path", "id", "component", "signature", "n"))
-        small, large = rest.where(F.col("n") <= SMALL), rest.where(F.col("n") > SMALL)
+        counts = rest.groupBy("path", "component").agg(F.count("*").alias("m"))
+        counts = counts.groupBy("path").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("m"))
+        counts = counts.select("path", F.col("top.component").alias("main"), F.col("top.m").alias("n_in"), (F.col("m") - F.col("top.m")).alias("n_out"))
+        rest = cut(rest.join(counts.where("n_out > 0"), "path"))
         last = round_ == ROUNDS
-        member = F.struct("id", "component", "signature", F.lit(-1).cast("long").alias("block"))
-        groups = small.groupBy("path").agg(F.collect_list(member).alias("members")).select("members")
-        if last:  # nodes that are still large: all blocks against all, a task for each pair of blocks
-            blocks = F.ceil(F.col("n") / SMALL).cast("long")
-            dealt = large.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-            dealt = dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-            mark = F.when(F.col("x") == F.col("y"), F.lit(-1).cast("long")).otherwise(F.col("block"))
-            dealt = dealt.select("path", "x", "y", F.struct("id", "component", "signature", mark.alias("block")).alias("m"))
-            groups = groups.union(dealt.groupBy("path", "x", "y").agg(F.collect_list("m").alias("members")).select("members"))
+        now = (rest if last else rest.where(F.col("n_out") <= SMALL)).join(signatures, "id")
+        # blocks of those outside the main component against all blocks; within the main component nothing is open
+        n_all, outside = F.col("n_in") + F.col("n_out"), F.col("component") != F.col("main")
+        outer, inner = F.ceil(F.col("n_out") / SMALL).cast("long"), F.ceil(F.col("n_in") / SMALL).cast("long")
+        block = F.when(n_all <= SMALL, 0).when(outside, F.pmod(F.xxhash64("id"), outer)).otherwise(outer + F.pmod(F.xxhash64("id"), inner))
+        most = F.when(n_all <= SMALL, 0).when(outside, outer + inner - 1).otherwise(outer - 1)
+        dealt = now.withColumn("block", block.cast("long")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), most.cast("long"))))
+        x, y = F.least("block", "other"), F.greatest("block", "other")
+        mark = F.when(x == y, F.lit(-1).cast("long")).otherwise(F.col("block"))
+        dealt = dealt.select("path", x.alias("x"), y.alias("y"), F.struct("id", "component", "signature", mark.alias("block")).alias("m"))
+        groups = dealt.groupBy("path", "x", "y").agg(F.collect_list("m").alias("members")).select("members")
         pairs = cut(groups.mapInArrow(_compare, "kind long, a long, b long").distinct())
         found = pairs if found is None else found.union(pairs)
+        large = rest.where(F.col("n_out") > SMALL)
         if last or large.isEmpty():
             break
-        rest = large.select("path", "id", "signature").mapInArrow(_grow, "path long, id long, signature binary")
+        rest = large.select("path", "id").join(signatures, "id").mapInArrow(_grow, "path long, id long, signature binary").select("path", "id")
     pairs = found.where("kind = 0").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
     extra = confirm(cut(pairs), docs)
     dense = cut(found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("id")).distinct())
@@ -309,3 +310,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     gone = near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+#: DuckDB's statement of near_duplicates over documents.
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sets a JOIN sets b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+steps AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, s.b FROM reach r JOIN steps s ON s.a = r.other)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)"""

@@ -60,4 +60,6 @@ QUERIES = {
         op1_near_dedup, op2_vector_search, op3_toxicity, op4_quality, op5_substring_dedup, op6_mixing, op7_packing, op8_token_count, op9_url_filter, op10_html_text, pipeline,
     )
 }
-ORACLES: dict[str, str] = {"op2_vector_search": vector_search.ORACLE, "op6_mixing": mixing.ORACLE, "op9_url_filter": url_filter.oracle()}
+ORACLES: dict[str, str] = {
+    "op1_near_dedup": near_dedup.ORACLE, "op2_vector_search": vector_search.ORACLE, "op6_mixing": mixing.ORACLE, "op9_url_filter": url_filter.oracle(),
+}
