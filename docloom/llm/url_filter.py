@@ -1,29 +1,40 @@
 """URL filter: host and path rules first, then a weighted vocabulary found by Aho-Corasick.
 
+The vocabulary is looked for in the whole url after its scheme: host, path, query and fragment, with percent codes read.
 A term counts only between boundaries (no letter or digit next to it). One strict term, or SOFT_LIMIT distinct soft
-terms, in host or path (percent-decoding aside) block a page; all else is allowed.
+terms, block a page; all else is allowed.
 """
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 import ahocorasick
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 # fixed values: rules as (host, path prefix, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 # fixed values: the vocabulary
-STRICT = ("adult", "porn", "xxx", "sex", "nude", "nsfw", "casino", "gambling", "viagra", "escort", "hentai", "warez", "malware", "phishing", "spam")
-SOFT = ("ads", "bet", "bets", "bonus", "cheap", "click", "crack", "dating", "deal", "download", "farm", "free", "hot", "keygen", "loan", "lottery", "pills", "poker", "promo", "replica", "serial", "torrent", "track", "win", "winner")
+STRICT = tuple(
+    "adult porn porno pornos pornography xxx sex sexcam sexchat sexshop nude nudes nudity nsfw milf hentai erotic erotica erotik camgirl camgirls escort escorts hooker "
+    "hookers gangbang blowjob bdsm creampie upskirt casino gambling gamble glücksspiel viagra cialis levitra kamagra tramadol xanax oxycontin phentermine warez "
+    "keygen keygens nulled malware ransomware spyware phishing botnet carding fullz spam spammer spammers".split()
+)
+SOFT = tuple(
+    "ads adserver affiliate affiliates bet bets betting bingo bitcoin blackjack bonus cam cams cheap clearance click clicks clickbank crack cracked cracks credit dating deal "
+    "deals diet discount discounts download downloads earn ebay farm fetish free freebie freebies gratis hack hacks hot hottest jackpot leaked loan loans lottery "
+    "lotto luck lucky mortgage naked nulls offer offers payday pharma pharmacy pill pills poker popup prize prizes promo promos promotion rabatt replica replicas roulette "
+    "sale serial serials sexy singles slot slots steroids streaming swingers tabs torrent torrents track tracker tracking win winner winners winning".split()
+)
 SOFT_LIMIT = 2
 
 
 def find_terms(urls: list[str], automaton) -> tuple[list[int], list[int]]:
-    """Distinct strict and soft terms between boundaries in each text."""
+    """Distinct strict and soft terms between boundaries in each text, in lower case and with its percent codes read."""
     strict, soft = [], []
     for text in urls:
-        found = set()
+        found, text = set(), unquote(text).lower()
         for end, (term, hard) in automaton.iter(text):
             start = end - len(term) + 1
             if (start == 0 or not text[start - 1].isalnum()) and (end + 1 == len(text) or not text[end + 1].isalnum()):
@@ -49,11 +60,13 @@ def judge(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_limit: i
 
     The longest rule that fits decides; it is written host + path. Host: after the first :// up to / ? # or the end, A-Z
     lower-cased; path: then up to ? # or the end. A null url, or one without ://, has an empty host and path, fits no
-    rule, holds no term and is allowed. Repeated rows are judged each; an empty table gives an empty result.
+    rule; its terms, if any, count as in others. Repeated rows are judged each; an empty table gives an empty result.
     """
     rest = F.when(F.instr("url", "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")
-    df = pages.select("page_id", F.coalesce(rest, F.lit("")).alias("rest")).select(
+    whole = F.coalesce(F.when(F.instr("url", "://") > 0, rest).otherwise(F.col("url")), F.lit(""))
+    df = pages.select("page_id", F.coalesce(rest, F.lit("")).alias("rest"), whole.alias("whole")).select(
         "page_id",
+        "whole",
         F.translate(F.regexp_extract("rest", r"(?s)^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host"),
         F.regexp_extract("rest", r"(?s)^[^/?#]*([^?#]*)", 1).alias("path"),
     )
@@ -61,9 +74,8 @@ def judge(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_limit: i
     def scan(batches):
         automaton = build(strict, soft)
         for batch in batches:
-            text = pc.utf8_lower(pc.binary_join_element_wise(batch.column("host"), batch.column("path"), "")).to_pylist()
-            a, b = find_terms(text, automaton)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=[*batch.schema.names, "strict_hits", "soft_hits"])
+            a, b = find_terms(batch.column("whole").to_pylist(), automaton)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path")), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["page_id", "host", "path", "strict_hits", "soft_hits"])
 
     kind = dict(df.dtypes)["page_id"]
     df = df.mapInArrow(scan, f"page_id {kind}, host string, path string, strict_hits long, soft_hits long")
@@ -86,10 +98,12 @@ def oracle() -> str:
         return " + ".join(rf"regexp_matches(u, '(^|[^\p{{L}}\p{{N}}]){t}($|[^\p{{L}}\p{{N}}])')::BIGINT" for t in terms)
 
     return rf"""
-WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-parts AS (SELECT page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest,
+         lower(url_decode(coalesce(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE url END, ''))) AS u FROM pages),
+parts AS (SELECT page_id, u, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                  regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM cut),
-found AS (SELECT *, {hits(STRICT)} AS strict_hits, {hits(SOFT)} AS soft_hits FROM (SELECT *, lower(host || path) AS u FROM parts))
+found AS (SELECT *, {hits(STRICT)} AS strict_hits, {hits(SOFT)} AS soft_hits FROM parts)
 SELECT page_id, host, path, CASE {rule} END AS rule,
        CASE {verdict} WHEN strict_hits > 0 OR soft_hits >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict, strict_hits, soft_hits
 FROM found"""
