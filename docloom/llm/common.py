@@ -6,7 +6,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 #: A word is a run of bytes outside ASCII white space; the same class bytes.split() uses.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -14,11 +14,26 @@ SHINGLE = 5
 SLICE_BYTES = 1 << 19
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, of spark.checkpoint.dir; a folder of its own only on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="docloom-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Takes a table's folder away."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder of spark.checkpoint.dir (own folder only where unset)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-checkpoint-"))
+    """Reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -27,6 +42,20 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def before_in_order(df: DataFrame, order: str, value: str, name: str, span: int = 4096) -> DataFrame:
+    """df, one row for each value of the long `order`, with `name`: the sum of `value` over all rows that come before.
+
+    Rows fall into ranges of `span` places; a task orders one range, or the table of the ranges' sums.
+    """
+    earlier = W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    df = df.withColumn("_range", F.floor(F.col(order) / span))
+    sums = df.groupBy("_range").agg(F.sum(value).alias("_sum"))
+    before = F.sum("_sum").over(W.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.coalesce(F.sum(value).over(earlier.partitionBy("_range")), F.lit(0))
+    return df.withColumn("_own", own).join(sums, "_range").withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_before", "_own")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,20 +9,22 @@
    many groups; its blocks go to its shards by the same rule, quotients of shard sizes.
 4. Selection: a shard's documents lie end to end in the order of a seeded hash; its quota is read in whole laps and
    then one run of blocks from a seeded block on, around the end. A document is taken as often as it is passed, and
-   at most two documents of a shard are cut. Nothing but (doc_id, source, size) is shuffled.
+   at most two documents of a shard are cut. Nothing but (doc_id, source, size, hash) is shuffled. A shard is one task:
+   it holds SHARD_WORDS words until a source has MOST_SHARDS of them, and grows with the source beyond (6.5 billion
+   words), as the shards' own table is sorted for each source in one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import n_words
+from .common import cut, n_words
 
 WEIGHTS = (3, 1, 2)
 SHARE_OF_ALL = 1.5
 LIMIT = 2
 SHARD_WORDS = 100_000
-MOST_SHARDS = 4096
+MOST_SHARDS = 65_536
 SEED = "mix-1"
 
 
@@ -61,15 +63,16 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE_OF_AL
     return s.select("source", "source_size", "source_rank", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE_OF_ALL, limit: int = LIMIT, seed: str = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of docs (doc_id, text, source; more are ignored).
+def _keys(seed: str) -> dict[str, Column]:
+    """What tells a row of docs in the mix: the seeded hash of its doc_id (of its text without one), length and source."""
+    name = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("null/"), F.md5(F.coalesce("text", F.lit("")))))
+    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    return {"h": F.md5(F.concat(F.lit(seed + "/"), name)), "chars": F.coalesce(F.length("text"), F.lit(-1)), "source_known": F.col("source").isNotNull(), "source": source}
 
-    A null text has size 0 and is never taken; a null source is a source of its own, the last; rows that repeat a
-    doc_id are laid side by side. With no words at all every target is 0; an empty table gives an empty result.
-    """
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), F.md5(F.concat(F.lit(seed + "/"), name)).alias("h"))
-    base = base.withColumn("source_known", F.col("source").isNotNull()).withColumn("source", F.coalesce("source", F.lit("")))
+
+def _mixed(docs: DataFrame, weights, share: float, limit: int, seed: str) -> DataFrame:
+    # the texts are read once: all else works on one short row for each document
+    base = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_words(F.col("text")).alias("size"), *[c.alias(k) for k, c in _keys(seed).items()]))
     sizes = base.groupBy("source_known", "source").agg(F.sum("size").alias("source_size"))
     sizes = sizes.withColumn("source", F.when(F.col("source_known"), F.col("source")))
     targets = source_targets(sizes, weights, share, limit)
@@ -99,22 +102,38 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE_OF_ALL, limit: in
 
     part = covered(F.col("from"), F.least(stop, F.col("length"))) + covered(F.lit(0), stop - F.col("length"))
     taken = F.coalesce(F.col("laps") * F.col("size") + part, F.lit(0)).cast("long")
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "h", "chars", "source_known", "source")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE_OF_ALL, limit: int = LIMIT, seed: str = SEED) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for every row of docs (doc_id, text, source; more are ignored).
+
+    A null text has size 0 and is never taken; a null source is a source of its own, the last; rows that repeat a
+    doc_id are laid side by side; rows with a null doc_id are ordered by their texts. With no words at all every target
+    is 0; an empty table gives an empty result.
+    """
+    return _mixed(docs, weights, share, limit, seed).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def take(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The mix itself: the rows of docs (same columns), each as often as the mix takes it, rounded to whole documents."""
-    taken = mix(docs, seed=seed).where("taken > 0")
-    taken = taken.groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("copies")).where("copies > 0")
-    both = docs.join(taken, "doc_id").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return both.select(*docs.columns)
+    """The mix itself: the rows of docs (all columns), each as often as the mix takes it, rounded to whole documents.
+
+    Documents without words weigh nothing and stay once, whatever the targets. Rows with a null doc_id are mixed as all
+    others. Rows that share doc_id, source and length are taken equally often.
+    """
+    keys = _keys(seed)
+    taken = _mixed(docs, WEIGHTS, SHARE_OF_ALL, LIMIT, seed).groupBy(*keys).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
+    taken = taken.select(*keys, copies.alias("copies")).where("copies > 0")
+    rows = docs.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in keys.items()]).join(taken, list(keys))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 #: DuckDB's statement of the same result.
 ORACLE = r"""
 WITH base AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size,
-         md5('mix-1/' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+         md5('mix-1/' || coalesce(doc_id::VARCHAR, 'null/' || md5(coalesce(text, '')))) AS h FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM base GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS source_rank FROM sizes),
 weighed AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((source_rank - 1) % 3 + 1)::INT] AS w, 2 * source_size AS cap FROM ranked),
@@ -137,7 +156,7 @@ won AS (
   SELECT source_rank, count(*) AS won FROM (
     SELECT *, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, source_rank, k) AS r FROM tried) WHERE r <= seats_left GROUP BY 1),
 quotas AS (
-  SELECT b.*, low + coalesce(won, 0) AS source_quota, least(4096, floor(source_size / 100000) + 1)::BIGINT AS n_shards
+  SELECT b.*, low + coalesce(won, 0) AS source_quota, least(65536, floor(source_size / 100000) + 1)::BIGINT AS n_shards
   FROM bounds b LEFT JOIN won USING (source_rank)),
 placed AS (
   SELECT a.doc_id, a.size, a.h, q.*,

@@ -21,19 +21,24 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import cut
+from .common import before_in_order, cut
 
 WINDOW = 2048
 PIECE = 512
 END = 1
 BIN_TOKENS = 1_000_000
-BUCKETS = 256
+BUCKETS = 4096
 SEED = 20240817
 VOCABULARY = "byte_bpe_50k.tiktoken"
+# fixed values: the special token of that vocabulary
+SPECIAL = {"<|endoftext|>": 50256}
 
 
 def tokenizer(name: str = VOCABULARY):
-    """The public byte-level BPE; its ranks file holds the ids of byte_bpe_50k.json and encodes three times as fast."""
+    """The public byte-level BPE; its ranks file holds the ids of byte_bpe_50k.json and encodes three times as fast.
+
+    Its one special token is read in texts as that file's tokenizer reads it.
+    """
     import base64
 
     import public_tokenizers
@@ -41,7 +46,7 @@ def tokenizer(name: str = VOCABULARY):
 
     with open(public_tokenizers.path(name), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 def _encode(batches):
@@ -51,7 +56,7 @@ def _encode(batches):
     for batch in batches:
         for i in range(0, batch.num_rows, 1000):
             part = batch.slice(i, 1000)
-            ids = [np.append(code.encode_to_numpy(x or ""), END).astype(np.uint16) for x in part.column("text").to_pylist()]
+            ids = [np.append(code.encode_to_numpy(x or "", allowed_special="all"), END).astype(np.uint16) for x in part.column("text").to_pylist()]
             rows = pa.array([next(number) for _ in ids], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [rows, part.column("doc_id"), part.column("source"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
@@ -150,10 +155,11 @@ def plan(counts: DataFrame, bin_tokens: int = BIN_TOKENS) -> DataFrame:
     c = c.withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 8), F.lit(BUCKETS))).withColumn("h", F.struct("bucket", "h"))
     by_bucket = c.groupBy("known", "source", "bucket").agg(F.sum("n").alias("in_bucket"))
     by_source = W.partitionBy("known", "source")
-    everything = W.partitionBy(F.lit(0))  # over (source, bucket) sums only
+    everything = W.partitionBy(F.lit(0))  # over sums of sources only
     before = F.sum("in_bucket").over(by_source.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
-    by_bucket = by_bucket.withColumn("bucket_start", F.coalesce(before, F.lit(0))).withColumn("of_source", F.sum("in_bucket").over(by_source))
-    by_bucket = by_bucket.withColumn("total", F.sum("in_bucket").over(everything)).withColumn("source_rank", F.dense_rank().over(everything.orderBy("known", "source")))
+    sources = by_bucket.groupBy("known", "source").agg(F.sum("in_bucket").alias("of_source"))
+    sources = sources.withColumn("total", F.sum("of_source").over(everything)).withColumn("source_rank", F.row_number().over(everything.orderBy("known", "source")))
+    by_bucket = by_bucket.withColumn("bucket_start", F.coalesce(before, F.lit(0))).join(sources, ["known", "source"])
     c = c.join(by_bucket, ["known", "source", "bucket"])
     inside = F.sum("n").over(W.partitionBy("known", "source", "bucket").orderBy("h", "row").rowsBetween(W.unboundedPreceding, -1))
     c = c.withColumn("from", F.col("bucket_start") + F.coalesce(inside, F.lit(0)))
@@ -163,8 +169,7 @@ def plan(counts: DataFrame, bin_tokens: int = BIN_TOKENS) -> DataFrame:
     sums = c.groupBy("source_rank", "bin").agg(F.sum("n").alias("in_bin"), F.first("of_source").alias("of_source"), F.first("total").alias("total"))
     # bins that come before, over all sources: sums of a table of (bin, tokens)
     per_bin = sums.groupBy("bin").agg(F.sum("in_bin").alias("all_in_bin"))
-    prior = W.partitionBy(F.lit(0)).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    per_bin = per_bin.select("bin", F.coalesce(F.sum("all_in_bin").over(prior), F.lit(0)).alias("bin_start"))
+    per_bin = before_in_order(per_bin, "bin", "all_in_bin", "bin_start").select("bin", "bin_start")
     earlier = W.partitionBy("source_rank").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.join(per_bin, "bin").withColumn("share", F.col("of_source") / F.col("total"))
     sums = sums.withColumn("owed", F.col("share") * F.col("bin_start") - F.coalesce(F.sum("in_bin").over(earlier), F.lit(0)))
@@ -177,8 +182,8 @@ def pack(docs: DataFrame) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) for every piece.
 
     Each row of docs (doc_id, text, source; more are ignored) is one document: a null or empty text is the end id
-    alone; a null source is a source of its own; rows that repeat a doc_id are packed each; special-token strings in
-    a text are ordinary text. An empty table gives an empty result.
+    alone; a null source is a source of its own; rows that repeat a doc_id are packed each; the string of
+    the vocabulary's special token in a text is that token. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"))
     tokens = cut(docs.mapInArrow(_encode, "row long, doc_id long, source string, n long, ids binary"))

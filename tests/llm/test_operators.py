@@ -300,7 +300,6 @@ def test_packing(docs):
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = collections.defaultdict(list)
     for r in docs.collect():
         ids[r["doc_id"]].append(t.encode(r["text"] or "", add_special_tokens=False).ids + [1])
@@ -370,7 +369,7 @@ def test_html_held_out_pages():
     for k in range(40):
         page = html_text._Writer(777_000 + k).page()
         nodes = html_text.flatten(html_text.parse(page))
-        labels = iter([int(v) for t, v in re.findall(r'<(\w+) data-y="([01])"', page) if t in html_text.BLOCKS and t not in html_text.SILENT])
+        labels = iter(html_text.labels_of(page))
         keep = html_text.decode(nodes, model.margin(html_text.features(nodes)))
         for x in nodes:
             if x.parent is not None:
