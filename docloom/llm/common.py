@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 WORD = r"[^\x20\x09-\x0D]+"
 SHINGLE = 5
 SLICE_BYTES = 1 << 19
+ROWS = 2000
+# workers live on from one operator to the next: what Arrow frees goes back to the machine
+pa.set_memory_pool(pa.system_memory_pool())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,6 +34,14 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches have ROWS rows, as texts are long; a number that the user has set stays."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import IdFilter, U, components, cut, mix, shingle_hashes, slices, text_bytes, word_hashes
+from .common import IdFilter, U, components, cut, mix, shingle_hashes, short_batches, slices, text_bytes, word_hashes
 
 COORDINATES = 128
 TREES = 10
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links of each of its texts. A null doc_id links with nothing: component_id null, kept false. An empty table
     gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     features = cut(docs.mapInArrow(_features, FEATURES))
     # copies fold into the smallest doc_id of their set
     sets = features.where("n_shingles > 0 AND doc_id IS NOT NULL")

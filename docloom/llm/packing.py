@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import before_in_order, cut
+from .common import before_in_order, cut, short_batches
 
 WINDOW = 2048
 PIECE = 512
@@ -185,7 +185,7 @@ def pack(docs: DataFrame) -> DataFrame:
     alone; a null source is a source of its own; rows that repeat a doc_id are packed each; the string of
     the vocabulary's special token in a text is that token. An empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"))
+    docs = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"))
     tokens = cut(docs.mapInArrow(_encode, "row long, doc_id long, source string, n long, ids binary"))
     pieces = plan(tokens.select("row", "source", "n"))
     pieces = pieces.groupBy("row").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))

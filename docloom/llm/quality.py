@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import trees
-from .common import U, mix, slices, text_bytes, word_hashes
+from .common import U, mix, short_batches, slices, text_bytes, word_hashes
 
 #: Bound of the labelled sample, smallest hashes of doc_id first.
 SAMPLE = 20_000
@@ -71,7 +71,7 @@ def statistics(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, labels: DataFrame) -> trees.Forest:
     """The model of a bounded sample of labelled rows; without labels it keeps what passes the base rules."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
+    known = short_batches(labels).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
 
     def measure(batches):

@@ -20,10 +20,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import SHINGLE, IdFilter, U, _LANES, components, cut, mix, slices, text_bytes, word_hashes
+from .common import SHINGLE, IdFilter, U, _LANES, components, cut, mix, short_batches, slices, text_bytes, word_hashes
 
 BANDS = 3
-SHORT, LONG, NEAR = 8, 32, 4
+SHORT, LONG, NEAR = 8, 40, 4
 LEAST_RUN = 16
 SHARE, OF = 75, 100
 #: Members of a band that are compared at once; branching of larger ones.
@@ -105,6 +105,29 @@ def _keys(batches):
             )
 
 
+def _meeting(wanted: IdFilter):
+    """(path, pid) of the band keys that may be another paragraph's, too."""
+
+    def run(batches):
+        for batch in batches:
+            pid = batch.column(0).to_numpy()
+            paths = [band_path(batch.column(1 + b).to_numpy().view(np.uint64), b) for b in range(BANDS)]
+            keep = [wanted(p) for p in paths]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p, k in zip(paths, keep, strict=True)])), pa.array(np.concatenate([pid[k] for k in keep]))], names=["path", "pid"])
+
+    return run
+
+
+def band_path(key: np.ndarray, band: int) -> np.ndarray:
+    return mix(key ^ U((band + 1) * 0x9E3779B97F4A7C1)).view(np.int64)
+
+
+def _paths(batches):
+    """One row for each band of each paragraph."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([band_path(batch.column(b).to_numpy().view(np.uint64), b) for b in range(BANDS)]))], names=["path"])
+
+
 def _places(involved: IdFilter, near: IdFilter):
     """Place and length of every paragraph that may be involved; shingle sets of those that may have near ones."""
 
@@ -241,14 +264,17 @@ def repeated_passages(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     with removed = false. Null and empty texts have no paragraphs; rows with a null doc_id take no part; rows that
     repeat a doc_id are one document. An empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    docs = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     keys = [f"k{b}" for b in range(BANDS)]
     units = docs.mapInArrow(_keys, "doc_id long, pid long, " + ", ".join(f"{k} long" for k in keys))
     folded = units.groupBy("pid").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), *[F.min(k).alias(k) for k in keys])
     folded = cut(folded.select("pid", F.expr("lo < hi").alias("again"), *keys))
-    rows = folded.where("k0 >= 0").select("pid", F.explode(F.array(*[F.xxhash64(k, F.lit(i)) for i, k in enumerate(keys)])).alias("key"))
-    ends = rows.groupBy("key").agg(F.min("pid").alias("x"), F.max("pid").alias("y"), (F.count("*") > 3).alias("wide")).where("x != y")
-    banded = cut(rows.join(ends, "key"))
+    # most bands have one paragraph: keys are counted first, and only rows of shared ones go on to meet
+    lone = folded.where("k0 >= 0")
+    shared = cut(lone.select(*keys).mapInArrow(_paths, "path long").groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path"))
+    rows = cut(lone.select("pid", *keys).mapInArrow(_meeting(IdFilter(shared)), "path long, pid long").join(shared, "path"))
+    ends = rows.groupBy("path").agg(F.min("pid").alias("x"), F.max("pid").alias("y"), (F.count("*") > 3).alias("wide"))
+    banded = cut(rows.join(ends, "path"))
     met = banded.select("pid", F.explode(F.array("x", "y")).alias("hub")).where("pid != hub")
     near = cut(met.select(F.least("pid", "hub").alias("a"), F.greatest("pid", "hub").alias("b")).distinct())
 
@@ -261,7 +287,7 @@ def repeated_passages(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     places = places.drop("shingles").distinct()
     links = confirm(near, sets)
 
-    wide = banded.where("wide").select(F.col("key").alias("path"), "pid")  # up to three, the ends have met all
+    wide = banded.where("wide").select("path", "pid")  # up to three, the ends have met all
     comps = components(links.union(links_between(wide, sets, links)))
     places = places.join(comps.toDF("pid", "component"), "pid", "left").withColumn("component", F.coalesce("component", "pid"))
     first = F.min(F.struct("doc_id", "paragraph")).alias("first")

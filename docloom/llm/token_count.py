@@ -15,7 +15,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_bytes
+from .common import short_batches, text_bytes
 
 VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN_COST = 10.0
@@ -102,4 +102,4 @@ def count_tokens(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
                 [batch.column("doc_id"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["doc_id", "n_words", "n_tokens"]
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(apply, "doc_id long, n_words long, n_tokens long")
+    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(apply, "doc_id long, n_words long, n_tokens long")

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import short_batches
+
 #: Bounds of the labelled sample (smallest hashes of doc_id first) and of the lexicon.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 6000, 12000
 MOST_TERMS = 3000
@@ -192,7 +194,7 @@ def held_out(doc_id):
 
 def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic) of the bounded sample of labelled rows outside the held-out fold."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
+    known = short_batches(labels).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("r", F.xxhash64("doc_id"))
     parts = [known.where(F.col("toxic") == v).orderBy("r", "doc_id").limit(n) for v, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
     sample = parts[0].union(parts[1]).select("doc_id", "toxic")  # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows
