@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
-# fixed values: accented letters and their bases, lower case
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
-BASES = "aaaaaaeeeeiiiiooooouuuuncyy"
+
+def _decomposed() -> tuple[str, str]:
+    """Letters that decompose into one base and marks, with their bases; the marks themselves come last and have none."""
+    pairs = {}
+    for code in (*range(0xA0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000), *range(0xFF01, 0xFF5F)):
+        base = [x for x in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(x)]
+        if len(base) == 1 and base[0] != chr(code):
+            pairs[chr(code)] = base[0]
+    return "".join([*pairs, *map(chr, range(0x300, 0x370))]), "".join(pairs.values())
+
+
+ACCENTED, BASES = _decomposed()
 
 
 def let(value: Column, f) -> Column:
@@ -23,9 +34,14 @@ def casefold(t: Column) -> Column:
     return F.replace(F.lower(t), F.lit("ß"), F.lit("ss"))
 
 
+def strip_accents(t: Column) -> Column:
+    """Letters without their marks; those that decompose into several letters stay."""
+    return F.translate(t, ACCENTED, BASES)
+
+
 def fold_accents(t: Column) -> Column:
-    """Lower case without accents (T4)."""
-    return F.translate(casefold(t), ACCENTED, BASES)
+    """Case-folded, without accents (T4)."""
+    return strip_accents(casefold(t))
 
 
 def fold_sections(t: Column) -> Column:
@@ -40,12 +56,13 @@ def fingerprint(t: Column) -> Column:
 
 def heading(t: Column) -> Column:
     """Letters and digits only, folded, single spaces (T5)."""
-    return F.trim(F.regexp_replace(fold_accents(t), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(strip_accents(F.lower(t)), "[^a-z0-9]+", " "))
 
 
-def slug(t: Column, default: str = "documento") -> Column:
-    """T6."""
-    s = F.regexp_replace(F.regexp_replace(fold_accents(t), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+def slug(t: Column, default: str = "documento", accents: bool = True) -> Column:
+    """T6; without accents folded, an accented letter is a break as any other sign is (the variant for upload names)."""
+    low = strip_accents(F.lower(t)) if accents else F.lower(t)
+    s = F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.coalesce(F.nullif(s, F.lit("")), F.lit(default))
 
 
@@ -56,7 +73,7 @@ def plain_facts(t: Column) -> Column:
 
 def evaluation(t: Column) -> Column:
     """Accents off, lower case, squeezed."""
-    return squeeze(F.translate(F.lower(t), ACCENTED, BASES))
+    return squeeze(F.lower(strip_accents(t)))
 
 
 def compact(t: Column) -> Column:
@@ -124,6 +141,23 @@ def cell(t: Column) -> Column:
     return F.replace(F.replace(F.replace(t, F.lit("|"), F.lit("&#124;")), F.lit("\n"), F.lit(" ")), F.lit("<br>"), F.lit("; "))
 
 
+def table(headers: list[str], rows: Column) -> Column:
+    """A Markdown table of rows (array of arrays of strings)."""
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(F.transform(cells, cell), " | "), F.lit(" |"))
+    head = F.lit("| " + " | ".join(headers) + " |\n| " + " | ".join("---" for _ in headers) + " |")
+    return F.array_join(F.concat(F.array(head), F.transform(rows, line)), "\n")
+
+
+def source_label(rank: Column, source_file: Column, number: Column, page_start: Column, page_end: Column, chunk_id: Column) -> Column:
+    """T26."""
+    return F.concat(F.lit("[FUENTE "), rank, F.lit("] "), source_file, F.lit(" | seccion "), number, F.lit(" | paginas "), page_start, F.lit("-"), page_end, F.lit(" | "), chunk_id)
+
+
+def strip(t: Column) -> Column:
+    """White space of any kind off both ends."""
+    return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
+
+
 def unique_in_order(items: Column) -> Column:
     """Squeezed, edge blanks and semicolons off, no empties, first seen first."""
     clean = F.transform(items, lambda x: F.regexp_replace(squeeze(x), "^[ ;]+|[ ;]+$", ""))

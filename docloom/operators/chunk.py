@@ -43,3 +43,100 @@ def pack(docs: DataFrame, most: int, overlap: int) -> DataFrame:
     done = F.aggregate(paras, start, step, lambda s: F.when(F.size(s["cur"]) > 0, F.concat(s["out"], F.array(s["cur"]))).otherwise(s["out"]))
     d = docs.select("doc_id", F.posexplode(done).alias("i", "words"))
     return d.select("doc_id", (F.col("i") + 1).alias("chunk_index"), F.size("words").alias("tokens"), F.sha2(F.array_join("words", " "), 256).alias("content_sha256"))
+
+
+def paragraphs(t: Column) -> Column:
+    """Paragraphs between blank lines, trimmed, no empty ones."""
+    return F.filter(F.transform(F.split(T.strip(t), r"\n\s*\n"), lambda x: T.strip(x)), lambda x: x != "")
+
+
+def split_text(t: Column, most: int = 850, overlap: int = 100) -> Column:
+    """Paragraphs packed greedily up to `most` words, joined by blank lines.
+
+    A full chunk's last words begin the next one as a paragraph; a paragraph beyond `most` is cut into windows of its own,
+    which hand nothing on.
+    """
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("cur"), F.lit(0).alias("n"), none.alias("out"))
+
+    def joined(cur: Column) -> Column:
+        return F.array_join(cur, "\n\n")
+
+    def step(s, p):
+        def with_words(w):
+            k = F.greatest(F.lit(1), F.size(w))
+            flush = F.when(F.size(s["cur"]) > 0, F.concat(s["out"], F.array(joined(s["cur"])))).otherwise(s["out"])
+            cut = F.transform(windows(w, most, overlap), lambda x: F.array_join(x, " "))
+            tail = T.tail_words(joined(s["cur"]), overlap)
+            seeded = F.when(tail != "", F.array(tail, p)).otherwise(F.array(p))
+            long_ = F.struct(none.alias("cur"), F.lit(0).alias("n"), F.concat(flush, cut).alias("out"))
+            full = F.struct(seeded.alias("cur"), T.token_estimate(joined(seeded)).alias("n"), flush.alias("out"))
+            more = F.struct(F.concat(s["cur"], F.array(p)).alias("cur"), (s["n"] + k).alias("n"), s["out"].alias("out"))
+            return F.when(k > most, long_).when((F.size(s["cur"]) > 0) & (s["n"] + k > most), full).otherwise(more)
+
+        return T.let(T.words(p), with_words)
+
+    return F.aggregate(paragraphs(t), start, step, lambda s: F.when(F.size(s["cur"]) > 0, F.concat(s["out"], F.array(joined(s["cur"])))).otherwise(s["out"]))
+
+
+NO_TEXT = "Bloque textual de seccion no detectado; se conserva evidencia estructurada extraida de tablas e imagenes."
+NO_TITLE = "Evidencia sin seccion textual detectada"
+NO_OCR = "OCR sin texto legible."
+
+
+def section_content(source_file: Column, number: Column, title: Column, text: Column, tables: Column, images: Column) -> Column:
+    """A section as one text (C4): its head, its text, a block for each table and image."""
+    head = F.array(F.concat(F.lit("Documento: "), source_file), F.concat(F.lit("Seccion "), number, F.lit(": "), title), F.lit(""), T.strip(text))
+    of_table = F.transform(tables, lambda x: F.concat(F.lit("\n[Tabla "), x["asset_id"], F.lit("]\n"), x["markdown"], F.lit("\n"), x["trace_note"]))
+    ocr = lambda x: F.coalesce(F.nullif(T.strip(x["ocr_text"]), F.lit("")), F.lit(NO_OCR))
+    of_image = F.transform(
+        images,
+        lambda x: F.concat(F.lit("\n[Imagen "), x["asset_id"], F.lit("]\nTipo: "), x["kind"], F.lit(". Archivo: "), x["path"], F.lit(".\n"), x["trace_note"], F.lit("\nTexto OCR:\n"), ocr(x)),
+    )
+    return T.strip(F.array_join(F.concat(head, of_table, of_image), "\n"))
+
+
+def with_orphans(blocks: DataFrame, tables: DataFrame, images: DataFrame, titles: DataFrame) -> DataFrame:
+    """blocks (doc_id, number, title, page_start, page_end, text) with `tables` and `images` (from assets_by_section), and a
+    section for each number that only assets have (C6): it spans their pages and says that it has no text."""
+    t = tables.select("doc_id", F.col("section_number").alias("number"), F.col("items").alias("tables"))
+    i = images.select("doc_id", F.col("section_number").alias("number"), F.col("items").alias("images"))
+    assets = t.join(i, ["doc_id", "number"], "full_outer")
+    both = blocks.select("doc_id", "number", "title", "page_start", "page_end", "text", F.lit(True).alias("known")).join(assets, ["doc_id", "number"], "full_outer").join(titles, "number", "left")
+    types = dict(both.dtypes)
+    both = both.withColumn("tables", F.coalesce("tables", F.array().cast(types["tables"]))).withColumn("images", F.coalesce("images", F.array().cast(types["images"])))
+    pages = F.concat(F.transform("tables", lambda x: x["page"]), F.transform("images", lambda x: x["page"]))
+    return both.select(
+        "doc_id", "number", F.coalesce("title", "expected", F.lit(NO_TITLE)).alias("title"), F.coalesce("page_start", F.array_min(pages)).alias("page_start"),
+        F.coalesce("page_end", F.array_max(pages)).alias("page_end"), F.when(F.col("known"), F.col("text")).otherwise(NO_TEXT).alias("text"), "tables", "images",
+    )
+
+
+def section_chunks(sections: DataFrame, documents: DataFrame, most: int = 850, overlap: int = 100) -> DataFrame:
+    """The chunks of sections (with_orphans) of documents (doc_id, document_id, manufacturer, product, source_file).
+
+    Every piece of a section carries the ids of all its tables and images, and a trace.
+    """
+    s = sections.join(documents, "doc_id")
+    content = section_content(F.col("source_file"), F.col("number"), F.col("title"), F.col("text"), F.col("tables"), F.col("images"))
+    kinds = F.array(F.lit("text"), F.when(F.size("tables") > 0, F.lit("table")), F.when(F.size("images") > 0, F.lit("image")), F.when(F.size("images") > 0, F.lit("ocr")))
+    s = s.withColumn("pieces", split_text(content, most, overlap)).withColumn("content_types", F.array_sort(F.filter(kinds, lambda x: x.isNotNull())))
+    s = s.withColumn("table_ids", F.transform("tables", lambda x: x["asset_id"])).withColumn("image_ids", F.transform("images", lambda x: x["asset_id"]))
+    s = s.withColumn("asset_paths", F.transform("images", lambda x: x["path"])).withColumn("chunk_count_for_section", F.size("pieces"))
+    trace = F.struct(
+        "source_file", F.col("number").alias("section"), F.col("title").alias("section_title"), F.array("page_start", "page_end").alias("pages"), F.col("table_ids").alias("tables"), F.col("image_ids").alias("images")
+    )
+    s = s.withColumn("trace", trace).select("*", F.posexplode("pieces").alias("i", "content")).withColumn("chunk_index", F.col("i") + 1)
+    chunk_id = F.format_string("%s__sec%02d__chunk%02d", "document_id", "number", "chunk_index")
+    return s.select(
+        chunk_id.alias("chunk_id"), "document_id", "manufacturer", "product", "source_file", F.col("number").alias("section_number"), F.col("title").alias("section_title"), "page_start", "page_end",
+        "chunk_index", "chunk_count_for_section", "content", "content_types", "table_ids", "image_ids", "asset_paths", "trace",
+    )
+
+
+def report(chunks: DataFrame) -> DataFrame:
+    """A flat row for each chunk."""
+    return chunks.select(
+        "chunk_id", "document_id", "manufacturer", "product", "source_file", "section_number", "page_start", "page_end", "chunk_index", "chunk_count_for_section", T.token_estimate(F.col("content")).alias("token_estimate"),
+        F.array_join("content_types", ",").alias("content_types"), F.size("table_ids").alias("table_count"), F.size("image_ids").alias("image_count"), F.length("content").alias("content_chars"),
+    )

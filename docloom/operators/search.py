@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T
 
-MOST_BROADCAST = 50_000
+#: Questions that travel together to the vectors; one block is sent to every task, more meet by an equi-join.
+BLOCK = 512
 # fixed values: weights of the fused score and the boost of the wanted section, which counts twice
 DENSE, LEXICAL, COVERAGE, BOOST = 0.55, 0.25, 0.20, 0.18
 # fixed values: words that say nothing
@@ -35,11 +36,6 @@ SECTION_HINTS = {
 }
 
 
-def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """df marked for broadcast if it has so few rows; else left to the planner."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def terms(t: Column) -> Column:
     """Words of two characters or more, then their neighbours as pairs."""
 
@@ -55,23 +51,36 @@ def counts(docs: DataFrame, id_: str, text: str) -> DataFrame:
     return docs.select(F.col(id_).alias("id"), F.explode(terms(F.col(text))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def vocabulary(tf: DataFrame, n: DataFrame) -> DataFrame:
+def vocabulary(tf: DataFrame, n: int) -> DataFrame:
     """(term, df, idf) with idf = ln((1 + n) / (1 + df)) + 1."""
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    return df.join(F.broadcast(n), how="inner").select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return df.select("term", "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+
 
+def index_tables(docs: DataFrame, content: str = "text") -> dict[str, DataFrame]:
+    """The index of docs (doc_id, text; coverage asks the column `content`): vocab (term, df, idf), postings (doc_id, term, weight), words (doc_id, word).
 
-def tfidf_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, tfidf) of all pairs that share a term (R3, R4). docs (doc_id, text), queries (query_id, text)."""
+    Weights are tf * idf over the document's norm (R3). Words are the runs of four or more letters and digits, which
+    hold every term that coverage can ask for. Each text is read once for postings and once for words.
+    """
     tf = counts(docs, "doc_id", "text")
-    vocab = vocabulary(tf, docs.agg(F.count("*").alias("n")))
-    weights = tf.join(vocab, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    asked = counts(queries, "query_id", "text").join(vocab, "term").select(F.col("id").alias("query_id"), "term", (F.col("tf") * F.col("idf")).alias("q"))
-    q_norm = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
-    asked = asked.join(q_norm, "query_id").select("query_id", "term", (F.col("q") / F.col("q_norm")).alias("q"))
-    dots = weights.join(asked, "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
-    return dots.join(norms, "id").select("query_id", F.col("id").alias("doc_id"), (F.col("dot") / F.col("norm")).alias("tfidf"))
+    vocab = vocabulary(tf, docs.count())
+    w = tf.join(vocab, "term").select(F.col("id").alias("doc_id"), "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("doc_id")))
+    words = F.array_distinct(F.regexp_extract_all(T.fold_accents(F.col(content)), F.lit("([a-z0-9]{4,})"), 1))
+    return {"vocab": vocab, "postings": w.select("doc_id", "term", (F.col("w") / norm).alias("weight")), "words": docs.select("doc_id", F.explode(words).alias("word"))}
+
+
+def tfidf_scores(index: dict[str, DataFrame], queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, tfidf) of all pairs that share a term (R4), for queries (query_id, text).
+
+    Only postings of terms that are asked for are read on; a document's postings lie in one file, so its sums are
+    complete before they are shuffled.
+    """
+    asked = counts(queries, "query_id", "text").join(index["vocab"], "term").select(F.col("id").alias("query_id"), "term", (F.col("tf") * F.col("idf")).alias("q"))
+    norm = F.sqrt(F.sum(F.col("q") * F.col("q")).over(W.partitionBy("query_id")))
+    asked = asked.select("query_id", "term", (F.col("q") / norm).alias("q"))
+    return index["postings"].join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("q")).alias("tfidf"))
 
 
 def important_terms(t: Column) -> Column:
@@ -85,12 +94,25 @@ def coverage(content: Column, wanted: Column) -> Column:
     return F.when(F.size(wanted) == 0, F.lit(0.0)).otherwise(F.size(F.filter(wanted, lambda x: F.contains(content, x))) / F.size(wanted))
 
 
-def coverage_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, coverage) for every question against every document; the stated questions travel to the documents."""
-    d = docs.select("doc_id", T.fold_accents(F.col("text")).alias("content"))
-    q = queries.select("query_id", important_terms(F.col("text")).alias("wanted"))
-    both = d.join(small(q), how="inner")
-    return both.select("query_id", "doc_id", coverage(F.col("content"), F.col("wanted")).alias("coverage"))
+def coverage_scores(index: dict[str, DataFrame], queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, coverage) of all pairs with a wanted term in the document, anywhere in a word.
+
+    A term has letters and digits only, so it stands inside a word: the distinct words' pieces of the terms' lengths
+    meet the terms once, and what they hold is brought to the documents. No question meets a document without a term.
+    """
+    wanted = queries.select("query_id", important_terms(F.col("text")).alias("wanted"))
+    asked = wanted.select("query_id", F.size("wanted").alias("n"), F.explode("wanted").alias("term"))
+    terms_ = asked.select("term").distinct()
+    lengths = sorted(r[0] for r in terms_.select(F.length("term")).distinct().collect())  # one number for each length of a term
+
+    def pieces(word, n):
+        return F.when(F.length(word) >= n, F.transform(F.sequence(F.lit(1), F.length(word) - (n - 1)), lambda i: F.substring(word, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    word = F.col("word")
+    parts = F.array_distinct(F.concat(F.array().cast("array<string>"), *[pieces(word, n) for n in lengths]))
+    holds = index["words"].select("word").distinct().select("word", F.explode(parts).alias("term")).join(terms_, "term")
+    found = index["words"].join(holds, "word").select("doc_id", "term").distinct()
+    return found.join(asked, "term").groupBy("query_id", "doc_id").agg((F.count("*") / F.first("n")).alias("coverage"))
 
 
 def requested_section(t: Column) -> Column:
@@ -111,14 +133,63 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, label, score) of every question (query_id, q) against every other vector (vec_id, embedding, label).
+
+    Questions are a stated set. Up to BLOCK of them are sent to every task; more are dealt in blocks, and each vector
+    meets each block by its number.
+    """
+    n = queries.count()
+    if n <= BLOCK:
+        both = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id"))
+    else:
+        blocks = -(-n // BLOCK)
+        dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        every = vectors.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        both = every.join(dealt, "block").where("vec_id != query_id")
+    return both.select("query_id", F.col("vec_id").alias("doc_id"), "label", dot(F.col("q"), F.col("embedding")).alias("score"))
+
+
 def top_k(scores: DataFrame, k: int, score: str = "score", id_: str = "doc_id") -> DataFrame:
     """scores with rank, the best k of each query_id, ties to the smaller id."""
     w = W.partitionBy("query_id").orderBy(F.desc(score), id_)
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def lexical(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) = tfidf + 0.2 coverage: the mode without a dense encoder."""
-    c, t = coverage_scores(docs, queries), tfidf_scores(docs, queries)
-    both = c.join(t, ["query_id", "doc_id"], "left")
-    return both.select("query_id", "doc_id", F.round(F.coalesce("tfidf", F.lit(0.0)) + COVERAGE * F.col("coverage"), 6).alias("score"))
+def lexical(index: dict[str, DataFrame], queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) = tfidf + 0.2 coverage of all pairs that have either: the mode without a dense encoder."""
+    both = coverage_scores(index, queries).join(tfidf_scores(index, queries), ["query_id", "doc_id"], "full_outer")
+    score = F.coalesce("tfidf", F.lit(0.0)) + COVERAGE * F.coalesce("coverage", F.lit(0.0))
+    return both.select("query_id", "doc_id", F.round(score, 6).alias("score"))
+
+
+def hybrid(index: dict[str, DataFrame], queries: DataFrame, dense: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score): dense (query_id, doc_id, dense), lexical and coverage scores fused (R10), of all pairs that have one."""
+    key = ["query_id", "doc_id"]
+    both = dense.join(tfidf_scores(index, queries), key, "full_outer").join(coverage_scores(index, queries), key, "full_outer")
+    parts = ((DENSE, "dense"), (LEXICAL, "tfidf"), (COVERAGE, "coverage"))
+    return both.select(*key, F.round(sum((w * F.coalesce(c, F.lit(0.0)) for w, c in parts), F.lit(0.0)), 6).alias("score"))
+
+
+def boosted(scores: DataFrame, sections: DataFrame, queries: DataFrame, score: str = "score") -> DataFrame:
+    """scores with the boost of the wanted section added (R12): a question's section is the one it names, else the one its words hint at.
+
+    scores (query_id, doc_id, score), sections (doc_id, section_number), queries (query_id, text). The boost counts twice.
+    """
+    wanted = queries.select("query_id", F.coalesce(requested_section(F.col("text")), inferred_section(F.col("text"))).alias("wanted"))
+    both = scores.join(sections, "doc_id").join(wanted, "query_id")
+    extra = F.when(F.col("section_number") == F.col("wanted"), 2 * BOOST).otherwise(0.0)
+    return both.withColumn(score, F.round(F.col(score) + extra, 6))
+
+
+def index_text(product: Column, source_file: Column, number: Column, title: Column, page_start: Column, page_end: Column, content: Column) -> Column:
+    """What of a chunk is indexed."""
+    head = F.concat(F.lit("Producto: "), product, F.lit("\nDocumento: "), source_file, F.lit("\nSeccion "), number, F.lit(": "), title)
+    return F.concat(head, F.lit("\nPaginas: "), page_start, F.lit("-"), page_end, F.lit("\n"), content)
+
+
+def results(ranked: DataFrame, chunks: DataFrame, most_chars: int = 900) -> DataFrame:
+    """What a search prints of each result (R14): rank, score, source, section, pages and the beginning of its content."""
+    text = F.trim(F.substring("content", 1, most_chars))
+    both = ranked.select("query_id", "rank", "score", "chunk_id").join(chunks, "chunk_id")
+    return both.select("query_id", "rank", "score", "chunk_id", "source_file", "section_number", "section_title", T.page_span(F.col("page_start"), F.col("page_end")).alias("pages"), text.alias("excerpt"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators import answer, chunk, corpus, facts, search, segment
+from ..sources import io
 from ..streaming import ingest
 
 QUERIES: dict = {}
@@ -16,13 +14,44 @@ ORACLES: dict[str, str] = {}
 
 # --- SQL shared by the oracles ---
 _NORM = "trim(regexp_replace(replace(lower({0}), 'ß', 'ss'), '\\s+', ' ', 'g'))"
-_FOLD = "translate(replace(lower({0}), 'ß', 'ss'), '" + T.ACCENTED + "', '" + T.BASES + "')"
+_FOLD = "strip_accents(replace(lower({0}), 'ß', 'ss'))"
 _WORDS = "regexp_extract_all({0}, '\\S+')"
 
 
+class Tables:
+    """The tables of a folder by name."""
+
+    #: Paths of what was written, by session, folder and name: each step of a chain is made once and read by all after it.
+    written: dict[tuple[str, str, str], str] = {}
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+    def stored(self, name: str, make) -> DataFrame:
+        """The table that make() gives, written to the shared folder at first use and read."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in self.written:
+            path = io.shared_folder(self.spark, name)
+            make().write.parquet(path)
+            self.written[key] = path
+        return self.spark.read.parquet(self.written[key])
+
+    def index(self, name: str, docs: DataFrame, content: str = "text") -> dict[str, DataFrame]:
+        """The index tables of docs (doc_id, text, content), written at first use (K5) and read."""
+        key = (self.spark.sparkContext.applicationId, self.folder, f"index of {name}")
+        if key not in self.written:
+            path = io.shared_folder(self.spark, "index")
+            io.write_index(path, **search.index_tables(docs, content))
+            self.written[key] = path
+        return {k: io.read_index(self.spark, self.written[key], k) for k in ("vocab", "postings", "words")}
+
+
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
             ORACLES[f.__name__] = sql
         return f
@@ -74,7 +103,7 @@ def title_guess(t) -> DataFrame:
 
 
 @query(f"""
-SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace({_FOLD.format("url")}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'documento') AS slug FROM pages""")
+SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(strip_accents(lower(url)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'documento') AS slug FROM pages""")
 def slug_identity(t) -> DataFrame:
     return t("pages").select("page_id", T.slug(F.col("url")).alias("slug"))
 
@@ -195,19 +224,14 @@ def first_turn_by_role(t) -> DataFrame:
 @query("""
 SELECT conv_id, list_sort(list_filter(range(0, max(turn) + 1), lambda x: NOT list_contains(list(turn), x))) AS missing FROM conversations GROUP BY conv_id""")
 def missing_turns(t) -> DataFrame:
-    c = t("conversations").withColumn("all", F.sequence(F.lit(0).cast("long"), F.col("turn")))
-    return segment.missing_numbers(c, "conv_id", "turn", F.col("all"))
+    return segment.missing_numbers(t("conversations"), "conv_id", "turn")
 
 
 @query("""
 SELECT conv_id, turn, role, coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn, role, text), max(turn) OVER (PARTITION BY conv_id)) AS span_end,
        coalesce(lag(turn) OVER (PARTITION BY conv_id ORDER BY turn, role, text) = turn, false) AS repeated FROM conversations""")
 def turn_spans(t) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    end = F.coalesce(F.lead("turn").over(w), F.max("turn").over(W.partitionBy("conv_id")))
-    return t("conversations").select("conv_id", "turn", "role", end.alias("span_end"), F.coalesce(F.lag("turn").over(w) == F.col("turn"), F.lit(False)).alias("repeated"))
+    return segment.spans(t("conversations"), "conv_id", "turn", "role", "text").select("conv_id", "turn", "role", "span_end", "repeated")
 
 
 @query("""
@@ -234,107 +258,84 @@ def range_attribution(t) -> DataFrame:
 
     docs = t("documents").select("doc_id", F.explode(T.let(w, keys)).alias("key"))
     items = t("benchmark").select("item_id", F.col("text").alias("item"), F.xxhash64(F.array_join(F.slice(w, 1, 5), " ")).alias("key"))
-    met = docs.join(search.small(items), "key").select("doc_id", "item_id", "item").distinct()
+    met = docs.join(items, "key").select("doc_id", "item_id", "item").distinct()
     place = F.instr("text", F.col("item"))
     return met.join(t("documents").select("doc_id", "text"), "doc_id").where(place > 0).select("doc_id", "item_id", place.alias("place"), F.floor((place - 1) / 1000).cast("int").alias("block"))
 
 
-_FIXTURE = [
-    (1, 1, "Ficha\nSECCIÓN 1: Identificación de la sustancia o la mezcla\nTexto de la parte. Ver sección 3:\nComponentes no aplica\nSección 02 - Identificación de los peligros\nH315"),
-    (1, 2, "Section 3. Composición/información sobre los componentes\n| CAS | 67-64-1 |\nsección 4: ab\nSeccion 4 Primeros auxilios en caso de duda Sección 5: Medidas de lucha contra incendios"),
-    (2, 1, "sección 16: Otra información\nSeccion 14: Información relativa al transporte\nUN 1263 3 II"),
-    (3, 1, "sin encabezados"),
-]
-_TITLES = list(segment.SECTION_TITLES.items())
-
-
-def _literal(rows) -> str:
-    def one(v):
-        return str(v) if isinstance(v, int) else "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-
-    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
-
-
-def _heading_sql(c: str) -> str:
-    return f"trim(regexp_replace({_FOLD.format(c)}, '[^a-z0-9]+', ' ', 'g'))"
-
-
-@query(rf"""
-WITH pages(doc_id, page, text) AS (VALUES {_literal(_FIXTURE)}), titles(number, expected) AS (VALUES {_literal(_TITLES)}),
-m AS (SELECT doc_id, page, string_split(regexp_replace(translate(text, 'áéíóúñÁÉÍÓÚÑ', 'aeiounAEIOUN'), '(?i)(?:seccion|section)\s*0?(1[0-6]|[1-9])\s*[:.\-]?\s*', chr(10) || chr(1) || '\1' || chr(2), 'g'), chr(10)) AS pieces FROM pages),
-u AS (SELECT doc_id, page, unnest(range(1, len(pieces) + 1)) AS k, pieces FROM m),
-h AS (SELECT doc_id, page, k, regexp_extract(pieces[k], '^\x01([0-9]+)', 1)::INT AS number, left(trim(regexp_replace(split_part(pieces[k], chr(2), 2), '\s+', ' ', 'g')), 180) AS title
-      FROM u WHERE starts_with(pieces[k], chr(1))),
-v AS (SELECT h.*, {_heading_sql("expected")} AS e, {_heading_sql("title")} AS c FROM h JOIN titles USING (number) WHERE length(regexp_replace(title, '[^A-Za-z]', '', 'g')) >= 3),
-s AS (SELECT *, CASE WHEN e = '' OR c = '' THEN 0 WHEN starts_with(c, e) OR starts_with(e, c) THEN 100 WHEN contains(c, e) THEN 60
-        ELSE len(list_filter(string_split(e, ' '), lambda x: length(x) > 3 AND contains(c, x))) END AS score FROM v),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, number ORDER BY score DESC, page, k) AS rn FROM s)
-SELECT doc_id::INT AS doc_id, number, page::INT AS page, title, score::INT AS score FROM r WHERE rn = 1""")
-def heading_hits(t) -> DataFrame:
-    spark = t("region").sparkSession
-    pages = spark.createDataFrame(_FIXTURE, "doc_id int, page int, text string")
-    titles = spark.createDataFrame(_TITLES, "number int, expected string")
-    return segment.best_hits(segment.section_hits(pages), titles).select("doc_id", "number", "page", "title", "score")
-
-
 @query("""
 WITH r AS (SELECT source, doc_id, n_chars, text, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents)
-SELECT source, '| doc_id | n_chars | text |' || chr(10) || '|---|---|---|' || chr(10) ||
+SELECT source, '| doc_id | n_chars | text |' || chr(10) || '| --- | --- | --- |' || chr(10) ||
        string_agg('| ' || doc_id || ' | ' || n_chars || ' | ' || replace(replace(left(text, 40), '|', '&#124;'), chr(10), ' ') || ' |', chr(10) ORDER BY k) AS report FROM r WHERE k <= 3 GROUP BY source""")
 def render_report(t) -> DataFrame:
     """The three longest documents of each source as a Markdown table."""
     d = search.top_k(t("documents").select(F.col("source").alias("query_id"), "doc_id", "n_chars", "text"), 3, "n_chars")
-    row = F.concat(F.lit("| "), F.col("doc_id"), F.lit(" | "), F.col("n_chars"), F.lit(" | "), T.cell(F.substring("text", 1, 40)), F.lit(" |"))
+    row = F.array(F.col("doc_id").cast("string"), F.col("n_chars").cast("string"), F.substring("text", 1, 40))
     rows = F.array_sort(F.collect_list(F.struct("rank", row.alias("r"))))
-    report = F.concat(F.lit("| doc_id | n_chars | text |\n|---|---|---|\n"), F.array_join(F.transform(rows, lambda x: x["r"]), "\n"))
+    report = T.table(["doc_id", "n_chars", "text"], F.transform(rows, lambda x: x["r"]))
     return d.groupBy("query_id").agg(report.alias("report")).select(F.col("query_id").alias("source"), "report")
 
 
 _TERMS = f"regexp_extract_all({_FOLD.format('text')}, '[\\p{{L}}\\p{{N}}_]{{2,}}')"
-_TFIDF = f"""
-dw AS (SELECT doc_id AS id, {_TERMS} AS w FROM documents),
-qw AS (SELECT item_id AS id, {_TERMS} AS w FROM benchmark),
+_STOP = ", ".join(f"'{x}'" for x in search.STOPWORDS)
+
+
+def tfidf_sql(docs: str, id_: str, queries: str, qid: str) -> str:
+    """tfidf (query_id, doc_id, tfidf) and vocab (term, df, idf) of two tables with a text."""
+    return f"""
+dw AS (SELECT {id_} AS id, {_TERMS} AS w FROM {docs}),
+qw AS (SELECT {qid} AS id, {_TERMS} AS w FROM {queries}),
 dt AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM dw),
 qt AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM qw),
 tf AS (SELECT id, term, count(*) AS tf FROM dt GROUP BY 1, 2),
-vocab AS (SELECT term, count(*) AS df, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term),
+vocab AS (SELECT term, count(*) AS df, ln((1 + (SELECT count(*) FROM {docs})) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term),
 wt AS (SELECT id, term, tf * idf AS w FROM tf JOIN vocab USING (term)),
 nrm AS (SELECT id, sqrt(sum(w * w)) AS norm FROM wt GROUP BY id),
 qv AS (SELECT id AS query_id, term, count(*) * any_value(idf) AS q FROM qt JOIN vocab USING (term) GROUP BY 1, 2),
 qn AS (SELECT query_id, sqrt(sum(q * q)) AS qn FROM qv GROUP BY 1),
 tfidf AS (SELECT query_id, wt.id AS doc_id, sum(w * q) / any_value(qn) / any_value(norm) AS tfidf FROM wt JOIN qv USING (term) JOIN qn USING (query_id) JOIN nrm ON nrm.id = wt.id GROUP BY 1, 2)"""
-_STOP = ", ".join(f"'{x}'" for x in search.STOPWORDS)
-_COVERAGE = f"""
-cq AS (SELECT item_id AS query_id, list_sort(list_distinct(list_filter(regexp_extract_all({_FOLD.format("text")}, '[a-z0-9]{{4,}}'), lambda x: x NOT IN ({_STOP})))) AS wanted FROM benchmark),
-cd AS (SELECT doc_id, {_FOLD.format("text")} AS content FROM documents),
-coverage AS (SELECT query_id, doc_id, CASE WHEN len(wanted) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(wanted, lambda x: contains(content, x)))::DOUBLE / len(wanted) END AS coverage FROM cd, cq)"""
-_LEXICAL = f"{_TFIDF}, {_COVERAGE}, lexical AS (SELECT query_id, doc_id, round(coalesce(tfidf, 0) + 0.2 * coverage, 6) AS score FROM coverage LEFT JOIN tfidf USING (query_id, doc_id))"
+
+
+def coverage_sql(docs: str, id_: str, queries: str, qid: str, content: str = "text") -> str:
+    """coverage (query_id, doc_id, coverage) of the pairs that have some."""
+    return f"""
+cq AS (SELECT {qid} AS query_id, list_sort(list_distinct(list_filter(regexp_extract_all({_FOLD.format("text")}, '[a-z0-9]{{4,}}'), lambda x: x NOT IN ({_STOP})))) AS wanted FROM {queries}),
+cd AS (SELECT {id_} AS doc_id, {_FOLD.format(content)} AS content FROM {docs}),
+coverage AS (
+  SELECT query_id, doc_id, n::DOUBLE / m AS coverage
+  FROM (SELECT query_id, doc_id, len(list_filter(wanted, lambda x: contains(content, x))) AS n, len(wanted) AS m FROM cd, cq) WHERE n > 0)"""
+
+
+_TFIDF, _COVERAGE = (f("documents", "doc_id", "benchmark", "item_id") for f in (tfidf_sql, coverage_sql))
+_LEXICAL = f"{_TFIDF}, {_COVERAGE}, lexical AS (SELECT query_id, doc_id, round(coalesce(tfidf, 0) + 0.2 * coalesce(coverage, 0), 6) AS score FROM coverage FULL JOIN tfidf USING (query_id, doc_id))"
 
 
 def _ranked(table: str, k: int, score: str = "score") -> str:
     return f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, doc_id) AS rank FROM {table}) WHERE rank <= {k}"
 
 
+def _index(t) -> dict[str, DataFrame]:
+    return t.index("documents", t("documents").select("doc_id", "text"))
+
+
 def _asked(t) -> DataFrame:
     return t("benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 @query(f"WITH {_TFIDF} SELECT term, df, round(idf, 6) AS idf FROM vocab")
 def tfidf_vocab(t) -> DataFrame:
-    d = t("documents")
-    v = search.vocabulary(search.counts(d, "doc_id", "text"), d.agg(F.count("*").alias("n")))
-    return v.select("term", "df", F.round("idf", 6).alias("idf"))
+    return _index(t)["vocab"].select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_TFIDF}, s AS (SELECT query_id, doc_id, round(tfidf, 6) AS score FROM tfidf) SELECT query_id, rank::INT AS rank, doc_id, score FROM {_ranked('s', 5)}")
 def tfidf_search(t) -> DataFrame:
-    s = search.tfidf_scores(t("documents"), _asked(t)).select("query_id", "doc_id", F.round("tfidf", 6).alias("score"))
+    s = search.tfidf_scores(_index(t), _asked(t)).select("query_id", "doc_id", F.round("tfidf", 6).alias("score"))
     return search.top_k(s, 5).select("query_id", "rank", "doc_id", "score")
 
 
 @query(f"WITH {_COVERAGE} SELECT query_id, doc_id, round(coverage, 6) AS coverage FROM coverage")
 def term_coverage(t) -> DataFrame:
-    return search.coverage_scores(t("documents"), _asked(t)).select("query_id", "doc_id", F.round("coverage", 6).alias("coverage"))
+    return search.coverage_scores(_index(t), _asked(t)).select("query_id", "doc_id", F.round("coverage", 6).alias("coverage"))
 
 
 _DENSE = """
@@ -346,8 +347,7 @@ def _dense(t) -> DataFrame:
     """Every twentieth vector as a stated question against all others."""
     e = t("embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    both = e.join(search.small(q), F.col("vec_id") != F.col("query_id"))
-    return both.select("query_id", F.col("vec_id").alias("doc_id"), "label", F.round(search.dot(F.col("q"), F.col("embedding")), 6).alias("score"))
+    return search.dense_scores(e, q).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_DENSE} SELECT query_id, rank::INT AS rank, doc_id, score FROM {_ranked('dense', 5)}")
@@ -355,55 +355,44 @@ def dense_topk(t) -> DataFrame:
     return search.top_k(_dense(t), 5).select("query_id", "rank", "doc_id", "score")
 
 
-# each language takes the place of a section; its frequent words are the hints
-_LANG_HINTS = {1: (" the ", " of ", " and "), 2: (" der ", " und ", " die "), 3: (" le ", " la ", " des "), 4: (" el ", " los ", " que ")}
+def section_sql(c: str) -> str:
+    """The section a folded question asks for, or null."""
 
+    def score(hints) -> str:
+        return " + ".join(f"contains({c}, '{h}')::INT" for h in hints)
 
-def _hint_sql(c: str) -> str:
-    parts = [f"struct_pack(score := {' + '.join(f'''contains({c}, '{h}')::INT''' for h in hs)}, section := {k})" for k, hs in _LANG_HINTS.items()]
-    return f"list_max([{', '.join(parts)}])"
+    best = f"list_max([{', '.join(f'struct_pack(score := {score(hs)}, section := {k})' for k, hs in search.SECTION_HINTS.items())}])"
+    return rf"coalesce(nullif(regexp_extract({c}, '\bseccion\s+(1[0-6]|[1-9])\b', 1), '')::INT, CASE WHEN ({best}).score > 0 THEN ({best}).section END)"
 
 
 @query(f"""
-WITH b AS (SELECT item_id, {_hint_sql(_FOLD.format("text"))} AS m, nullif(regexp_extract({_FOLD.format("text")}, '\\bseccion\\s+(1[0-6]|[1-9])\\b', 1), '')::INT AS r FROM benchmark)
-SELECT item_id, coalesce(r, CASE WHEN m.score > 0 THEN m.section END)::INT AS section,
-       CASE WHEN coalesce(r, CASE WHEN m.score > 0 THEN m.section END) IS NULL THEN 0.0 ELSE 0.36 END::DOUBLE AS boost FROM b""")
+WITH q AS (SELECT conv_id, turn, {_FOLD.format("text")} AS f FROM conversations WHERE role = 'user' AND text IS NOT NULL), s AS (SELECT conv_id, turn, {section_sql("f")} AS section FROM q)
+SELECT conv_id, turn, section::INT AS section, CASE WHEN section IS NULL THEN 0.0 ELSE 0.36 END::DOUBLE AS boost FROM s""")
 def intent_boost(t) -> DataFrame:
-    section = F.coalesce(search.requested_section(F.col("text")), search.inferred_section(F.col("text"), _LANG_HINTS))
-    return t("benchmark").select("item_id", section.alias("section")).withColumn("boost", F.when(F.col("section").isNull(), 0.0).otherwise(2 * search.BOOST))
+    """The section that each question names or hints at (R8, R9), and what its chunks gain."""
+    c = t("conversations").where("role = 'user' AND text IS NOT NULL")
+    section = F.coalesce(search.requested_section(F.col("text")), search.inferred_section(F.col("text")))
+    return c.select("conv_id", "turn", section.alias("section")).withColumn("boost", F.when(F.col("section").isNull(), 0.0).otherwise(2 * search.BOOST))
 
 
 @query(f"""
 WITH {_LEXICAL}, {_DENSE.replace("e AS (", "e AS (", 1)},
 q AS (SELECT item_id AS query_id, (item_id * 20) AS vec FROM benchmark),
-h AS (SELECT l.query_id, l.doc_id, round(0.55 * coalesce(dv.score, 0) + 0.25 * coalesce(tfidf, 0) + 0.2 * coverage, 6) AS score
-      FROM coverage l JOIN q USING (query_id) LEFT JOIN tfidf t ON t.query_id = l.query_id AND t.doc_id = l.doc_id
-      LEFT JOIN dense dv ON dv.query_id = q.vec AND dv.doc_id = l.doc_id)
+dv AS (SELECT q.query_id, doc_id, score AS dense FROM dense JOIN q ON dense.query_id = q.vec),
+h AS (SELECT query_id, doc_id, round(0.55 * coalesce(dense, 0) + 0.25 * coalesce(tfidf, 0) + 0.2 * coalesce(coverage, 0), 6) AS score
+      FROM dv FULL JOIN tfidf USING (query_id, doc_id) FULL JOIN coverage USING (query_id, doc_id))
 SELECT query_id, rank::INT AS rank, doc_id, score FROM {_ranked("h", 5)}""")
 def hybrid_search(t) -> DataFrame:
     """Dense, lexical and coverage scores fused; question i has the vector 20 i."""
     asked = _asked(t)
-    c, s = search.coverage_scores(t("documents"), asked), search.tfidf_scores(t("documents"), asked)
     d = _dense(t).select((F.col("query_id") / 20).cast("long").alias("query_id"), "doc_id", F.col("score").alias("dense"))
-    both = c.join(s, ["query_id", "doc_id"], "left").join(d, ["query_id", "doc_id"], "left")
-    score = search.DENSE * F.coalesce("dense", F.lit(0.0)) + search.LEXICAL * F.coalesce("tfidf", F.lit(0.0)) + search.COVERAGE * F.col("coverage")
-    return search.top_k(both.select("query_id", "doc_id", F.round(score, 6).alias("score")), 5).select("query_id", "rank", "doc_id", "score")
+    d = d.join(asked.select("query_id"), "query_id")
+    return search.top_k(search.hybrid(_index(t), asked, d), 5).select("query_id", "rank", "doc_id", "score")
 
 
 @query(f"WITH {_LEXICAL} SELECT query_id, rank::INT AS rank, doc_id, score FROM {_ranked('lexical', 5)}")
 def lexical_fallback(t) -> DataFrame:
-    return search.top_k(search.lexical(t("documents"), _asked(t)), 5).select("query_id", "rank", "doc_id", "score")
-
-
-@query(rf"""
-WITH {_LEXICAL}, top AS (SELECT * FROM {_ranked("lexical", 3)}),
-b AS (SELECT query_id, rank, '[FUENTE ' || rank || ']' || chr(10) || 'documento: ' || doc_id || chr(10) || 'fuente: ' || source || chr(10) || 'contenido:' || chr(10) || trim(left(text, 400)) AS block
-      FROM top JOIN documents USING (doc_id))
-SELECT query_id, sha256(string_agg(block, chr(10) || chr(10) ORDER BY rank)) AS context_sha256, length(string_agg(block, chr(10) || chr(10) ORDER BY rank))::INT AS chars FROM b GROUP BY query_id""")
-def context_pack(t) -> DataFrame:
-    top = search.top_k(search.lexical(t("documents"), _asked(t)), 3)
-    c = answer.context(top.join(t("documents").select("doc_id", "source", "text"), "doc_id"), 400)
-    return c.select("query_id", F.sha2("context", 256).alias("context_sha256"), F.length("context").alias("chars"))
+    return search.top_k(search.lexical(_index(t), _asked(t)), 5).select("query_id", "rank", "doc_id", "score")
 
 
 @query(r"""
@@ -452,8 +441,8 @@ _SQ = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 
 @query(rf"""
 SELECT doc_id, sha256(translate(text, 'áéíóúñÁÉÍÓÚÑ', 'aeiounAEIOUN')) AS section_form,
-       sha256(trim(regexp_replace({_FOLD.format("text")}, '[^a-z0-9]+', ' ', 'g'))) AS heading_form,
-       sha256({_SQ.format("lower(text)")}) AS fact_form, sha256({_SQ.format(f"translate(lower(text), '{T.ACCENTED}', '{T.BASES}')")}) AS evaluation_form,
+       sha256(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g'))) AS heading_form,
+       sha256({_SQ.format("lower(text)")}) AS fact_form, sha256({_SQ.format("lower(strip_accents(text))")}) AS evaluation_form,
        sha256(regexp_replace(text, '\s+', ' ', 'g')) AS compact_form, sha256('"' || replace(replace(text, '\', '\\'), '"', '\"') || '"') AS yaml_form FROM documents""")
 def normaliser_variants(t) -> DataFrame:
     """The normalisers that differ, each as a hash of what it makes of a text."""
@@ -461,68 +450,10 @@ def normaliser_variants(t) -> DataFrame:
     return t("documents").select("doc_id", *[F.sha2(f(F.col("text")), 256).alias(f"{name}_form") for name, f in forms.items()])
 
 
-_ASSETS = [
-    (1, 450, 120, 1, 119, "Logo.JPEG", 1, 1), (2, 450, 120, 1, 120, ".png", 1, 2), (3, 450, 120, 2, 0, "gif", 3, 3), (4, 80, 80, 1, 500, "..jpg", 2, 5),
-    (5, 100, 170, 4, 30, "webp", 4, 4), (6, 100, 171, 4, 30, "svg", 4, 6), (7, 99, 99, 1, 0, "", 7, 7), (8, 81, 80, 1, 0, "TIFF", 1, 9),
-]
-
-
-@query(f"""
-WITH a(asset_id, width, height, page, y0, name, page_start, page_end) AS (VALUES {_literal(_ASSETS)}), e AS (SELECT *, regexp_replace(lower(name), '^\\.+', '') AS x FROM a)
-SELECT asset_id::INT AS asset_id, CASE WHEN width >= 450 AND height >= 120 AND page = 1 AND y0 < 120 THEN 'header_logo' WHEN width <= 80 AND height <= 80 THEN 'small_icon'
-         WHEN abs(width - height) <= 70 AND width >= 100 THEN 'pictogram' ELSE 'embedded' END AS kind,
-       CASE WHEN x = 'jpeg' THEN 'jpg' WHEN x IN ('png', 'jpg', 'webp', 'gif', 'bmp', 'tiff') THEN x ELSE 'png' END AS extension,
-       CASE WHEN page_start = page_end THEN page_start::VARCHAR ELSE page_start || '-' || page_end END AS pages FROM e""")
-def asset_labels(t) -> DataFrame:
-    """Kind, extension and page span of images on both sides of each rule's bounds."""
-    a = t("region").sparkSession.createDataFrame(_ASSETS, "asset_id int, width int, height int, page int, y0 int, name string, page_start int, page_end int")
-    kind = T.image_kind(*(F.col(c) for c in ("width", "height", "page", "y0")))
-    return a.select("asset_id", kind.alias("kind"), T.image_extension(F.col("name")).alias("extension"), T.page_span(F.col("page_start"), F.col("page_end")).alias("pages"))
-
-
-_SHEETS = [
-    (1, "Emergencia CISPROQUIM\nBogotá: 601 288 60 12\nResto del país: 01 8000 91 60 12\nTeléfono: 601 412 33 00\nTelefono : Cisproquim 601\nNúmero de Teléfono: 604 555 00 11\nTeléfono: 3"),
-    (2, "Bogota: 1\n| Tolueno | 108-88-3 ; | 20 % |\nxileno 1330-20-7 en mezcla\n| Tolueno | 108-88-3 | 20 % |\nsin 12-3-4"),
-    (3, "Número ONU: UN 1263\nClase: 3\nGrupo de embalaje: III"),
-    (4, "transporte por tierra UN1263 3 ii pintura"),
-    (5, "nada"),
-]
-_MISSING = "no reportado en el fragmento"
-
-
-def _first_sql(pattern: str) -> str:
-    return f"coalesce(nullif(trim(regexp_extract(content, '(?i){pattern}', 1)), ''), '{_MISSING}')"
-
-
-@query(rf"""
-WITH s(sheet, content) AS (VALUES {_literal(_SHEETS)}),
-l AS (SELECT *, list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '{facts.CAS}')) AS cas,
-        regexp_extract_all(content, '(?i)(?:N[úu]mero de Tel[ée]fono|Tel[ée]fono)\s*:\s*([^\n]+)', 1) AS phones,
-        contains(lower(content), 'cisproquim') AND regexp_matches(content, '(?i)Bogot[áa]\s*:\s*[^\n]+|Resto del pa[íi]s\s*:\s*[^\n]+') AS emergency,
-        regexp_extract(content, '(?i)UN\s?(\d{{4}})', 1) AS un, regexp_extract(content, '(?is)UN\s?\d{{4}}(.{{0,30}})', 1) AS tail FROM s),
-c AS (SELECT *, list_filter(list_transform(flatten(list_transform(cas, lambda x: CASE WHEN starts_with(x, '|') THEN string_split(x, '|') ELSE [x] END)),
-        lambda x: regexp_replace(trim(regexp_replace(x, '\s+', ' ', 'g')), '^[ ;]+|[ ;]+$', '', 'g')), lambda x: x != '') AS cells,
-        {_first_sql(r"(?:N[úu]mero ONU|No\. UN/ID)\s*:\s*([^\n]+)")} AS o, {_first_sql(r"Clase\s*:\s*([^\n]+)")} AS k, {_first_sql(r"Grupo de embalaje\s*:\s*([^\n]+)")} AS g,
-        regexp_extract(tail, '(?i)\s*([1-9])\s*(I{{1,3}}|IV|V)\b', 1) AS sk, upper(regexp_extract(tail, '(?i)\s*([1-9])\s*(I{{1,3}}|IV|V)\b', 2)) AS sg FROM l)
-SELECT sheet::INT AS sheet, CASE WHEN emergency THEN {_first_sql(r"Bogot[áa]\s*:\s*([^\n]+)")} END AS bogota, CASE WHEN emergency THEN {_first_sql(r"Resto del pa[íi]s\s*:\s*([^\n]+)")} END AS resto,
-       array_to_string(list_filter(list_transform(phones, lambda x: trim(x)), lambda x: NOT contains(lower(x), 'cisproquim'))[1:2], ' / ') AS provider,
-       CASE WHEN starts_with(o, 'no reportado') AND un != '' THEN 'UN ' || un ELSE o END AS onu, CASE WHEN k = '{_MISSING}' AND sk != '' THEN sk ELSE k END AS transport_class,
-       CASE WHEN g = '{_MISSING}' AND sg != '' THEN sg ELSE g END AS packing_group,
-       array_to_string(list_filter(cells, lambda x, i: list_position(cells, x) = i)[1:10], '; ') AS components FROM c""")
-def safety_facts(t) -> DataFrame:
-    """Phones, transport data and CAS components read from sheets written for the purpose."""
-    sheets, c = t("region").sparkSession.createDataFrame(_SHEETS, "sheet int, content string"), F.col("content")
-    line, move = facts.emergency_phone(c), facts.transport(c)
-    return sheets.select(
-        "sheet", line["bogota"].alias("bogota"), line["resto"].alias("resto"), facts.provider_phones(c).alias("provider"),
-        *[move[k].alias(k) for k in ("onu", "transport_class", "packing_group")], facts.cas_components(c).alias("components"),
-    )
-
-
 @query(rf"""
 WITH u AS (SELECT conv_id, turn, list_sort(list_distinct(regexp_extract_all(text, '\S+'))) AS terms FROM conversations WHERE role = 'user' AND text IS NOT NULL),
-r AS (SELECT u.conv_id, u.turn, terms, len(list_filter(terms, lambda x: contains({_SQ.format(f"translate(lower(a.text), '{T.ACCENTED}', '{T.BASES}')")},
-        {_SQ.format(f"translate(lower(x), '{T.ACCENTED}', '{T.BASES}')")}))) AS hit FROM u JOIN conversations a USING (conv_id) WHERE a.role = 'assistant' AND a.text IS NOT NULL AND a.turn = u.turn + 1)
+r AS (SELECT u.conv_id, u.turn, terms, len(list_filter(terms, lambda x: contains({_SQ.format("lower(strip_accents(a.text))")},
+        {_SQ.format("lower(strip_accents(x))")}))) AS hit FROM u JOIN conversations a USING (conv_id) WHERE a.role = 'assistant' AND a.text IS NOT NULL AND a.turn = u.turn + 1)
 SELECT conv_id, turn, hit = len(terms) AS all_found, round(CASE WHEN len(terms) = 0 THEN 1.0::DOUBLE ELSE hit::DOUBLE / len(terms) END, 4) AS share FROM r""")
 def reply_terms(t) -> DataFrame:
     """Which of a question's words its reply holds."""
@@ -535,7 +466,7 @@ def reply_terms(t) -> DataFrame:
 
 def upload_microbatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents through the ingesting stream, folded by fingerprint."""
-    base = (spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="docloom-")) + "/ingest-" + uuid.uuid4().hex
+    base = io.shared_folder(spark, "ingest")
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     return ingest.ingest(spark, f"{sf_dir}/[d]ocuments.parquet", f"{base}/out", schema, f"{base}/state").select("text_sha256", "doc_id", "tokens")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 METADATA = (
@@ -49,8 +52,13 @@ def pdf_pages(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(read, "path string, page int, text string, error string")
 
 
-def in_order(files: DataFrame, name: str) -> DataFrame:
-    """Names that begin with fds first, then without regard to case (S3)."""
+def in_order(files: DataFrame, name: str, wanted: list[str] | None = None) -> DataFrame:
+    """Names that begin with fds first, then without regard to case (S3). With a list of wanted names only these, and all must be there."""
+    if wanted is not None:
+        files = files.where(F.col(name).isin(wanted))
+        lost = sorted(set(wanted) - {r[0] for r in files.select(name).distinct().collect()})  # a list that the user wrote
+        if lost:
+            raise FileNotFoundError(", ".join(lost))
     return files.orderBy(F.when(F.lower(name).startswith("fds"), 0).otherwise(1), F.lower(name))
 
 
@@ -89,7 +97,7 @@ def asset_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """A CSV report with its header; reports are small by nature (K1)."""
+    """A CSV report with its header, which an empty report has too; reports are small by nature (K1)."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -112,3 +120,33 @@ def write_index(path: str, **tables: DataFrame) -> None:
 def read_index(spark: SparkSession, path: str, name: str) -> DataFrame:
     """S7."""
     return spark.read.parquet(f"{path}/{name}")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, of spark.checkpoint.dir; on one machine without it, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="docloom-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def index_catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, tables): the index folders below a folder and which tables each has, complete ones only."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "_SUCCESS").load(folder).select("path")
+    parts = F.split("path", "/")
+    found = files.select(F.element_at(parts, -3).alias("name"), F.element_at(parts, -2).alias("table")).groupBy("name").agg(F.array_sort(F.collect_set("table")).alias("tables"))
+    return found.where(F.array_contains("tables", "vocab") & F.array_contains("tables", "postings"))
+
+
+def asset_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length, sha256, content): the asset files with their bytes as a column (K7)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return files.where(~F.col("path").endswith(".DS_Store")).select("path", "length", F.sha2("content", 256).alias("sha256"), "content")
+
+
+def write_documents(df: DataFrame, path: str, markdown: str = "markdown") -> None:
+    """Markdown and metadata side by side (K4): a text file for each document, and the other columns as JSON lines."""
+    write_markdown(df, f"{path}/markdown", "document_id", markdown)
+    write_json(df.drop(markdown), f"{path}/metadata")

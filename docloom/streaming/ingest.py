@@ -8,26 +8,31 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 
+FOLDERS = 256
+
 
 def ingest(spark: SparkSession, source: str, target: str, schema: str, state: str) -> DataFrame:
     """Runs all new Parquet files below source through foreachBatch and returns what the target holds.
 
-    target: (doc_id, text_sha256, tokens). A text that an earlier batch or row has brought is not written again; state is
-    the checkpoint folder of the stream.
+    target: (doc_id, text_sha256, tokens) in FOLDERS folders by the beginning of the fingerprint; a batch reads, of the
+    folders its own fingerprints fall into, the fingerprint column alone. A text that an earlier batch or row has brought
+    is not written again; state is the checkpoint folder of the stream.
     """
+    made = "doc_id long, text_sha256 string, tokens int, folder string"
+    spark.createDataFrame([], made).write.mode("append").partitionBy("folder").parquet(target)
 
     def write(batch: DataFrame, _: int) -> None:
         new = batch.select("doc_id", T.fingerprint(F.col("text")).alias("text_sha256"), T.token_estimate(F.col("text")).alias("tokens"))
-        new = new.groupBy("text_sha256").agg(F.min(F.struct("doc_id", "tokens")).alias("f")).select("f.doc_id", "text_sha256", "f.tokens")
+        new = new.groupBy("text_sha256").agg(F.min(F.struct("doc_id", "tokens")).alias("f"))
+        new = new.select("f.doc_id", "text_sha256", "f.tokens", F.substring("text_sha256", 1, 2).alias("folder")).persist()
         try:
-            seen = batch.sparkSession.read.parquet(target).select("text_sha256")
-            new = new.join(seen, "text_sha256", "left_anti").select("doc_id", "text_sha256", "tokens")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-                raise
-        new.write.mode("append").parquet(target)
+            folders = [r[0] for r in new.select("folder").distinct().collect()]  # FOLDERS at most
+            seen = batch.sparkSession.read.schema(made).parquet(target).where(F.col("folder").isin(folders)).select("folder", "text_sha256")
+            new.join(seen, ["folder", "text_sha256"], "left_anti").select("doc_id", "text_sha256", "tokens", "folder").write.mode("append").partitionBy("folder").parquet(target)
+        finally:
+            new.unpersist()
 
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(source)
     query = stream.writeStream.queryName("ingest_" + uuid.uuid4().hex).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.parquet(target)
+    return spark.read.schema(made).parquet(target).drop("folder")
