@@ -6,11 +6,14 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 #: A word is a run of bytes outside ASCII white space; the same class bytes.split() uses.
 WORD = r"[^\x20\x09-\x0D]+"
 SHINGLE = 5
+#: Similarity of a link: SHARE / OF.
+SHARE, OF = 75, 100
 SLICE_BYTES = 1 << 19
 ROWS = 2000
 # workers live on from one operator to the next: what Arrow frees goes back to the machine
@@ -176,6 +179,47 @@ class IdFilter:
         return (self.map[(p >> U(5)).view(np.int64)] >> (p & U(31)).astype(np.uint32)) & 1 == 1
 
 
+def dense_key(ids: np.ndarray) -> int:
+    """A key of a set of ids, whatever their order."""
+    return int(mix(np.sort(ids).view(np.uint64)).sum(dtype=np.uint64).astype(np.int64))
+
+
+def confirm_groups(batches):
+    """Links (a, b) that join all that is linked within each group of members (id, shingles), by their full sets."""
+    for batch in batches:
+        lists = batch.column("members")
+        flat, at = lists.flatten(), np.cumsum([0] + pc.list_value_length(lists).to_pylist())
+        ids, inner = flat.field(0).to_numpy(), flat.field(1)
+        values, begin = inner.flatten().to_numpy(), np.cumsum([0] + pc.list_value_length(inner).to_pylist())
+        links = []
+        for k in range(len(at) - 1):
+            n, lo = int(at[k + 1] - at[k]), int(at[k])
+            sizes = begin[lo + 1 : lo + n + 1] - begin[lo : lo + n]
+            owner = np.repeat(np.arange(n), sizes)
+            _, column, count = np.unique(values[begin[lo] : begin[lo + n]], return_inverse=True, return_counts=True)
+            shared = np.cumsum(count > 1) - 1
+            owner, column = owner[count[column] > 1], shared[column[count[column] > 1]]
+            common = np.zeros((n, n), dtype=np.float32)
+            for c in range(0, len(set(column.tolist())), 4096):
+                part = (column >= c) & (column < c + 4096)
+                inc = np.zeros((n, 4096), dtype=np.float32)
+                inc[owner[part], column[part] - c] = 1
+                common += inc @ inc.T
+            near = OF * common >= SHARE * (sizes[:, None] + sizes[None, :] - common)
+            seen = np.zeros(n, dtype=bool)
+            for i in range(n):
+                todo = [] if seen[i] else [i]
+                seen[i] = True
+                while todo:
+                    x = todo.pop()
+                    for y in np.flatnonzero(near[x] & ~seen):
+                        seen[y] = True
+                        todo.append(y)
+                        links.append((ids[lo + x], ids[lo + y]))
+        pairs = np.array(links, dtype=np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1, initial=2**63 - 1)), pa.array(pairs.max(axis=1, initial=-(2**63)))], names=["a", "b"])
+
+
 def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(id, component): smallest id reachable over edges (a, b); ids that have no edge are left out.
 

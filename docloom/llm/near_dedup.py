@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import IdFilter, U, components, cut, mix, shingle_hashes, short_batches, slices, text_bytes, word_hashes
+from .common import OF, SHARE, IdFilter, U, components, confirm_groups, cut, dense_key, mix, shingle_hashes, short_batches, slices, text_bytes, word_hashes
 
 COORDINATES = 128
 TREES = 10
@@ -37,7 +37,6 @@ WIDE, CENTRES = 16, 2
 LEAST_AGREEING = 98
 #: Of 128 whole minwise hashes 96 agree at similarity 0.75, with a standard error of 4.9.
 LEAST_EQUAL = 80
-SHARE, OF = 75, 100
 
 _A = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, COORDINATES, dtype=np.uint64) | U(1)
 
@@ -156,8 +155,7 @@ def _compare(batches):
             if len(i) <= 2 * len(both):
                 pairs.append(np.stack([np.minimum(who[i], who[j]), np.maximum(who[i], who[j])], axis=1))
             else:
-                key = int(mix(np.sort(who[both]).view(np.uint64)).sum(dtype=np.uint64).astype(np.int64))
-                groups.append(np.stack([np.full(len(both), key), who[both]], axis=1))
+                groups.append(np.stack([np.full(len(both), dense_key(who[both])), who[both]], axis=1))
         none = [np.zeros((0, 2), np.int64)]
         pairs, groups = np.unique(np.concatenate(pairs + none), axis=0), np.concatenate(groups + none)
         kind = np.repeat([0, 1], [len(pairs), len(groups)])
@@ -165,42 +163,6 @@ def _compare(batches):
         yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["kind", "a", "b"])
 
 
-def _confirm_groups(batches):
-    """Links that join all that is linked within each group, by full sets."""
-    for batch in batches:
-        lists = batch.column("members")
-        flat, at = lists.flatten(), np.cumsum([0] + pc.list_value_length(lists).to_pylist())
-        ids, inner = flat.field(0).to_numpy(), flat.field(1)
-        values, begin = inner.flatten().to_numpy(), np.cumsum([0] + pc.list_value_length(inner).to_pylist())
-        links = []
-        for k in range(len(at) - 1):
-            n, lo = int(at[k + 1] - at[k]), int(at[k])
-            sizes = begin[lo + 1 : lo + n + 1] - begin[lo : lo + n]
-            owner = np.repeat(np.arange(n), sizes)
-            _, column, count = np.unique(values[begin[lo] : begin[lo + n]], return_inverse=True, return_counts=True)
-            shared = np.cumsum(count > 1) - 1
-            owner, column = owner[count[column] > 1], shared[column[count[column] > 1]]
-            common = np.zeros((n, n), dtype=np.float32)
-            for c in range(0, len(set(column.tolist())), 4096):
-                part = (column >= c) & (column < c + 4096)
-                inc = np.zeros((n, 4096), dtype=np.float32)
-                inc[owner[part], column[part] - c] = 1
-                common += inc @ inc.T
-            near = OF * common >= SHARE * (sizes[:, None] + sizes[None, :] - common)
-            seen = np.zeros(n, dtype=bool)
-            for i in range(n):
-                todo = [] if seen[i] else [i]
-                seen[i] = True
-                while todo:
-                    x = todo.pop()
-                    for y in np.flatnonzero(near[x] & ~seen):
-                        seen[y] = True
-                        todo.append(y)
-                        links.append((ids[lo + x], ids[lo + y]))
-        pairs = np.array(links, dtype=np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1, initial=2**63 - 1)), pa.array(pairs.max(axis=1, initial=-(2**63)))], names=["a", "b"])
-
-
 def set_table(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, shingles) of the given distinct doc_ids, and a few more; texts are read where they lie, not shuffled."""
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
@@ -286,7 +248,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not dense.isEmpty():
         sets = set_table(dense.select(F.col("id").alias("doc_id")).distinct(), docs)
         dense = dense.join(sets, "id").groupBy("key").agg(F.collect_list(F.struct("id", "shingles")).alias("members"))
-        extra = extra.union(cut(dense.select("members").mapInArrow(_confirm_groups, "a long, b long").distinct()))
+        extra = extra.union(cut(dense.select("members").mapInArrow(confirm_groups, "a long, b long").distinct()))
     comps = components(links.union(extra))
 
     same = features.join(folded, ["d1", "d2"], "left").where("n_shingles > 0 AND doc_id IS NOT NULL")

@@ -7,8 +7,9 @@ from the fifth to the fifth last. A paragraph of under five words is one shingle
 Paragraphs fold by content first. Distinct ones meet by BANDS bands of one minwise 5-word shingle: at similarity 0.75
 a pair shares a band with probability 1 - 0.25^3 = 0.98, at 0.9 with 0.999. Every member of a band is first compared
 with the two ends of its band. What is then left between components is compared in full: in one piece if a band is
-small or all but SMALL of it are one component; a larger band branches by CHILDREN further minwise shingles, where a
-pair at 0.75 stays together with 1 - 0.25^4 = 0.996, and what is large after ROUNDS is compared block against block.
+small or all but SMALL of it are one component; a larger band branches by CHILDREN further pairs of minwise shingles,
+where a pair at 0.75 stays together with 1 - (1 - 0.75^2)^6 = 0.993 and one at 0.3 with 0.43, and what is large after
+ROUNDS is compared block against block. Where most members of a block agree, the block is confirmed as one group.
 What passes exact Jaccard 0.75 is linked; a component that occurs in several documents keeps its first occurrence, and
 runs of repeated paragraphs of LEAST_RUN words or more are reported.
 """
@@ -20,14 +21,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import SHINGLE, IdFilter, U, _LANES, components, cut, mix, short_batches, slices, text_bytes, word_hashes
+from .common import OF, SHARE, SHINGLE, IdFilter, U, _LANES, components, confirm_groups, cut, dense_key, mix, short_batches, slices, text_bytes, word_hashes
 
 BANDS = 3
 SHORT, LONG, NEAR = 8, 40, 4
 LEAST_RUN = 16
-SHARE, OF = 75, 100
 #: Members of a band that are compared at once; branching of larger ones.
-SMALL, CHILDREN, ROUNDS, COORDINATES = 256, 4, 2, 64
+SMALL, CHILDREN, ROUNDS, COORDINATES = 256, 6, 2, 64
 _A = np.random.Generator(np.random.PCG64(23)).integers(1, 2**63, BANDS, dtype=np.uint64) | U(1)
 _B = np.random.Generator(np.random.PCG64(29)).integers(1, 2**63, COORDINATES, dtype=np.uint64) | U(1)
 _STOP = np.zeros(256, dtype=bool)
@@ -160,7 +160,7 @@ def _places(involved: IdFilter, near: IdFilter):
 
 
 def _branch(batches):
-    """Children of a large node: CHILDREN coordinates drawn from its path, and the minwise shingle found there."""
+    """Children of a large node: CHILDREN pairs of coordinates drawn from its path, and the minwise shingles found there."""
     for batch in batches:
         for i in range(0, batch.num_rows, 4096):
             part = batch.slice(i, 4096)
@@ -173,9 +173,12 @@ def _branch(batches):
             step = U(1) + U(2) * ((draw >> U(16)) % U(COORDINATES // 2))  # odd: the coordinates of a node differ
             children = []
             for k in range(CHILDREN):
-                c = (draw + U(k) * step) % U(COORDINATES)
-                least = np.minimum.reduceat(mix(flat * np.repeat(_B[c.view(np.int64)], size)), at)
-                children.append(mix(paths * U(0x2545F4914F6CDD1D) + mix(least + c)))
+                child = paths
+                for j in (2 * k, 2 * k + 1):
+                    c = (draw + U(j) * step) % U(COORDINATES)
+                    least = np.minimum.reduceat(mix(flat * np.repeat(_B[c.view(np.int64)], size)), at)
+                    child = mix(child * U(0x2545F4914F6CDD1D) + mix(least + c))
+                children.append(child)
             who = pa.array(np.tile(np.arange(part.num_rows), CHILDREN))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(children).view(np.int64)), part.column("pid").take(who)], names=["path", "pid"])
 
@@ -192,7 +195,8 @@ def _sketch(batches):
 
 
 def _compare(batches):
-    """Pairs of members of different components (and blocks, where given) of each group that may be linked.
+    """Pairs (kind 0) of members of different components (and blocks, where given) of each group that may be linked, or the
+    members of a dense group (kind 1: key, pid).
 
     Each bit that differs is a shingle in one set alone, of which sets at SHARE / OF have (OF - SHARE) / (OF + SHARE) of both sizes at most.
     """
@@ -201,19 +205,27 @@ def _compare(batches):
         flat, n = lists.flatten(), pc.list_value_length(lists).to_numpy().astype(np.int64)
         pid, comp, block, size = (flat.field(i).to_numpy() for i in range(4))
         b1, b2 = (flat.field(i).to_numpy().view(np.uint64) for i in (4, 5))
-        at, pairs = np.cumsum(n) - n, [np.zeros((0, 2), np.int64)]
+        at, none = np.cumsum(n) - n, np.zeros((0, 2), np.int64)
+        pairs, dense = [none], [none]
         for k in np.unique(n):
             x, y = np.triu_indices(k, 1)
             groups = at[n == k]
             for g in range(0, len(groups), step := max(1, (1 << 18) // max(1, len(x)))):
-                i, j = ((groups[g : g + step, None] + z).ravel() for z in (x, y))
+                part = groups[g : g + step, None]
+                i, j = ((part + z).ravel() for z in (x, y))
                 alone = np.bitwise_count(b1[i] ^ b1[j]).astype(np.int64) + np.bitwise_count(b2[i] ^ b2[j])
                 near = (OF + SHARE) * alone <= (OF - SHARE) * (size[i] + size[j])
                 near &= (comp[i] != comp[j]) & ((block[i] < 0) | (block[i] != block[j]))
-                pairs.append(np.stack([pid[i[near]], pid[j[near]]], axis=1))
-        pairs = np.concatenate(pairs)
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                many = near.reshape(len(part), -1).sum(axis=1) > 2 * k  # of a dense group its members go on, not its pairs
+                few = near & np.repeat(~many, len(x))
+                pairs.append(np.stack([pid[i[few]], pid[j[few]]], axis=1))
+                for r in np.flatnonzero(many):
+                    own = slice(r * len(x), (r + 1) * len(x))
+                    ids = pid[np.unique(np.concatenate([i[own][near[own]], j[own][near[own]]]))]
+                    dense.append(np.stack([np.full(len(ids), dense_key(ids)), ids], axis=1))
+        pairs, dense = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0), np.concatenate(dense)
+        kind, rows = np.repeat([0, 1], [len(pairs), len(dense)]), np.concatenate([pairs, dense])
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["kind", "a", "b"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -247,13 +259,17 @@ def links_between(rest: DataFrame, sets: DataFrame, links: DataFrame) -> DataFra
         mark = F.when(x == y, F.lit(-1).cast("long")).otherwise(F.col("block"))
         dealt = dealt.select("path", x.alias("x"), y.alias("y"), F.struct("pid", "component", mark.alias("block"), "n", "b1", "b2").alias("m"))
         groups = dealt.groupBy("path", "x", "y").agg(F.collect_list("m").alias("members")).select("members")
-        pairs = cut(groups.mapInArrow(_compare, "a long, b long").distinct())
+        pairs = cut(groups.mapInArrow(_compare, "kind long, a long, b long").distinct())
         found = pairs if found is None else found.union(pairs)
         wide = counts.where(F.col("n_out") > SMALL)
         if last or wide.isEmpty():
-            return confirm(found.distinct(), sets)
+            break
         large = rest.select("path", "pid").join(wide.select("path"), "path").join(sets, "pid")
         rest = cut(large.mapInArrow(_branch, "path long, pid long"))
+    dense = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("pid")).distinct().join(sets, "pid")
+    dense = dense.groupBy("key").agg(F.collect_list(F.struct(F.col("pid").alias("id"), "shingles")).alias("members")).select("members")
+    dense = dense.mapInArrow(confirm_groups, "a long, b long").distinct()
+    return cut(confirm(found.where("kind = 0").select("a", "b").distinct(), sets).union(dense))
 
 
 def repeated_passages(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
