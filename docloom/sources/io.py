@@ -133,8 +133,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def index_catalogue(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, tables): the index folders below a folder and which tables each has, complete ones only."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "_SUCCESS").load(folder).select("path")
+    """(name, tables): the index folders below a folder and which tables each has, those with a vocabulary and postings only."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(folder).select("path")
     parts = F.split("path", "/")
     found = files.select(F.element_at(parts, -3).alias("name"), F.element_at(parts, -2).alias("table")).groupBy("name").agg(F.array_sort(F.collect_set("table")).alias("tables"))
     return found.where(F.array_contains("tables", "vocab") & F.array_contains("tables", "postings"))
