@@ -46,8 +46,14 @@ def short_batches(df: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
+    """Reliable checkpoint in the shared folder.
+
+    Spark takes shuffle files and old checkpoints away when the driver collects what refers to them; a driver with room to
+    spare would leave those of all earlier steps, so it is asked to here.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    spark.sparkContext._jvm.System.gc()
     return df.checkpoint()
 
 

@@ -213,7 +213,10 @@ def _words(batches):
 
 
 def mine(texts: DataFrame) -> list[tuple[str, float, bool]]:
-    """The lexicon of (text, toxic): at most MOST_TERMS entries reach the driver."""
+    """The lexicon of (text, toxic): at most MOST_TERMS entries reach the driver.
+
+    Words of one or two letters, and of 40 or more, are never entries.
+    """
     sets = texts.mapInArrow(_words, "toxic int, copy long, words array<string>").dropDuplicates(["toxic", "copy"]).persist()
     try:
         n = {r["toxic"]: r["n"] for r in sets.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
