@@ -404,14 +404,14 @@ def sheet_quality(t) -> DataFrame:
 
 
 @query(f"""
-WITH k AS (SELECT doc_id, source, sha256({C._NORM.format("text")}) AS h FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, source, h, min(doc_id) OVER (PARTITION BY source, h) AS canonical FROM k),
+WITH k AS (SELECT doc_id, lang, sha256({C._NORM.format("text")}) AS h FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, h, min(doc_id) OVER (PARTITION BY lang, h) AS canonical FROM k),
 a AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN canonical + 1 ELSE canonical END AS canonical, h FROM c WHERE doc_id != canonical)
 SELECT a.doc_id::VARCHAR AS alias_document_id, CASE WHEN k.doc_id IS NULL THEN 'missing_canonical_metadata:' || canonical ELSE 'text_hash_mismatch:' || a.doc_id END AS error FROM a LEFT JOIN k ON k.doc_id = canonical WHERE k.doc_id IS NULL OR k.h != a.h""")
 def alias_check(t) -> DataFrame:
-    """Aliases of the exact duplicates, of which every third points one document too far."""
+    """Aliases of the exact duplicates of a language, of which every third points one document too far."""
     d = t("documents").where("text IS NOT NULL")
     keyed = d.select("doc_id", T.fingerprint(F.col("text")).alias("text_sha256"))
-    aliases = corpus.canonical_aliases(d, "source", T.fingerprint(F.col("text"))).where("status = 'duplicate_skipped'").join(keyed, "doc_id")
+    aliases = corpus.canonical_aliases(d, "lang", T.fingerprint(F.col("text"))).where("status = 'duplicate_skipped'").join(keyed, "doc_id")
     wrong = F.when(F.col("doc_id") % 3 == 0, F.col("canonical_id") + 1).otherwise(F.col("canonical_id"))
     aliases = aliases.select(F.col("doc_id").cast("string").alias("alias_document_id"), wrong.cast("string").alias("canonical_document_id"), "text_sha256")
     return corpus.alias_errors(aliases, keyed.select(F.col("doc_id").cast("string").alias("document_id"), "text_sha256"))
