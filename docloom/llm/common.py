@@ -241,13 +241,10 @@ def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.union(low.select("u", "m")).distinct())
         # done when no root is a member elsewhere
-        inner = e.select("v").distinct().join(e.select("u").distinct(), F.col("v") == F.col("u"), "left_semi").select("v")
-        if rounds == most_rounds or inner.isEmpty():
-            roots = e.select("v").distinct().join(e.select("u").distinct(), F.col("v") == F.col("u"), "left_anti")
-            members = e.groupBy("u").agg(F.min("v").alias("component"))
-            return members.select(F.col("u").alias("id"), "component").union(roots.select("v", F.col("v").alias("component")))
+        ends = e.select(F.col("u").alias("id"), F.lit(True).alias("member"), F.lit(False).alias("root")).union(e.select("v", F.lit(False), F.lit(True)))
+        if rounds == most_rounds or ends.groupBy("id").agg(F.max("member").alias("member"), F.max("root").alias("root")).where("member AND root").isEmpty():
+            return e.select(F.col("u").alias("id"), F.col("v").alias("c")).union(e.select("v", "v")).groupBy("id").agg(F.min("c").alias("component"))

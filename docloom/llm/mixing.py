@@ -83,7 +83,7 @@ def _mixed(docs: DataFrame, weights, share: float, limit: int, seed: str) -> Dat
     targets = apportion(targets, [], ["source_rank"], "seats", "target")
     n_shards = F.least(F.lit(MOST_SHARDS), F.floor(F.col("source_size") / SHARD_WORDS) + 1).cast("long")
     targets = targets.select("source", "source_size", "source_rank", "target", "block", F.col("quota").alias("source_quota"), n_shards.alias("n_shards"))
-    targets = targets.withColumn("source_known", F.col("source").isNotNull()).withColumn("source", F.coalesce("source", F.lit("")))
+    targets = cut(targets.withColumn("source_known", F.col("source").isNotNull()).withColumn("source", F.coalesce("source", F.lit(""))))
 
     placed = base.join(targets, ["source_known", "source"]).withColumn("shard", _digits(F.col("h"), 8) % F.col("n_shards"))
     shards = placed.groupBy("source_rank", "shard").agg(F.sum("size").alias("length"), *[F.first(c).alias(c) for c in ("source_quota", "block")])
@@ -91,7 +91,9 @@ def _mixed(docs: DataFrame, weights, share: float, limit: int, seed: str) -> Dat
     words = F.least(F.col("quota") * F.col("block"), limit * F.col("length"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("length") / F.col("block"))).cast("long")
     start = _digits(F.md5(F.concat_ws("/", F.lit(seed), "source_rank", "shard")), 8) % blocks * F.col("block")
-    shards = shards.where("length > 0").select("source_rank", "shard", "length", F.floor(words / F.col("length")).alias("laps"), (words % F.col("length")).alias("rest"), start.alias("from"))
+    shards = shards.where("length > 0")
+    shards = shards.select("source_rank", "shard", "length", F.floor(words / F.col("length")).alias("laps"), (words % F.col("length")).alias("rest"), start.alias("from"))
+    shards = cut(shards)
 
     line = W.partitionBy("source_rank", "shard").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     placed = placed.withColumn("end", F.sum("size").over(line)).join(shards, ["source_rank", "shard"], "left")

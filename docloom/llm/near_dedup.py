@@ -29,7 +29,7 @@ COORDINATES = 128
 TREES = 10
 FIRST_LEVELS = 3
 NEXT_LEVELS = 2
-ROUNDS = 2
+ROUNDS = 1
 SMALL = 256
 #: Nodes above WIDE members have several centres, of which each member is compared with every one.
 WIDE, CENTRES = 16, 2
@@ -176,7 +176,7 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return cut(
-        pairs.join(right, "b").join(left, "a").where(OF * both >= SHARE * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
+        pairs.join(right, "b").join(left, "a").where(OF * both >= SHARE * (F.size("x") + F.size("y") - both)).select("a", "b")
     )
 
 

@@ -9,7 +9,7 @@ a pair shares a band with probability 1 - 0.25^3 = 0.98, at 0.9 with 0.999. Ever
 with the two ends of its band. What is then left between components is compared in full: in one piece if a band is
 small or all but SMALL of it are one component; a larger band branches by CHILDREN further pairs of minwise shingles,
 where a pair at 0.75 stays together with 1 - (1 - 0.75^2)^6 = 0.993 and one at 0.3 with 0.43, and what is large after
-ROUNDS is compared block against block. Where most members of a block agree, the block is confirmed as one group.
+that is compared block against block. Where most members of a block agree, the block is confirmed as one group.
 What passes exact Jaccard 0.75 is linked; a component that occurs in several documents keeps its first occurrence, and
 runs of repeated paragraphs of LEAST_RUN words or more are reported.
 """
@@ -27,7 +27,7 @@ BANDS = 3
 SHORT, LONG, NEAR = 8, 40, 4
 LEAST_RUN = 16
 #: Members of a band that are compared at once; branching of larger ones.
-SMALL, CHILDREN, ROUNDS, COORDINATES = 256, 6, 2, 64
+SMALL, CHILDREN, ROUNDS, COORDINATES = 256, 6, 1, 64
 _A = np.random.Generator(np.random.PCG64(23)).integers(1, 2**63, BANDS, dtype=np.uint64) | U(1)
 _B = np.random.Generator(np.random.PCG64(29)).integers(1, 2**63, COORDINATES, dtype=np.uint64) | U(1)
 _STOP = np.zeros(256, dtype=bool)
