@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html_text, mixing, near_dedup, packing, quality, substring_dedup, token_count, toxicity, url_filter, vector_search
+from . import divergence, exact_dedup, hard_negatives, html_text, mixing, near_dedup, packing, quality, substring_dedup, token_count, toxicity, url_filter, vector_search
 from .common import table
 
 
@@ -48,6 +48,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.mislabelled(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -57,9 +69,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_near_dedup, op2_vector_search, op3_toxicity, op4_quality, op5_substring_dedup, op6_mixing, op7_packing, op8_token_count, op9_url_filter, op10_html_text, pipeline,
+        op1_near_dedup, op2_vector_search, op3_toxicity, op4_quality, op5_substring_dedup, op6_mixing, op7_packing, op8_token_count, op9_url_filter, op10_html_text,
+        op11_exact_dedup, op12_hard_negatives, op13_source_divergence, pipeline,
     )
 }
 ORACLES: dict[str, str] = {
     "op1_near_dedup": near_dedup.ORACLE, "op2_vector_search": vector_search.ORACLE, "op6_mixing": mixing.ORACLE, "op9_url_filter": url_filter.oracle(),
+    "op11_exact_dedup": exact_dedup.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE, "op13_source_divergence": divergence.ORACLE,
 }
