@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T
+from ..sources import io
 
 #: Questions that travel together to the vectors; one block is sent to every task, more meet by an equi-join.
 BLOCK = 512
@@ -46,41 +47,71 @@ def terms(t: Column) -> Column:
     return T.let(F.regexp_extract_all(T.fold_accents(t), F.lit(r"([\p{L}\p{N}_]{2,})"), 1), pairs)
 
 
+def counted(t: Column) -> Column:
+    """The terms of a text with their numbers, as an array of (term, tf): sorted, then cut where a term ends."""
+
+    def runs(s):
+        n = F.size(s)
+        ends = F.when(n > 0, F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i == n) | (F.get(s, i - 1) != F.get(s, i)))).otherwise(F.array().cast("array<int>"))
+        return T.let(ends, lambda e: F.zip_with(e, F.slice(F.concat(F.array(F.lit(0)), e), F.lit(1), F.size(e)), lambda a, b: F.struct(F.get(s, a - 1).alias("term"), (a - b).cast("long").alias("tf"))))
+
+    return T.let(F.array_sort(F.coalesce(terms(t), F.array().cast("array<string>"))), runs)
+
+
 def counts(docs: DataFrame, id_: str, text: str) -> DataFrame:
     """(id, term, tf), counted inside each row."""
-    return docs.select(F.col(id_).alias("id"), F.explode(terms(F.col(text))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return docs.select(F.col(id_).alias("id"), F.explode(counted(F.col(text))).alias("c")).select("id", "c.term", "c.tf")
 
 
-def vocabulary(tf: DataFrame, n: int) -> DataFrame:
-    """(term, df, idf) with idf = ln((1 + n) / (1 + df)) + 1."""
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+def vocabulary(df: DataFrame, n: int) -> DataFrame:
+    """(term, df, idf) of (term, df) with idf = ln((1 + n) / (1 + df)) + 1."""
     return df.select("term", "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def index_tables(docs: DataFrame, content: str = "text") -> dict[str, DataFrame]:
-    """The index of docs (doc_id, text; coverage asks the column `content`): vocab (term, df, idf), postings (doc_id, term, weight), words (doc_id, word).
+def long_words(t: Column) -> Column:
+    """The distinct runs of four or more letters and digits."""
+    return F.array_distinct(F.regexp_extract_all(T.fold_accents(t), F.lit("([a-z0-9]{4,})"), 1))
 
-    Weights are tf * idf over the document's norm (R3). Words are the runs of four or more letters and digits, which
-    hold every term that coverage can ask for. Each text is read once for postings and once for words.
-    """
-    tf = counts(docs, "doc_id", "text")
-    vocab = vocabulary(tf, docs.count())
-    w = tf.join(vocab, "term").select(F.col("id").alias("doc_id"), "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("doc_id")))
-    words = F.array_distinct(F.regexp_extract_all(T.fold_accents(F.col(content)), F.lit("([a-z0-9]{4,})"), 1))
-    return {"vocab": vocab, "postings": w.select("doc_id", "term", (F.col("w") / norm).alias("weight")), "words": docs.select("doc_id", F.explode(words).alias("word"))}
+
+def word_id(word: Column) -> Column:
+    """Stands for a word of any length in 16 bytes."""
+    return F.unhex(F.md5(word))
+
+
+#: Characters of a word's piece; no term that coverage asks for is shorter.
+GRAM = 4
+
+
+def grams(word: Column) -> Column:
+    """The distinct pieces of GRAM characters of a word, in one pass over it."""
+    return F.array_distinct(F.regexp_extract_all(word, F.lit(f"(?=(.{{{GRAM}}}))"), 1))
+
+
+#: Rows of a side that may be sent to every task: some 10 MB.
+SENT = 100_000
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """df, written down, counted and sent to every task if it has SENT rows at most; more meet by an exchange."""
+    df = io.staged(df, "asked")
+    return F.broadcast(df) if df.count() <= SENT else df
+
+
+def asked_terms(index: dict[str, DataFrame], queries: DataFrame) -> DataFrame:
+    """(query_id, term, q, idf): weights of the known terms of queries (query_id, text) over their norm."""
+    asked = counts(queries, "query_id", "text").join(index["vocab"], "term").select(F.col("id").alias("query_id"), "term", (F.col("tf") * F.col("idf")).alias("q"), "idf")
+    norm = F.sqrt(F.sum(F.col("q") * F.col("q")).over(W.partitionBy("query_id")))
+    return asked.select("query_id", "term", (F.col("q") / norm).alias("q"), "idf")
 
 
 def tfidf_scores(index: dict[str, DataFrame], queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, tfidf) of all pairs that share a term (R4), for queries (query_id, text).
 
-    Only postings of terms that are asked for are read on; a document's postings lie in one file, so its sums are
-    complete before they are shuffled.
+    Only postings of terms that are asked for are read on; they and the norms lie by their keys and aren't dealt anew.
     """
-    asked = counts(queries, "query_id", "text").join(index["vocab"], "term").select(F.col("id").alias("query_id"), "term", (F.col("tf") * F.col("idf")).alias("q"))
-    norm = F.sqrt(F.sum(F.col("q") * F.col("q")).over(W.partitionBy("query_id")))
-    asked = asked.select("query_id", "term", (F.col("q") / norm).alias("q"))
-    return index["postings"].join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("q")).alias("tfidf"))
+    asked = sent(asked_terms(index, queries))
+    sums = index["postings"].join(asked, "term").groupBy("doc_id", "query_id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("q")).alias("s"))
+    return sums.join(index["norms"], "doc_id").select("query_id", "doc_id", (F.col("s") / F.col("norm")).alias("tfidf"))
 
 
 def important_terms(t: Column) -> Column:
@@ -94,24 +125,31 @@ def coverage(content: Column, wanted: Column) -> Column:
     return F.when(F.size(wanted) == 0, F.lit(0.0)).otherwise(F.size(F.filter(wanted, lambda x: F.contains(content, x))) / F.size(wanted))
 
 
-def coverage_scores(index: dict[str, DataFrame], queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, coverage) of all pairs with a wanted term in the document, anywhere in a word.
+def holders(index: dict[str, DataFrame], terms_: DataFrame) -> DataFrame:
+    """(term, doc_id): the documents that hold each of these terms (term, in letters and digits), anywhere in a word.
 
-    A term has letters and digits only, so it stands inside a word: the distinct words' pieces of the terms' lengths
-    meet the terms once, and what they hold is brought to the documents. No question meets a document without a term.
+    A term stands inside a word and so does each of its pieces. Of its pieces the one that fewest words have brings the
+    words, which are then searched for the whole term; words go by their ids, whatever their length.
     """
+    pieces = terms_.select("term", F.explode(grams(F.col("term"))).alias("gram"))
+    pieces = sent(pieces)
+    has = index["grams"].join(pieces.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("words"))
+    rarest = pieces.join(has, "gram").groupBy("term").agg(F.min(F.struct("words", "gram")).alias("g")).select("term", F.col("g.gram").alias("gram"))
+    near = index["grams"].join(rarest, "gram").select("word_id", "term").distinct()
+    holds = near.join(index["lexicon"].distinct(), "word_id").where(F.contains("word", F.col("term"))).select("word_id", "term")
+    return index["words"].join(holds, "word_id").select("term", "doc_id").distinct()
+
+
+def wanted_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, n): the important terms of queries (query_id, text) and how many a query has."""
     wanted = queries.select("query_id", important_terms(F.col("text")).alias("wanted"))
-    asked = wanted.select("query_id", F.size("wanted").alias("n"), F.explode("wanted").alias("term"))
-    terms_ = asked.select("term").distinct()
-    lengths = sorted(r[0] for r in terms_.select(F.length("term")).distinct().collect())  # one number for each length of a term
+    return wanted.select("query_id", F.size("wanted").alias("n"), F.explode("wanted").alias("term"))
 
-    def pieces(word, n):
-        return F.when(F.length(word) >= n, F.transform(F.sequence(F.lit(1), F.length(word) - (n - 1)), lambda i: F.substring(word, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
-    word = F.col("word")
-    parts = F.array_distinct(F.concat(F.array().cast("array<string>"), *[pieces(word, n) for n in lengths]))
-    holds = index["words"].select("word").distinct().select("word", F.explode(parts).alias("term")).join(terms_, "term")
-    found = index["words"].join(holds, "word").select("doc_id", "term").distinct()
+def coverage_scores(index: dict[str, DataFrame], queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, coverage) of all pairs with a wanted term in the document, anywhere in a word."""
+    asked = sent(wanted_terms(queries))
+    found = holders(index, asked.select("term").distinct())
     return found.join(asked, "term").groupBy("query_id", "doc_id").agg((F.count("*") / F.first("n")).alias("coverage"))
 
 
@@ -163,6 +201,81 @@ def lexical(index: dict[str, DataFrame], queries: DataFrame) -> DataFrame:
     return both.select("query_id", "doc_id", F.round(score, 6).alias("score"))
 
 
+#: Pairs that the first round looks at for each question, as a multiple of k.
+SEED = 8
+
+
+class Bounded:
+    """The best k pairs of each question by w * tfidf + c * coverage, without scoring all pairs that have a hit.
+
+    A question is a set of parts: its known terms, each of which gives weight * q, and its wanted terms, each of which
+    gives c / n. The postings of all questions' parts are read once (`hits`). Documents are classed by the size of their
+    norm, so that a class's greatest weight of a term bounds what the term can give there. Round one scores the documents of
+    each question's rarest parts in full: the kth score is a threshold that k pairs reach. Round two leaves out, for
+    each class, the parts of least bound that together stay below the threshold: a pair that has none of the others can't
+    reach it. What the others give, with the bounds of those left out, decides which pairs round three scores in full.
+    Ties at six decimals stay in. Where fewer than k pairs are found, nothing is left out.
+    """
+
+    def __init__(self, index, queries: DataFrame, k: int, tfidf: float = 1.0, coverage: float = COVERAGE, sections: DataFrame | None = None):
+        """sections: (doc_id, section_number), to which the section that a question wants adds its boost."""
+        self.k = k
+        parts = asked_terms(index, queries).select("query_id", F.lit("t").alias("kind"), "term", (F.col("q") * tfidf).alias("q"), "idf", F.lit(0).alias("n"))
+        if coverage:
+            wanted = wanted_terms(queries)
+            parts = parts.union(wanted.select("query_id", F.lit("c"), "term", coverage / F.col("n"), F.lit(1.0), "n"))
+        self.coverage = coverage
+        wanted_section = F.coalesce(requested_section(F.col("text")), inferred_section(F.col("text"))) if sections is not None else F.lit(None).cast("int")
+        self.wanted = io.staged(queries.select("query_id", wanted_section.alias("wanted")), "wanted")
+        self.parts = io.staged(parts, "parts")
+        terms_ = sent(self.parts.where("kind = 't'").select("term", "idf").distinct())
+        hits = index["postings"].join(terms_, "term").select(F.lit("t").alias("kind"), "term", "doc_id", (F.col("tf") * F.col("idf")).alias("w"))
+        if coverage:
+            hits = hits.union(holders(index, self.parts.where("kind = 'c'").select("term").distinct()).select(F.lit("c"), "term", "doc_id", F.lit(1.0)))
+        of_doc = index["norms"].select("doc_id", "norm", F.coalesce(F.floor(2 * F.log2(F.nullif("norm", F.lit(0.0)))), F.lit(-1)).cast("int").alias("class"))
+        of_doc = of_doc.join(sections, "doc_id", "left") if sections is not None else of_doc.withColumn("section_number", F.lit(None).cast("int"))
+        weight = F.when(F.col("kind") == "t", F.col("w") / F.col("norm")).otherwise(F.col("w"))
+        self.hits = io.staged(hits.join(of_doc, "doc_id").select("kind", "term", "doc_id", weight.alias("w"), "class", "section_number"), "hits")
+
+    def _scored(self, pairs: DataFrame) -> DataFrame:
+        """(query_id, doc_id, score) in full of pairs (query_id, doc_id)."""
+        met = self.hits.join(pairs.select("query_id", "doc_id"), "doc_id").join(self.parts, ["query_id", "kind", "term"])
+        t = F.sum(F.when(F.col("kind") == "t", F.col("q") * F.col("w")).otherwise(0.0))
+        c = F.count_if(F.col("kind") == "c") / F.greatest(F.max("n"), F.lit(1))
+        base = F.round(t + self.coverage * c, 6) if self.coverage else t
+        sums = met.groupBy("query_id", "doc_id").agg(base.alias("score"), F.first("section_number").alias("section_number"))
+        boost = F.when(F.col("section_number") == F.col("wanted"), 2 * BOOST).otherwise(0.0)
+        return sums.join(self.wanted, "query_id").select("query_id", "doc_id", F.round(F.col("score") + boost, 6).alias("score"))
+
+    def threshold(self) -> DataFrame:
+        """(query_id, least): a score that k pairs of the question reach, after round one; nothing for a question with fewer."""
+        df = self.hits.groupBy("kind", "term").agg(F.count("*").alias("df"))
+        rarest = W.partitionBy("query_id").orderBy("df", "kind", "term")
+        seeds = self.parts.join(df, ["kind", "term"]).withColumn("before", F.coalesce(F.sum("df").over(rarest.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        seeds = seeds.where(F.col("before") < SEED * self.k).select("query_id", "kind", "term", "q")
+        some = self.hits.join(seeds, ["kind", "term"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("q") * F.col("w")).alias("part"))
+        self.first = io.staged(top_k(some, SEED * self.k, "part").select("query_id", "doc_id"), "first")
+        return top_k(self._scored(self.first), self.k).where(F.col("rank") == self.k).select("query_id", F.col("score").alias("least"))
+
+    def candidates(self) -> DataFrame:
+        """(query_id, doc_id): pairs that can be among the best k, after round two."""
+        need = self.wanted.join(self.threshold(), "query_id", "left").withColumn("boosted", F.explode(F.array(F.lit(False), F.lit(True))))
+        need = need.where("NOT boosted OR wanted IS NOT NULL").select("query_id", "wanted", "boosted", (F.coalesce("least", F.lit(-1.0)) - F.when(F.col("boosted"), 2 * BOOST).otherwise(0.0) - 2e-6).alias("need"))
+        most = self.hits.groupBy("kind", "term", "class").agg(F.max("w").alias("most"))
+        bounds = self.parts.join(most, ["kind", "term"]).join(need, "query_id").withColumn("bound", F.col("q") * F.col("most"))
+        least_first = W.partitionBy("query_id", "class", "boosted").orderBy("bound", "kind", "term").rowsBetween(W.unboundedPreceding, 0)
+        bounds = bounds.withColumn("sum", F.sum("bound").over(least_first))
+        rest = F.coalesce(F.max(F.when(F.col("sum") < F.col("need"), F.col("sum"))).over(W.partitionBy("query_id", "class", "boosted")), F.lit(0.0))
+        bounds = bounds.withColumn("rest", rest).where("sum >= need").select("query_id", "kind", "term", "class", "wanted", "boosted", "need", "q", "rest")
+        met = self.hits.join(bounds, ["kind", "term", "class"]).where(F.coalesce(F.col("section_number") == F.col("wanted"), F.lit(False)) == F.col("boosted"))
+        sums = met.groupBy("query_id", "doc_id").agg(F.sum(F.col("q") * F.col("w")).alias("part"), F.first("rest").alias("rest"), F.first("need").alias("need"))
+        return sums.where("part + rest >= need").select("query_id", "doc_id")
+
+    def best(self) -> DataFrame:
+        """(query_id, doc_id, score, rank)."""
+        return top_k(self._scored(self.candidates()), self.k)
+
+
 def hybrid(index: dict[str, DataFrame], queries: DataFrame, dense: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): dense (query_id, doc_id, dense), lexical and coverage scores fused (R10), of all pairs that have one."""
     key = ["query_id", "doc_id"]

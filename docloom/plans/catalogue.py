@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators import answer, chunk, corpus, facts, search, segment
+from ..operators import answer, chunk, corpus, facts, inverted, search, segment
 from ..sources import io
 from ..streaming import ingest
 
@@ -19,34 +19,56 @@ _WORDS = "regexp_extract_all({0}, '\\S+')"
 
 
 class Tables:
-    """The tables of a folder by name."""
+    """The tables of a folder by name, and the steps of chains made of them.
 
-    #: Paths of what was written, by session, folder and name: each step of a chain is made once and read by all after it.
-    written: dict[tuple[str, str, str], str] = {}
+    A step is written once a session and read by all after it, as long as the tables that it was made of are as they were:
+    the snapshots of these are kept beside it, and where one of them differs the step is made anew. What is written stays
+    until clear().
+    """
+
+    #: Of each session, folder and step: where it was written and the snapshots of its tables.
+    written: dict[tuple[str, str, str], tuple[str, dict[str, str]]] = {}
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self.used, self.seen = spark, folder, set(), {}
 
     def __call__(self, name: str) -> DataFrame:
+        self.used.add(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def _snapshot(self, name: str) -> str:
+        if name not in self.seen:
+            self.seen[name] = io.snapshot(self.spark, f"{self.folder}/{name}.parquet")
+        return self.seen[name]
+
+    def step(self, name: str, plan, write) -> str:
+        """Where the step `name` lies: write(plan(), path) wrote it, now or before."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        path, sources = self.written.get(key, ("", None))
+        if sources is None or any(self._snapshot(n) != s for n, s in sources.items()):
+            outer, self.used = self.used, set()
+            path, planned = io.shared_folder(self.spark, name), plan()
+            sources = {n: self._snapshot(n) for n in self.used}  # of the files that the plan has listed
+            write(planned, path)
+            self.written[key], self.used = (path, sources), outer
+        self.used |= set(sources)
+        return path
+
     def stored(self, name: str, make) -> DataFrame:
         """The table that make() gives, written to the shared folder at first use and read."""
-        key = (self.spark.sparkContext.applicationId, self.folder, name)
-        if key not in self.written:
-            path = io.shared_folder(self.spark, name)
-            make().write.parquet(path)
-            self.written[key] = path
-        return self.spark.read.parquet(self.written[key])
-
-    def index(self, name: str, docs: DataFrame, content: str = "text") -> dict[str, DataFrame]:
-        """The index tables of docs (doc_id, text, content), written at first use (K5) and read."""
-        key = (self.spark.sparkContext.applicationId, self.folder, f"index of {name}")
-        if key not in self.written:
-            path = io.shared_folder(self.spark, "index")
-            io.write_index(path, **search.index_tables(docs, content))
-            self.written[key] = path
-        return {k: io.read_index(self.spark, self.written[key], k) for k in ("vocab", "postings", "words")}
+        return self.spark.read.parquet(self.step(name, make, lambda df, path: df.write.parquet(path)))
+
+    def index(self, name: str, make, content: str = "text") -> dict[str, DataFrame]:
+        """The index tables of the docs (doc_id, text, content) that make() gives, written at first use (K5) and read."""
+        path = self.step(f"index-{name}", make, lambda docs, path: inverted.Index(self.spark, path).add(docs, content))
+        return inverted.Index(self.spark, path).tables()
+
+    @classmethod
+    def clear(cls, spark: SparkSession) -> None:
+        """Takes away all steps of this session."""
+        for key in [k for k in cls.written if k[0] == spark.sparkContext.applicationId]:
+            del cls.written[key]
+        io.clear(spark)
 
 
 def query(sql: str | None = None):
@@ -315,7 +337,7 @@ def _ranked(table: str, k: int, score: str = "score") -> str:
 
 
 def _index(t) -> dict[str, DataFrame]:
-    return t.index("documents", t("documents").select("doc_id", "text"))
+    return t.index("documents", lambda: t("documents").select("doc_id", "text"))
 
 
 def _asked(t) -> DataFrame:
@@ -329,8 +351,8 @@ def tfidf_vocab(t) -> DataFrame:
 
 @query(f"WITH {_TFIDF}, s AS (SELECT query_id, doc_id, round(tfidf, 6) AS score FROM tfidf) SELECT query_id, rank::INT AS rank, doc_id, score FROM {_ranked('s', 5)}")
 def tfidf_search(t) -> DataFrame:
-    s = search.tfidf_scores(_index(t), _asked(t)).select("query_id", "doc_id", F.round("tfidf", 6).alias("score"))
-    return search.top_k(s, 5).select("query_id", "rank", "doc_id", "score")
+    """The best 5 documents of each question by TF-IDF alone."""
+    return search.Bounded(_index(t), _asked(t), 5, coverage=0.0).best().select("query_id", "rank", "doc_id", "score")
 
 
 @query(f"WITH {_COVERAGE} SELECT query_id, doc_id, round(coverage, 6) AS coverage FROM coverage")
@@ -392,7 +414,8 @@ def hybrid_search(t) -> DataFrame:
 
 @query(f"WITH {_LEXICAL} SELECT query_id, rank::INT AS rank, doc_id, score FROM {_ranked('lexical', 5)}")
 def lexical_fallback(t) -> DataFrame:
-    return search.top_k(search.lexical(_index(t), _asked(t)), 5).select("query_id", "rank", "doc_id", "score")
+    """The best 5 documents of each question by TF-IDF and coverage."""
+    return search.Bounded(_index(t), _asked(t), 5).best().select("query_id", "rank", "doc_id", "score")
 
 
 @query(r"""

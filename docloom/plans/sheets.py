@@ -130,7 +130,7 @@ def _metadata(t) -> DataFrame:
 
 def _questions(t) -> DataFrame:
     q = F.element_at(F.array(*[F.struct(F.lit(q).alias("q"), F.lit(s).alias("s"), F.array(*map(F.lit, x)).cast("array<string>").alias("x")) for q, s, x in QUESTIONS]), (F.col("item_id") % len(QUESTIONS) + 1).cast("int"))
-    asked = t("benchmark").select(F.col("item_id").alias("query_id"), q.alias("q"), F.substring("text", 1, 120).alias("more"))
+    asked = t("benchmark").select(F.col("item_id").alias("query_id"), q.alias("q"), F.col("text").alias("more"))
     return asked.select("query_id", F.concat_ws(" ", "q.q", "more").alias("question"), F.col("q.s").alias("expected_section"), F.col("q.x").alias("expected_terms"))
 
 
@@ -139,14 +139,21 @@ def _results(t) -> DataFrame:
     return t.stored("results", lambda: _make_results(t, 4))
 
 
-def _make_results(t, k: int) -> DataFrame:
-    chunks = _chunks(t)
+def _indexed(chunks: DataFrame) -> DataFrame:
+    """What the index takes of chunks: what is searched, what coverage asks, and the section."""
     of = (F.col(c) for c in ("product", "source_file", "section_number", "section_title", "page_start", "page_end", "content"))
-    index = t.index("chunks", chunks.select(F.col("chunk_id").alias("doc_id"), search.index_text(*of).alias("text"), "content"), "content")
+    return chunks.select(F.col("chunk_id").alias("doc_id"), search.index_text(*of).alias("text"), "content", "section_number")
+
+
+def _make_results(t, k: int) -> DataFrame:
+    index = t.index("chunks", lambda: _indexed(_chunks(t)), "content")
+    return _best_chunks(t, index, k).join(_chunks(t), "chunk_id")
+
+
+def _best_chunks(t, index: dict[str, DataFrame], k: int) -> DataFrame:
     asked = _questions(t).select("query_id", F.col("question").alias("text"))
-    scores = search.boosted(search.lexical(index, asked), chunks.select(F.col("chunk_id").alias("doc_id"), "section_number"), asked)
-    top = search.top_k(scores.select("query_id", "doc_id", "score"), k).withColumnRenamed("doc_id", "chunk_id")
-    return top.join(chunks, "chunk_id")
+    top = search.Bounded(index, asked, k, sections=index["docs"].select("doc_id", "section_number")).best()
+    return top.withColumnRenamed("doc_id", "chunk_id")
 
 
 # --- the sheets in SQL ---
@@ -256,7 +263,7 @@ chunks AS (SELECT printf('%s__sec%02d__chunk%02d', document_id, u.number, chunk_
     FROM unpacked u JOIN sections s ON s.doc_id = u.doc_id AND s.number = u.number JOIN docs d ON d.doc_id = u.doc_id)"""
 _QUESTION_LIST = "[" + ", ".join("struct_pack(q := '{}', s := {}, x := {})".format(q, s, "[" + ", ".join(f"'{y}'" for y in x) + "]::VARCHAR[]") for q, s, x in QUESTIONS) + "]"
 _RESULTS_SQL = rf"""{_CHUNKS_SQL},
-asked0 AS (SELECT item_id AS query_id, {_QUESTION_LIST}[(item_id % {len(QUESTIONS)} + 1)::INT] AS q, left(text, 120) AS more FROM benchmark),
+asked0 AS (SELECT item_id AS query_id, {_QUESTION_LIST}[(item_id % {len(QUESTIONS)} + 1)::INT] AS q, text AS more FROM benchmark),
 asked AS (SELECT query_id, q.q || ' ' || more AS text, q.s AS expected_section, q.x AS expected_terms FROM asked0),
 indexed AS (SELECT chunk_id AS doc_id, 'Producto: ' || product || {_NL} || 'Documento: ' || source_file || {_NL} || 'Seccion ' || section_number || ': ' || section_title || {_NL} || 'Paginas: ' || page_start || '-' || page_end
     || {_NL} || content AS text, content, section_number FROM chunks),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -111,15 +112,40 @@ def write_markdown(df: DataFrame, path: str, by: str, column: str) -> None:
     df.select(by, F.col(column).alias("value")).write.mode("overwrite").partitionBy(by).text(path)
 
 
-def write_index(path: str, **tables: DataFrame) -> None:
-    """The index as Parquet tables: chunks, postings, vocab, vectors (K5)."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+def _table(path: str) -> str:
+    """The name that a bucketed table has in the session's catalogue."""
+    return "docloom_" + hashlib.sha256(path.encode()).hexdigest()[:24]
 
 
-def read_index(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """S7."""
-    return spark.read.parquet(f"{path}/{name}")
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> None:
+    """df in `buckets` files by the key, each sorted by it, so that tables by one key meet without an exchange (K5)."""
+    df.repartition(buckets, key).sortWithinPartitions(key).write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", path).saveAsTable(_table(path))
+
+
+def read_bucketed(spark: SparkSession, path: str, key: str, buckets: int) -> DataFrame:
+    """What write_bucketed has written, in this session or another."""
+    name = _table(path)
+    if not spark.catalog.tableExists(name):
+        form = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+        spark.sql(f"CREATE TABLE {name} ({form}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
+def there(spark: SparkSession, pattern: str, file: str | None = None) -> list[str]:
+    """Folders that fit a pattern; with a file's name those that hold it."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(pattern).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{pattern}/{file}" if file else pattern)) or []
+    return [str(x.getPath().getParent() if file else x.getPath()) for x in found]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Takes a folder away."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Folders that this driver's sessions have written with `shared_folder`, for `clear`.
+_own: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -129,14 +155,41 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="docloom-")
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    _own.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: made once, and safe when an executor is lost."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Takes away all that this session has written to the shared folder; DataFrames over it can't be read afterwards."""
+    for path in _own.pop(spark.sparkContext.applicationId, []):
+        delete(spark, path)
+
+
+def snapshot(spark: SparkSession, path: str) -> str:
+    """An id of the files below a path by their names, sizes and times: another once one of them changes, comes or goes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    one = F.xxhash64("path", "length", "modificationTime")
+    return str(files.agg(F.count("*").alias("n"), F.bit_xor(one).alias("x"), F.sum(F.pmod(one, F.lit(1 << 40))).alias("s")).first().asDict())
 
 
 def index_catalogue(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, tables): the index folders below a folder and which tables each has, those with a vocabulary and postings only."""
+    """(name, tables): the index folders below a folder and which tables each has, those with a vocabulary and postings only.
+
+    Tables lie in an index's segments and versions.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(folder).select("path")
-    parts = F.split("path", "/")
-    found = files.select(F.element_at(parts, -3).alias("name"), F.element_at(parts, -2).alias("table")).groupBy("name").agg(F.array_sort(F.collect_set("table")).alias("tables"))
+    where = r"/([^/]+)/(?:segments|versions)/[^/]+/([^/]+)/[^/]+$"
+    parts = files.select(F.regexp_extract("path", where, 1).alias("name"), F.regexp_extract("path", where, 2).alias("table")).where("name != ''")
+    found = parts.groupBy("name").agg(F.array_sort(F.collect_set("table")).alias("tables"))
     return found.where(F.array_contains("tables", "vocab") & F.array_contains("tables", "postings"))
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import answer, chunk, corpus, facts, search, segment
+from docloom.operators import answer, chunk, corpus, facts, inverted, search, segment
 
 PAGES = [
     (1, 1, "Ficha\nSECCIÓN 1: Identificación de la sustancia o la mezcla\nTexto de la parte. Ver sección 3:\nComponentes no aplica\nSección 02 - Identificación de los peligros\nH315"),
@@ -166,13 +166,15 @@ def test_coverage_finds_terms_inside_words(spark):
     r = random.Random(2)
     docs = [(k, " ".join("".join(r.choice("abcd") for _ in range(r.choice([3, 6, 30]))) for _ in range(20))) for k in range(60)]
     docs.append((99, "x" * 3000 + "únicofin" + "y" * 3000))
+    docs += [(100, "ab" * 300_000), (101, None), (102, "")]
     questions = [(k, " ".join("".join(r.choice("abcd") for _ in range(r.choice([4, 5]))) for _ in range(5))) for k in range(20)] + [(50, "unicofin seccion"), (51, "a b")]
-    index = search.index_tables(spark.createDataFrame(docs, "doc_id int, text string"))
+    index = inverted.tables(spark.createDataFrame(docs, "doc_id int, text string"))
     got = {(x["query_id"], x["doc_id"]): x["coverage"] for x in search.coverage_scores(index, spark.createDataFrame(questions, "query_id int, text string")).collect()}
     fold = lambda t: t.lower().replace("ú", "u")
     for q, text in questions:
         wanted = {w for w in re.findall("[a-z0-9]{4,}", fold(text)) if w not in search.STOPWORDS}
         for d, content in docs:
+            content = content or ""
             n = sum(w in fold(content) for w in wanted)
             assert got.get((q, d), 0) == (n / len(wanted) if n else 0)
 
