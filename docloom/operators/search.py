@@ -201,20 +201,24 @@ def lexical(index: dict[str, DataFrame], queries: DataFrame) -> DataFrame:
     return both.select("query_id", "doc_id", F.round(score, 6).alias("score"))
 
 
-#: Pairs that the first round looks at for each question, as a multiple of k.
-SEED = 8
+#: Postings that the first round looks at for each question, as a multiple of k.
+SEED = 20
+#: What a question may leave out in the second round, as a share of the score that k pairs reach.
+LEFT_OUT = 0.25
 
 
 class Bounded:
-    """The best k pairs of each question by w * tfidf + c * coverage, without scoring all pairs that have a hit.
+    """The best k pairs of each question by w * tfidf + c * coverage, in full for those pairs alone that can be among them.
 
     A question is a set of parts: its known terms, each of which gives weight * q, and its wanted terms, each of which
     gives c / n. The postings of all questions' parts are read once (`hits`). Documents are classed by the size of their
-    norm, so that a class's greatest weight of a term bounds what the term can give there. Round one scores the documents of
-    each question's rarest parts in full: the kth score is a threshold that k pairs reach. Round two leaves out, for
-    each class, the parts of least bound that together stay below the threshold: a pair that has none of the others can't
-    reach it. What the others give, with the bounds of those left out, decides which pairs round three scores in full.
-    Ties at six decimals stay in. Where fewer than k pairs are found, nothing is left out.
+    norm, so that a class's greatest weight of a term bounds what the term can give there; what a section's boost adds is
+    kept apart. Round one sums each question's
+    rarest parts; what k pairs have of these alone is a first threshold. Round two leaves out, for each class, the parts of
+    least bound (the long lists of common terms), as many as together stay below LEFT_OUT of the threshold, and sums the
+    others. A pair that has none of them can't be among the best. What k pairs have then is the second threshold: pairs
+    that stay below it with the bounds of what was left out are dropped, and round three scores the others in full. Ties at
+    six decimals stay in. Where round one finds fewer than k pairs, nothing is left out.
     """
 
     def __init__(self, index, queries: DataFrame, k: int, tfidf: float = 1.0, coverage: float = COVERAGE, sections: DataFrame | None = None):
@@ -244,32 +248,48 @@ class Bounded:
         c = F.count_if(F.col("kind") == "c") / F.greatest(F.max("n"), F.lit(1))
         base = F.round(t + self.coverage * c, 6) if self.coverage else t
         sums = met.groupBy("query_id", "doc_id").agg(base.alias("score"), F.first("section_number").alias("section_number"))
-        boost = F.when(F.col("section_number") == F.col("wanted"), 2 * BOOST).otherwise(0.0)
+        boost = self._boost(F.col("section_number"), F.col("wanted"))
         return sums.join(self.wanted, "query_id").select("query_id", "doc_id", F.round(F.col("score") + boost, 6).alias("score"))
 
+    @staticmethod
+    def _boost(section: Column, wanted: Column) -> Column:
+        return F.when(section == wanted, 2 * BOOST).otherwise(0.0)
+
+    def _kth(self, sums: DataFrame) -> DataFrame:
+        """(query_id, least): what k pairs have, of sums (query_id, doc_id, part); nothing for a question with fewer pairs."""
+        return top_k(sums, self.k, "part").where(F.col("rank") == self.k).select("query_id", F.col("part").alias("least"))
+
     def threshold(self) -> DataFrame:
-        """(query_id, least): a score that k pairs of the question reach, after round one; nothing for a question with fewer."""
+        """(query_id, least) after round one."""
         df = self.hits.groupBy("kind", "term").agg(F.count("*").alias("df"))
-        rarest = W.partitionBy("query_id").orderBy("df", "kind", "term")
-        seeds = self.parts.join(df, ["kind", "term"]).withColumn("before", F.coalesce(F.sum("df").over(rarest.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        rarest = W.partitionBy("query_id").orderBy("df", "kind", "term").rowsBetween(W.unboundedPreceding, -1)
+        seeds = self.parts.join(df, ["kind", "term"]).withColumn("before", F.coalesce(F.sum("df").over(rarest), F.lit(0)))
         seeds = seeds.where(F.col("before") < SEED * self.k).select("query_id", "kind", "term", "q")
-        some = self.hits.join(seeds, ["kind", "term"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("q") * F.col("w")).alias("part"))
-        self.first = io.staged(top_k(some, SEED * self.k, "part").select("query_id", "doc_id"), "first")
-        return top_k(self._scored(self.first), self.k).where(F.col("rank") == self.k).select("query_id", F.col("score").alias("least"))
+        return self._kth(self.hits.join(seeds, ["kind", "term"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("q") * F.col("w")).alias("part")))
 
-    def candidates(self) -> DataFrame:
-        """(query_id, doc_id): pairs that can be among the best k, after round two."""
-        need = self.wanted.join(self.threshold(), "query_id", "left").withColumn("boosted", F.explode(F.array(F.lit(False), F.lit(True))))
-        need = need.where("NOT boosted OR wanted IS NOT NULL").select("query_id", "wanted", "boosted", (F.coalesce("least", F.lit(-1.0)) - F.when(F.col("boosted"), 2 * BOOST).otherwise(0.0) - 2e-6).alias("need"))
+    def sums(self) -> DataFrame:
+        """(query_id, doc_id, part, rest): what a pair has of what round two sums, and at most of what it leaves out."""
         most = self.hits.groupBy("kind", "term", "class").agg(F.max("w").alias("most"))
+        need = self.wanted.join(self.threshold(), "query_id", "left").withColumn("boosted", F.explode(F.array(F.lit(False), F.lit(True)))).where("NOT boosted OR wanted IS NOT NULL")
+        # a pair that gains the boost may have it all but nothing else
+        spare = F.least(LEFT_OUT * F.col("least"), F.col("least") - F.when(F.col("boosted"), 2 * BOOST).otherwise(0.0) - 2e-6)
+        need = need.select("query_id", "wanted", "boosted", F.coalesce("least", F.lit(0.0)).alias("least"), F.coalesce(spare, F.lit(0.0)).alias("spare"))
         bounds = self.parts.join(most, ["kind", "term"]).join(need, "query_id").withColumn("bound", F.col("q") * F.col("most"))
-        least_first = W.partitionBy("query_id", "class", "boosted").orderBy("bound", "kind", "term").rowsBetween(W.unboundedPreceding, 0)
-        bounds = bounds.withColumn("sum", F.sum("bound").over(least_first))
-        rest = F.coalesce(F.max(F.when(F.col("sum") < F.col("need"), F.col("sum"))).over(W.partitionBy("query_id", "class", "boosted")), F.lit(0.0))
-        bounds = bounds.withColumn("rest", rest).where("sum >= need").select("query_id", "kind", "term", "class", "wanted", "boosted", "need", "q", "rest")
+        of_class = W.partitionBy("query_id", "class", "boosted")
+        so_far = F.sum("bound").over(of_class.orderBy("bound", "kind", "term").rowsBetween(W.unboundedPreceding, 0))
+        bounds = bounds.withColumn("out", so_far < F.col("spare"))
+        bounds = bounds.withColumn("rest", F.sum(F.when(F.col("out"), F.col("bound")).otherwise(0.0)).over(of_class)).where("NOT out")
+        bounds = bounds.select("query_id", "kind", "term", "class", "q", "rest", "least", "wanted", "boosted")
         met = self.hits.join(bounds, ["kind", "term", "class"]).where(F.coalesce(F.col("section_number") == F.col("wanted"), F.lit(False)) == F.col("boosted"))
-        sums = met.groupBy("query_id", "doc_id").agg(F.sum(F.col("q") * F.col("w")).alias("part"), F.first("rest").alias("rest"), F.first("need").alias("need"))
-        return sums.where("part + rest >= need").select("query_id", "doc_id")
+        part = F.sum(F.col("q") * F.col("w")) + self._boost(F.first("section_number"), F.first("wanted"))
+        sums = met.groupBy("query_id", "doc_id").agg(part.alias("part"), F.first("rest").alias("rest"), F.first("least").alias("least"))
+        return sums.where("part + rest >= least - 2e-6").drop("least")
+
+    def candidates(self) -> DataFrame:
+        """(query_id, doc_id): pairs that can be among the best k, after round two."""
+        sums = io.staged(self.sums(), "sums")
+        near = sums.join(self._kth(sums), "query_id", "left")
+        return near.where("least IS NULL OR part + rest >= least - 2e-6").select("query_id", "doc_id")
 
     def best(self) -> DataFrame:
         """(query_id, doc_id, score, rank)."""
