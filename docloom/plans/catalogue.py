@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators import answer, chunk, corpus, facts, inverted, search, segment
+from ..operators import answer, attribute, chunk, corpus, facts, inverted, search, segment
 from ..sources import io
 from ..streaming import ingest
 
@@ -271,18 +271,9 @@ def asof_attribution(t) -> DataFrame:
 @query(r"""
 SELECT doc_id, item_id, strpos(d.text, b.text)::INT AS place, ((strpos(d.text, b.text) - 1) // 1000)::INT AS block FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
 def range_attribution(t) -> DataFrame:
-    """Where each benchmark passage stands in each document: an equi-join on its first five words, then the exact test."""
-    w = T.words(F.col("text"))
-
-    def keys(w):
-        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1)))
-        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(5)), " "))))
-
-    docs = t("documents").select("doc_id", F.explode(T.let(w, keys)).alias("key"))
-    items = t("benchmark").select("item_id", F.col("text").alias("item"), F.xxhash64(F.array_join(F.slice(w, 1, 5), " ")).alias("key"))
-    met = docs.join(items, "key").select("doc_id", "item_id", "item").distinct()
-    place = F.instr("text", F.col("item"))
-    return met.join(t("documents").select("doc_id", "text"), "doc_id").where(place > 0).select("doc_id", "item_id", place.alias("place"), F.floor((place - 1) / 1000).cast("int").alias("block"))
+    """Where each benchmark passage stands in each document, and the block of 1000 characters that it begins in."""
+    found = attribute.places(t("documents"), t("benchmark"))
+    return found.withColumn("block", F.floor((F.col("place") - 1) / 1000).cast("int"))
 
 
 @query("""

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
 from ..operators import answer, chunk, corpus, facts, search, segment
+from ..sources import io
+from ..streaming import ingest
 from . import catalogue as C
 
 MOST, OVERLAP = 120, 20
@@ -560,3 +562,56 @@ WITH RECURSIVE {_SMOKE_SQL} SELECT count(*) AS tests, sum(coalesce(top1_section
 def smoke_summary(t) -> DataFrame:
     """The smoke test's counts."""
     return answer.smoke_summary(answer.smoke_rows(_results(t), _questions(t).withColumnRenamed("expected_terms", "required_terms")))
+
+
+# --- uploads: the documents come in three batches, each of which brings the one before again ---
+
+
+class _Batch(C.Tables):
+    """The tables with the documents of one batch in place of all."""
+
+    def __init__(self, t: C.Tables, documents: DataFrame):
+        super().__init__(t.spark, t.folder)
+        self.documents = documents
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.documents if name == "documents" else super().__call__(name)
+
+    def stored(self, name: str, make) -> DataFrame:
+        return io.staged(make(), name)
+
+
+def _uploaded(t) -> ingest.Upload:
+    def upload(path: str) -> ingest.Upload:
+        return ingest.Upload(t.spark, path, "Fichas de todos", lambda documents: _indexed(_make_chunks(_Batch(t, documents))))
+
+    def run(documents: DataFrame, path: str) -> None:
+        form = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
+        for k in range(3):
+            documents.where(F.pmod("doc_id", F.lit(3)).isin(k, k - 1)).write.parquet(f"{path}/in/{k}")
+            upload(path).take(f"{path}/in/*", form)
+
+    return upload(t.step("upload", lambda: t("documents"), run))
+
+
+_UPLOADED = f"uploaded AS (SELECT * FROM documents WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sha256({C._NORM.format('text')}) ORDER BY doc_id % 3, doc_id) = 1)"
+_OF_UPLOADED = _RESULTS_SQL.replace("FROM documents", "FROM uploaded")
+
+
+@query(f"WITH RECURSIVE {_UPLOADED}, {_OF_UPLOADED} SELECT query_id, rank, score, chunk_id FROM results")
+def upload_search(t) -> DataFrame:
+    """The best chunks of each question in an index that three batches with repeated documents have made: those of an index
+    of the distinct documents made in one go (S12)."""
+    return _best_chunks(t, _uploaded(t).index.tables(), 4).select("query_id", "rank", "score", "chunk_id")
+
+
+@query(f"WITH {_UPLOADED} SELECT d.doc_id, b::INT AS batch, CASE WHEN b = d.doc_id % 3 AND u.doc_id IS NOT NULL THEN 'converted' ELSE 'duplicate' END AS status FROM documents d LEFT JOIN uploaded u USING (doc_id), range(0, 3) r(b) WHERE d.text IS NOT NULL AND (d.doc_id % 3 = b OR d.doc_id % 3 = b - 1)")
+def upload_report(t) -> DataFrame:
+    """What became of each uploaded row."""
+    return _uploaded(t).report().select("doc_id", "batch", "status")
+
+
+@query(f"WITH RECURSIVE {_UPLOADED}, {_CHUNKS_SQL.replace('FROM documents', 'FROM uploaded')} SELECT 'Fichas de todos' AS collection_name, 'fichas-de-todos' AS collection_slug, 'UPLOAD_fichas-de-todos' AS manufacturer_runtime, (SELECT count(*) FROM uploaded) AS documents, count(*) AS chunks FROM chunks")
+def upload_summary(t) -> DataFrame:
+    """The upload's summary row (K8)."""
+    return _uploaded(t).summary()

@@ -1,12 +1,15 @@
-"""Micro-batch ingestion: new files are fingerprinted and folded as they come."""
+"""Micro-batch ingestion: new files are fingerprinted, folded, chunked and indexed as they come."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
+from ..operators import inverted
+from ..sources import io
 
 FOLDERS = 256
 
@@ -36,3 +39,61 @@ def ingest(spark: SparkSession, source: str, target: str, schema: str, state: st
     query = stream.writeStream.queryName("ingest_" + uuid.uuid4().hex).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     return spark.read.schema(made).parquet(target).drop("folder")
+
+
+class Upload:
+    """A collection of uploaded documents in a folder: what has come (`documents`), what became of each row (`report`), the index
+    of the chunks, and the stream's state (S12).
+
+    A batch's texts that an earlier batch or row has brought are reported as duplicates and go no further. The index is
+    written before the fingerprints: a batch that fails between the two and comes again finds its chunks there and adds
+    none twice.
+    """
+
+    SEEN = "doc_id long, text_sha256 string, folder string"
+    REPORT = "doc_id long, status string"
+
+    def __init__(self, spark: SparkSession, folder: str, name: str, chunks_of: Callable[[DataFrame], DataFrame], content: str = "content"):
+        """chunks_of: from documents (doc_id, text, ...) to what the index takes (doc_id, text, `content`, ...)."""
+        self.spark, self.folder, self.name, self.chunks_of, self.content = spark, folder, name, chunks_of, content
+        self.index = inverted.Index(spark, f"{folder}/index")
+
+    def _seen(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(self.SEEN).parquet(f"{self.folder}/documents")
+
+    def _batch(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        keyed = batch.where("text IS NOT NULL").withColumn("text_sha256", T.fingerprint(F.col("text")))
+        keyed = io.staged(keyed.withColumn("folder", F.substring("text_sha256", 1, 2)), "upload")
+        others = [c for c in batch.columns if c != "doc_id"]
+        first = keyed.groupBy("text_sha256", "folder").agg(F.min(F.struct("doc_id", *others)).alias("d"))
+        folders = [r[0] for r in keyed.select("folder").distinct().collect()]  # FOLDERS at most
+        seen = self._seen(spark).where(F.col("folder").isin(folders)).select("folder", "text_sha256")
+        new = io.staged(first.join(seen, ["folder", "text_sha256"], "left_anti").select("d.*", "text_sha256", "folder"), "new")
+        self.index.add(self.chunks_of(new.select("doc_id", *others)), self.content)
+        told = keyed.join(new.select("text_sha256", F.col("doc_id").alias("first")), "text_sha256", "left")
+        status = F.when(F.col("doc_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), "converted").otherwise("duplicate")
+        told.select("doc_id", status.alias("status")).write.mode("overwrite").parquet(f"{self.folder}/report/batch={number}")
+        new.select("doc_id", "text_sha256", "folder").write.mode("append").partitionBy("folder").parquet(f"{self.folder}/documents")
+
+    def take(self, source: str, schema: str) -> None:
+        """Takes all Parquet files below source that no earlier call has taken."""
+        if not io.there(self.spark, f"{self.folder}/documents"):
+            self.spark.createDataFrame([], self.SEEN).write.mode("append").partitionBy("folder").parquet(f"{self.folder}/documents")
+        stream = self.spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(source)
+        name = "upload_" + uuid.uuid4().hex
+        query = stream.writeStream.queryName(name).option("checkpointLocation", f"{self.folder}/state").trigger(availableNow=True).foreachBatch(self._batch).start()
+        query.awaitTermination()
+        io.write_json(self.summary(), f"{self.folder}/summary")
+
+    def report(self) -> DataFrame:
+        """(doc_id, status, batch): `converted` or `duplicate` for each row that came with a text; a row that repeats both
+        id and text within a batch says what its first does."""
+        return self.spark.read.parquet(f"{self.folder}/report")
+
+    def summary(self) -> DataFrame:
+        """One row (K8): the collection, its documents and chunks."""
+        name = self.spark.createDataFrame([(self.name,)], "collection_name string").withColumn("collection_slug", T.slug(F.col("collection_name")))
+        chunks = sum(n for n, _ in self.index.segments().values())
+        documents = self._seen(self.spark).agg(F.count("*").alias("documents"))
+        return documents.join(name, F.lit(True)).select("collection_name", "collection_slug", F.concat(F.lit("UPLOAD_"), "collection_slug").alias("manufacturer_runtime"), "documents", F.lit(chunks).cast("long").alias("chunks"))
