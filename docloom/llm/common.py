@@ -7,7 +7,7 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window as W, functions as F
 
 #: A word is a run of bytes outside ASCII white space; the same class bytes.split() uses.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,16 +45,37 @@ def short_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder.
+#: Rows of a table that a task reads at least, as long as every core has a task.
+PER_TASK = 4096
+
+
+def few(rows: int, spark: SparkSession) -> int:
+    """Tasks for so many rows."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // PER_TASK))
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Reliable checkpoint of df in the shared folder, read by as many tasks as its rows need, and the number of these rows.
 
     Spark takes shuffle files and old checkpoints away when the driver collects what refers to them; a driver with room to
     spare would leave those of all earlier steps, so it is asked to here.
     """
-    spark = df.sparkSession
+    spark, seen = df.sparkSession, Observation()
     shared_folder(spark)
     spark.sparkContext._jvm.System.gc()
-    return df.checkpoint()
+    out = df.observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint()
+    rows = seen.get["rows"]
+    return slim(out, rows), rows
+
+
+def slim(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more tasks than so many rows need."""
+    return df.coalesce(few(rows, df.sparkSession))  # more than there are change nothing
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder, read by as many tasks as its rows need."""
+    return counted(df)[0]
 
 
 def n_words(text: Column) -> Column:
@@ -159,7 +180,7 @@ class IdFilter:
     """A bitmap of bounded size that says no only for ids that aren't in `ids` (one column); what it lets through is joined later."""
 
     def __init__(self, ids: DataFrame):
-        n = ids.count()
+        ids, n = counted(ids)
         self.bits = bits = min(max(1 << max(0, 16 * n - 1).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
 
         def places(batches):
@@ -174,8 +195,8 @@ class IdFilter:
             part[frame["w"].to_numpy(np.int64) % PIECE] = frame["b"].to_numpy(np.int64)
             return pd.DataFrame({"piece": [int(frame["w"].iloc[0]) // PIECE], "bits": [part.tobytes()]})
 
-        words = ids.mapInArrow(places, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b"))
-        found = words.groupBy(F.floor(F.col("w") / PIECE).alias("p")).applyInPandas(pieces, "piece long, bits binary").toPandas()  # bits / 8 bytes at most
+        words = slim(ids.mapInArrow(places, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")), n)
+        found = slim(words.groupBy(F.floor(F.col("w") / PIECE).alias("p")).applyInPandas(pieces, "piece long, bits binary"), n).toPandas()  # bits / 8 bytes at most
         self.map = np.zeros(max(bits // 32, PIECE), dtype=np.uint32)
         for k, x in zip(found["piece"], found["bits"], strict=True):
             self.map[k * PIECE : (k + 1) * PIECE] = np.frombuffer(x, dtype="<u4")
@@ -235,7 +256,7 @@ def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     the joins are plain equi-joins that adaptive execution can split.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    e, rounds = cut(e), 0
+    (e, n), rounds = counted(e), 0
     while True:
         rounds += 1
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -243,8 +264,9 @@ def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(low.select("u", "m")).distinct())
+        e, n = counted(slim(slim(small, n).union(slim(low.select("u", "m"), n)).distinct(), n))
         # done when no root is a member elsewhere
         ends = e.select(F.col("u").alias("id"), F.lit(True).alias("member"), F.lit(False).alias("root")).union(e.select("v", F.lit(False), F.lit(True)))
-        if rounds == most_rounds or ends.groupBy("id").agg(F.max("member").alias("member"), F.max("root").alias("root")).where("member AND root").isEmpty():
+        ends = ends.groupBy("id").agg(F.max("member").alias("member"), F.max("root").alias("root"))
+        if rounds == most_rounds or slim(ends.where("member AND root"), n).isEmpty():
             return e.select(F.col("u").alias("id"), F.col("v").alias("c")).union(e.select("v", "v")).groupBy("id").agg(F.min("c").alias("component"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import OF, SHARE, IdFilter, U, components, confirm_groups, cut, dense_key, mix, shingle_hashes, short_batches, slices, text_bytes, word_hashes
+from .common import OF, SHARE, IdFilter, U, components, confirm_groups, counted, cut, dense_key, mix, shingle_hashes, short_batches, slices, slim, text_bytes, word_hashes
 
 COORDINATES = 128
 TREES = 10
@@ -171,13 +171,13 @@ def set_table(ids: DataFrame, docs: DataFrame) -> DataFrame:
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the distinct pairs (a, b) that are linked, by their full sets."""
-    sets = set_table(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), docs)
+    pairs, n = counted(pairs)
+    sets = set_table(slim(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), n), docs)
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return cut(
-        pairs.join(right, "b").join(left, "a").where(OF * both >= SHARE * (F.size("x") + F.size("y") - both)).select("a", "b")
-    )
+    links = pairs.join(right, "b").join(left, "a").where(OF * both >= SHARE * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return cut(slim(links, n))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
         rest = large.select("path", "id").join(signatures, "id").mapInArrow(_grow, "path long, id long, signature binary").select("path", "id")
     pairs = found.where("kind = 0").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    extra = confirm(cut(pairs), docs)
+    extra = confirm(pairs, docs)
     dense = cut(found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("id")).distinct())
     if not dense.isEmpty():
         sets = set_table(dense.select(F.col("id").alias("doc_id")).distinct(), docs)

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import OF, SHARE, SHINGLE, IdFilter, U, _LANES, components, confirm_groups, cut, dense_key, mix, short_batches, slices, text_bytes, word_hashes
+from .common import OF, SHARE, SHINGLE, IdFilter, U, _LANES, components, confirm_groups, counted, cut, dense_key, mix, short_batches, slices, slim, text_bytes, word_hashes
 
 BANDS = 3
 SHORT, LONG, NEAR = 8, 40, 4
@@ -228,11 +228,11 @@ def _compare(batches):
         yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["kind", "a", "b"])
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that are linked, by their full sets."""
+def confirm(pairs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """Those of n pairs (a, b) that are linked, by their full sets."""
     both = F.size(F.array_intersect("s", "t"))
     links = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
-    return cut(links.where(OF * both >= SHARE * (F.size("s") + F.size("t") - both)).select("a", "b"))
+    return slim(links.where(OF * both >= SHARE * (F.size("s") + F.size("t") - both)).select("a", "b"), n)
 
 
 def links_between(rest: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def links_between(rest: DataFrame, sets: DataFrame, links: DataFrame) -> DataFra
     comps = cut(components(links, most_rounds=2))  # parts of components do: they only save comparisons
     sketch = cut(sets.mapInArrow(_sketch, "pid long, n long, b1 long, b2 long"))
     sketch = sketch.join(comps.toDF("pid", "component"), "pid", "left").withColumn("component", F.coalesce("component", "pid"))
-    found, n_all = None, F.col("n_in") + F.col("n_out")
+    n_found, found, n_all = 0, None, F.col("n_in") + F.col("n_out")
     for round_ in range(ROUNDS + 1):
         rest = cut(rest.join(sketch, "pid"))
         counts = rest.groupBy("path", "component").agg(F.count("*").alias("m"))
@@ -259,7 +259,8 @@ def links_between(rest: DataFrame, sets: DataFrame, links: DataFrame) -> DataFra
         mark = F.when(x == y, F.lit(-1).cast("long")).otherwise(F.col("block"))
         dealt = dealt.select("path", x.alias("x"), y.alias("y"), F.struct("pid", "component", mark.alias("block"), "n", "b1", "b2").alias("m"))
         groups = dealt.groupBy("path", "x", "y").agg(F.collect_list("m").alias("members")).select("members")
-        pairs = cut(groups.mapInArrow(_compare, "kind long, a long, b long").distinct())
+        pairs, n = counted(groups.mapInArrow(_compare, "kind long, a long, b long").distinct())
+        n_found += n
         found = pairs if found is None else found.union(pairs)
         wide = counts.where(F.col("n_out") > SMALL)
         if last or wide.isEmpty():
@@ -269,7 +270,7 @@ def links_between(rest: DataFrame, sets: DataFrame, links: DataFrame) -> DataFra
     dense = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("pid")).distinct().join(sets, "pid")
     dense = dense.groupBy("key").agg(F.collect_list(F.struct(F.col("pid").alias("id"), "shingles")).alias("members")).select("members")
     dense = dense.mapInArrow(confirm_groups, "a long, b long").distinct()
-    return cut(confirm(found.where("kind = 0").select("a", "b").distinct(), sets).union(dense))
+    return cut(confirm(found.where("kind = 0").select("a", "b").distinct(), sets, n_found).union(slim(dense, n_found)))
 
 
 def repeated_passages(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
@@ -292,16 +293,16 @@ def repeated_passages(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     ends = rows.groupBy("path").agg(F.min("pid").alias("x"), F.max("pid").alias("y"), (F.count("*") > 3).alias("wide"))
     banded = cut(rows.join(ends, "path"))
     met = banded.select("pid", F.explode(F.array("x", "y")).alias("hub")).where("pid != hub")
-    near = cut(met.select(F.least("pid", "hub").alias("a"), F.greatest("pid", "hub").alias("b")).distinct())
+    near, n_near = counted(met.select(F.least("pid", "hub").alias("a"), F.greatest("pid", "hub").alias("b")).distinct())
 
-    asked = near.select(F.col("a").alias("pid")).union(near.select("b")).distinct()
+    asked = slim(near.select(F.col("a").alias("pid")).union(near.select("b")).distinct(), n_near)
     involved = cut(asked.union(folded.where("again").select("pid")).distinct())
     places = docs.mapInArrow(_places(IdFilter(involved), IdFilter(asked)), "doc_id long, pid long, paragraph long, n_words long, shingles array<long>")
     places = cut(places.join(involved, "pid"))
     sets = places.where("shingles IS NOT NULL").select("pid", "shingles").dropDuplicates(["pid"])
     sets = cut(sets)
     places = places.drop("shingles").distinct()
-    links = confirm(near, sets)
+    links = cut(confirm(near, sets, n_near))
 
     wide = banded.where("wide").select("path", "pid")  # up to three, the ends have met all
     comps = components(links.union(links_between(wide, sets, links)))
