@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
@@ -23,26 +26,55 @@ def word_windows(docs: DataFrame, most: int, overlap: int) -> DataFrame:
     return d.select("doc_id", (F.col("i") + 1).alias("chunk_index"), "chunk_count", F.size("words").alias("tokens"), F.array_join("words", " ").alias("content"))
 
 
+def chunk_bounds(counts: Sequence[int], most: int, overlap: int) -> list[tuple[int, int, int, int]]:
+    """The chunks of paragraphs with these numbers of words (C3), in one pass: (first, last, start, n).
+
+    A chunk is n words from place `start` of all words, which are the end of the chunk before it, and the paragraphs first
+    to last. A paragraph beyond `most` makes windows of its own, which are words alone (last < first) and hand nothing on.
+    What a chunk hands on are the last words since the beginning or such a paragraph, as it holds the end of the chunk before.
+    """
+    out, step = [], max(1, most - overlap)
+    first, seed, n, at, since = None, (0, 0), 0, 0, 0
+    for i, k in enumerate(counts):
+        if k > most:
+            if first is not None:
+                out.append((first, i - 1, *seed))
+            out += [(0, -1, at + s, min(most, k - s)) for s in range(0, k, step) if s == 0 or s - step + most < k]
+            first, n, since = None, 0, at + k
+        elif first is not None and n + k > most:
+            out.append((first, i - 1, *seed))
+            tail = min(overlap, at - since)
+            first, seed, n = i, (at - tail, tail), tail + k
+        elif first is None:
+            first, seed, n = i, (at, 0), k
+        else:
+            n += k
+        at += k
+    return out + [(first, len(counts) - 1, *seed)] if first is not None else out
+
+
+def bounds(counts: Column, most: int, overlap: int) -> Column:
+    """chunk_bounds of an array of numbers."""
+
+    @F.pandas_udf("array<struct<first:int,last:int,start:int,n:int>>")
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("first", "last", "start", "n"), c, strict=True)) for c in chunk_bounds(k.tolist(), most, overlap)] for k in x])
+
+    return run(F.coalesce(counts, F.array().cast("array<int>")))
+
+
 def pack(docs: DataFrame, most: int, overlap: int) -> DataFrame:
     """Lines as paragraphs, packed greedily up to `most` words; a full chunk's last words begin the next.
 
     A paragraph beyond `most` is cut into windows of its own and hands no overlap on.
     """
-    paras = F.filter(F.transform(F.split("text", "\n"), T.words), lambda w: F.size(w) > 0)
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("cur"), F.array().cast("array<array<string>>").alias("out"))
-
-    def step(s, w):
-        flush = F.when(F.size(s["cur"]) > 0, F.concat(s["out"], F.array(s["cur"]))).otherwise(s["out"])
-        tail = F.slice(s["cur"], F.greatest(F.lit(1), F.size(s["cur"]) - overlap + 1), F.lit(overlap))
-        long_ = F.struct(none.alias("cur"), F.concat(flush, windows(w, most, overlap)).alias("out"))
-        full = F.struct(F.concat(tail, w).alias("cur"), flush.alias("out"))
-        more = F.struct(F.concat(s["cur"], w).alias("cur"), s["out"].alias("out"))
-        return F.when(F.size(w) > most, long_).when((F.size(s["cur"]) > 0) & (F.size(s["cur"]) + F.size(w) > most), full).otherwise(more)
-
-    done = F.aggregate(paras, start, step, lambda s: F.when(F.size(s["cur"]) > 0, F.concat(s["out"], F.array(s["cur"]))).otherwise(s["out"]))
-    d = docs.select("doc_id", F.posexplode(done).alias("i", "words"))
-    return d.select("doc_id", (F.col("i") + 1).alias("chunk_index"), F.size("words").alias("tokens"), F.sha2(F.array_join("words", " "), 256).alias("content_sha256"))
+    paras = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), T.words), lambda w: F.size(w) > 0)
+    d = docs.select("doc_id", paras.alias("p")).withColumn("b", bounds(F.transform("p", F.size), most, overlap))
+    # the words of a chunk stand in a row: its seed is what comes just before its paragraphs
+    d = d.withColumn("w", F.flatten("p")).select("doc_id", "p", "w", F.posexplode("b").alias("i", "c"))
+    own = F.aggregate(F.slice("p", F.col("c.first") + 1, F.greatest(F.col("c.last") - F.col("c.first") + 1, F.lit(0))), F.lit(0), lambda n, w: n + F.size(w))
+    words = F.slice("w", F.col("c.start") + 1, F.col("c.n") + own)
+    return d.select("doc_id", (F.col("i") + 1).alias("chunk_index"), F.size(words).alias("tokens"), F.sha2(F.array_join(words, " "), 256).alias("content_sha256"))
 
 
 def paragraphs(t: Column) -> Column:
@@ -54,29 +86,19 @@ def split_text(t: Column, most: int = 850, overlap: int = 100) -> Column:
     """Paragraphs packed greedily up to `most` words, joined by blank lines.
 
     A full chunk's last words begin the next one as a paragraph; a paragraph beyond `most` is cut into windows of its own,
-    which hand nothing on.
+    which hand nothing on. Where chunks end is decided on the numbers of words alone.
     """
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("cur"), F.lit(0).alias("n"), none.alias("out"))
-
-    def joined(cur: Column) -> Column:
-        return F.array_join(cur, "\n\n")
-
-    def step(s, p):
-        def with_words(w):
-            k = F.greatest(F.lit(1), F.size(w))
-            flush = F.when(F.size(s["cur"]) > 0, F.concat(s["out"], F.array(joined(s["cur"])))).otherwise(s["out"])
-            cut = F.transform(windows(w, most, overlap), lambda x: F.array_join(x, " "))
-            tail = T.tail_words(joined(s["cur"]), overlap)
-            seeded = F.when(tail != "", F.array(tail, p)).otherwise(F.array(p))
-            long_ = F.struct(none.alias("cur"), F.lit(0).alias("n"), F.concat(flush, cut).alias("out"))
-            full = F.struct(seeded.alias("cur"), T.token_estimate(joined(seeded)).alias("n"), flush.alias("out"))
-            more = F.struct(F.concat(s["cur"], F.array(p)).alias("cur"), (s["n"] + k).alias("n"), s["out"].alias("out"))
-            return F.when(k > most, long_).when((F.size(s["cur"]) > 0) & (s["n"] + k > most), full).otherwise(more)
-
-        return T.let(T.words(p), with_words)
-
-    return F.aggregate(paragraphs(t), start, step, lambda s: F.when(F.size(s["cur"]) > 0, F.concat(s["out"], F.array(joined(s["cur"])))).otherwise(s["out"]))
+    p = paragraphs(t)
+    words = F.transform(p, T.words)
+
+    def content(c, paras, w):
+        seed = F.when(c["n"] > 0, F.array(F.array_join(F.slice(w, c["start"] + 1, c["n"]), " "))).otherwise(F.array().cast("array<string>"))
+        return F.array_join(F.concat(seed, F.slice(paras, c["first"] + 1, F.greatest(c["last"] - c["first"] + 1, F.lit(0)))), "\n\n")
+
+    chunks = bounds(F.transform(words, F.size), most, overlap)
+    # one row's arrays are made once, however many chunks use them
+    own = F.struct(chunks.alias("chunks"), p.alias("p"), F.flatten(words).alias("w"))
+    return T.let(own, lambda x: F.transform(x["chunks"], lambda c: content(c, x["p"], x["w"])))
 
 
 NO_TEXT = "Bloque textual de seccion no detectado; se conserva evidencia estructurada extraida de tablas e imagenes."

@@ -37,8 +37,9 @@ def section_pieces(pages: DataFrame) -> DataFrame:
     heading with a title (G1): the rest of its line, accents folded, squeezed, 180 characters at most, 3 letters or more.
     """
     parts = F.split(F.regexp_replace("text", ACCENTED_HEADING, "\x01$0"), "\x01")
-    p = pages.select("doc_id", "page", parts.alias("parts")).select("doc_id", "page", "parts", F.posexplode("parts").alias("piece", "text"))
-    start = F.aggregate(F.slice("parts", F.lit(1), F.col("piece")), F.lit(0), lambda n, x: n + F.length(x))
+    p = pages.select("doc_id", "page", parts.alias("parts")).select("doc_id", "page", F.posexplode("parts").alias("piece", "text"))
+    before = W.partitionBy("doc_id", "page").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)).cast("int")
     folded = T.fold_sections(F.col("text"))
     heading = "^" + HEADING + r"([^\n]*)"
     title = F.substring(T.squeeze(F.regexp_extract(folded, heading, 2)), 1, 180)

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -215,3 +216,49 @@ def test_alias_errors(spark):
 def test_accents_of_many_alphabets(spark):
     d = spark.createDataFrame([("Ǻ ǭ ệ Ő ę Ж ё ά ſ é ñ",)], "t string")
     assert d.select(T.fold_accents(F.col("t"))).first()[0] == "a o e o e ж е α s e n"
+
+
+@pytest.mark.parametrize("fails", [0, 1, 2, 3])
+def test_the_attempt_that_answers_gives_prompt_and_sources(spark, fails):
+    rows = [(q, r, 1.0 - r / 10, f"c{r}", "d.pdf", "p", 7, "Uso", 1, 2, f"texto {r} " * 300) for q in (1, 2) for r in (1, 2, 3, 4)]
+    results = spark.createDataFrame(rows, "query_id int, rank int, score double, chunk_id string, source_file string, product string, section_number int, section_title string, page_start int, page_end int, content string")
+    questions = spark.createDataFrame([(1, "nada literal"), (2, "otra nada"), (3, "sin resultados")], "query_id int, question string")
+    limits = [1800, 1400, 1000, 0]
+
+    def generate(text):
+        sizes = [len(x.split("contenido:")[1].split("[FUENTE")[0].strip()) for x in text.split("[FUENTE ")[1:] if "contenido:" in x]
+        if sizes and max(sizes) > limits[fails]:
+            raise TimeoutError
+        return str(len(sizes))
+
+    got = answer.answer_questions(results, questions, generate, calls=2, pause=0.01)
+    if fails == 3:
+        with pytest.raises(Exception, match="TimeoutError"):
+            got.collect()
+        return
+    got = {r["query_id"]: r for r in got.collect()}
+    for q in (1, 2):
+        assert got[q]["attempt"] == fails + 1 and got[q]["answer"] == str(4 - fails) and [s["rank"] for s in got[q]["sources"]] == list(range(1, 5 - fails))
+        assert got[q]["prompt"].count("contenido:") == 4 - fails
+    assert got[3]["attempt"] == 1 and not got[3]["sources"]
+
+
+def test_a_long_section_is_cut_in_one_pass(spark):
+    """200,000 paragraphs: by chunk_bounds in well under a second, with the text in some seconds."""
+    began = time.time()
+    got = chunk.chunk_bounds([5] * 200_000 + [900, 3], 850, 100)
+    assert time.time() - began < 2 and got[0] == (0, 169, 0, 0) and got[-1] == (200_001, 200_001, 1_000_900, 0)
+    d = spark.createDataFrame([(1, "\n\n".join(f"p{k} uno dos" for k in range(50_000))), (2, None)], "id int, t string")
+    pieces = {r["id"]: r["c"] for r in d.select("id", chunk.split_text(F.col("t"), 850, 100).alias("c")).collect()}
+    assert len(pieces[1]) == len(plain_packer("\n\n".join(f"p{k} uno dos" for k in range(50_000)), 850, 100)) and not pieces[2]
+    assert time.time() - began < 60
+
+
+def test_starts_of_pieces_are_places_in_the_page(spark):
+    text = "inicio " + " ".join(f"Sección {k}: Título número {k} con texto." for k in range(1, 17)) * 3
+    pages = spark.createDataFrame([(1, 1, text), (1, 2, "nada"), (2, 1, text[3:])], "doc_id int, page int, text string")
+    rows = segment.section_pieces(pages).collect()
+    assert len(rows) == 2 * 49 + 1
+    for r in rows:
+        whole = {(1, 1): text, (1, 2): "nada", (2, 1): text[3:]}[r["doc_id"], r["page"]]
+        assert whole[r["start"] :].startswith(r["text"])
