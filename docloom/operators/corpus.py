@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T
+from ..sources import io
 
 RANK_BUCKET = 65_536
 
@@ -125,9 +126,7 @@ def document_checks() -> dict[str, Column]:
     md, sections, tables, images = F.coalesce("markdown", F.lit("")), F.col("sections"), F.col("tables"), F.col("images")
     numbers, n = F.transform(sections, lambda s: s["number"]), 16
     every = F.sequence(F.lit(1), F.lit(n))
-    head = F.regexp_extract(md, r"(?s)\A---\n(.*?)\n---", 1)
-    keys = F.transform(F.filter(F.split(head, "\n"), lambda x: F.contains(x, F.lit(":"))), lambda x: T.strip(F.split_part(x, F.lit(":"), F.lit(1))))
-    headings = F.regexp_extract_all(md, F.lit(r"(?m)^## Seccion\s+(\d+):"), 1).cast("array<int>")
+    keys, headings = io.front_matter_keys(md), io.markdown_sections(md).cast("array<int>")
 
     def notes(kind: str) -> Column:
         return F.regexp_count(md, F.lit(r"(?m)^> Nota de trazabilidad: " + kind))

@@ -6,7 +6,7 @@ line or nothing; six lines are a page; lines of some lengths also stand for an i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T_
 
 from ..functions import text as T
 from ..operators import answer, chunk, corpus, facts, search, segment
@@ -391,20 +391,86 @@ def sheet_markdown(t) -> DataFrame:
     return m.select("document_id", F.length("markdown").alias("chars"), F.sha2("markdown", 256).alias("markdown_sha256"))
 
 
-_ALL_16 = "section_count = 16"
+_SHEET = (
+    "document_id string, doc_id long, manufacturer string, product string, source_file string, page_count int, warnings array<string>, section_count int, extraction_errors array<string>, file_sha256 string, text_sha256 string, "
+    "sections array<struct<place:int,number:int,title:string,page_start:int,page_end:int,text:string>>, "
+    "tables array<struct<i:int,asset_id:string,page:int,section_number:int,markdown:string,trace_note:string>>, "
+    "images array<struct<i:int,asset_id:string,page:int,section_number:int,kind:string,path:string,sha256:string,trace_note:string,ocr_text:string>>"
+)
+
+
+def _cast_sheet(m: DataFrame) -> DataFrame:
+    fields = [x.name for x in T_.StructType.fromDDL(_SHEET)]
+    kinds = {x.name: x.dataType for x in T_.StructType.fromDDL(_SHEET)}
+    return m.select(*[F.col(c).cast(kinds[c]).alias(c) for c in fields], "markdown")
+
+
+def _delivered(t) -> str:
+    """Sheets as files, and what they come from: of every 16 documents twelve are wrong, each in its own way."""
+    r = F.pmod("doc_id", F.lit(16))
+
+    def plan() -> DataFrame:
+        return _cast_sheet(_metadata(t).withColumn("markdown", corpus.markdown()))
+
+    def write(m: DataFrame, path: str) -> None:
+        m = io.staged(m, "sheets")
+        first = lambda items, change: F.transform(items, lambda x, i: F.when(i == 0, change(x)).otherwise(x))
+        images = F.when(r == 8, first("images", lambda x: x.withField("kind", F.lit("")))).when(r == 9, first("images", lambda x: x.withField("ocr_text", F.lit(None).cast("string")))).otherwise(F.col("images"))
+        sections = F.when(r == 10, first("sections", lambda x: x.withField("page_end", F.col("page_count") + 5))).otherwise(F.col("sections"))
+        sheets = m.withColumns({
+            "markdown": F.when(r == 6, F.regexp_replace("markdown", r"\npaginas: [^\n]*", "")).when(r != 0, F.col("markdown")), "product": F.when(r == 5, " MSDS ").otherwise(F.col("product")),
+            "extraction_errors": F.when(r == 11, F.array(F.lit("page 1: broken"))).otherwise(F.col("extraction_errors")), "images": images, "sections": sections,
+        })
+        io.write_sheets(sheets.withColumn("page_count", F.when(r == 4, F.col("page_count") + 1).otherwise(F.col("page_count"))), f"{path}/sheets")
+        full = F.array_join(F.transform("p", lambda x: x["text"]), "\n\n")
+        sources = _pages(t).groupBy("doc_id").agg(F.count("*").cast("int").alias("source_page_count"), F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p")).select("doc_id", "source_page_count", full.alias("full"))
+        sources.where(r != 1).withColumn("full", F.concat(F.when(r == 3, "otra cosa ").otherwise(""), "full", F.when(r == 2, "\n").otherwise(""))).write.parquet(f"{path}/sources")
+        m.select("doc_id", F.posexplode(F.transform("images", lambda x: x["path"])).alias("i", "path")).where(~((r == 7) & (F.col("i") == 0))).drop("i").write.parquet(f"{path}/files")
+
+    return t.step("delivered", plan, write)
+
+
+@query(rf"""
+WITH {_ASSETS_SQL}, {_WARN_SQL}, {_MD_SQL}
+SELECT document_id, CASE WHEN doc_id % 16 = 6 THEN 'archivo_fuente,document_id,fabricante,file_sha256,producto,text_sha256' WHEN doc_id % 16 != 0 THEN 'archivo_fuente,document_id,fabricante,file_sha256,paginas,producto,text_sha256' END AS front_matter,
+  CASE WHEN doc_id % 16 != 0 THEN array_to_string(regexp_extract_all(markdown, '(?m)^## Seccion\s+(\d+):', 1), ',') END AS headings, CASE WHEN doc_id % 16 NOT IN (0, 6) THEN sha256(markdown) END AS markdown_sha256,
+  doc_id % 16 NOT IN (5, 8, 9, 10, 11) OR (doc_id % 16 IN (8, 9) AND n_images = 0) OR (doc_id % 16 = 10 AND section_count = 0) AS same FROM md""")
+def sheet_files(t) -> DataFrame:
+    """Every sheet's Markdown and metadata written as files and read again (S8, S9, K2, K4): its head, its headings, its text,
+    and whether its metadata are as they were but for the page count."""
+    read = io.read_sheets(t.spark, f"{_delivered(t)}/sheets", _SHEET)
+    was = _cast_sheet(_metadata(t).withColumn("markdown", F.lit(None).cast("string")))
+    fields = [c for c in was.columns if c not in ("markdown", "page_count")]
+    both = read.join(was.select("document_id", F.struct(*fields).alias("was")), "document_id")
+    md, r = F.col("markdown"), F.pmod("doc_id", F.lit(16))
+    return both.select(
+        "document_id", F.array_join(F.array_sort(io.front_matter_keys(md)), ",").alias("front_matter"), F.array_join(io.markdown_sections(md), ",").alias("headings"),
+        F.when(r != 6, F.sha2(md, 256)).alias("markdown_sha256"), (F.struct(*fields) == F.col("was")).alias("same"),
+    )
+
+
+_FAILS = {
+    "markdown_exists": "r = 0", "source_exists": "r = 1", "file_hash_matches": "r IN (1, 2, 3)", "text_hash_matches": "r IN (1, 3)", "page_count_matches": "r IN (1, 4)", "product_name_is_specific": "r = 5",
+    "has_required_front_matter": "r IN (0, 6)", "section_count_is_16": "section_count != 16", "sections_are_1_to_16": "NOT coalesce(in_order, false)", "markdown_has_16_section_headings": "r = 0 OR NOT coalesce(in_order, false)",
+    "markdown_has_trace_note_per_section": "r = 0 OR section_count != 16", "tables_have_markdown": "bad_tables > 0", "markdown_has_trace_note_per_table": "CASE WHEN r = 0 THEN n_tables > 0 ELSE t_noted != n_tables END",
+    "images_have_files": "r = 7 AND n_images > 0", "images_have_metadata": "r = 8 AND n_images > 0", "markdown_has_trace_note_per_image": "CASE WHEN r = 0 THEN n_images > 0 ELSE i_noted != n_images END",
+    "images_have_ocr_field": "r = 9 AND n_images > 0", "no_empty_sections": "empty_sections != ''", "valid_page_ranges": "r = 10 AND section_count > 0", "no_extraction_errors": "r = 11", "no_conversion_warnings": "len(warnings) > 0",
+}
 
 
 @query(f"""
 WITH {_ASSETS_SQL}, {_WARN_SQL}, {_MD_SQL},
-ordered AS (SELECT doc_id, list(number ORDER BY place) = range(1, 17) AS in_order FROM blocks GROUP BY 1),
-c AS (SELECT document_id, empty_sections, list_filter([CASE WHEN {_ALL_16} THEN NULL ELSE 'section_count_is_16' END, CASE WHEN coalesce(in_order, false) THEN NULL ELSE 'sections_are_1_to_16' END, CASE WHEN coalesce(in_order, false) THEN NULL ELSE 'markdown_has_16_section_headings' END,
-  CASE WHEN {_ALL_16} THEN NULL ELSE 'markdown_has_trace_note_per_section' END, CASE WHEN bad_tables > 0 THEN 'tables_have_markdown' END, CASE WHEN t_noted != n_tables THEN 'markdown_has_trace_note_per_table' END,
-  CASE WHEN i_noted != n_images THEN 'markdown_has_trace_note_per_image' END, CASE WHEN empty_sections != '' THEN 'no_empty_sections' END, CASE WHEN len(warnings) > 0 THEN 'no_conversion_warnings' END], lambda x: x IS NOT NULL) AS f FROM md LEFT JOIN ordered USING (doc_id))
-SELECT document_id, array_to_string(f, '|') AS failed_checks, round(100.0::DOUBLE * (21 - len(f)) / 21, 2) AS quality_score, CASE WHEN len(f) = 0 THEN 'pass' ELSE 'review' END AS status, empty_sections, '' AS invalid_page_sections FROM c""")
+ordered AS (SELECT doc_id, list(number ORDER BY place) = range(1, 17) AS in_order, arg_min(number, place) AS first_section FROM blocks GROUP BY 1),
+c AS (SELECT document_id, empty_sections, r, first_section, list_filter([{", ".join(f"CASE WHEN {sql} THEN '{name}' END" for name, sql in _FAILS.items())}], lambda x: x IS NOT NULL) AS f
+      FROM (SELECT *, doc_id % 16 AS r FROM md LEFT JOIN ordered USING (doc_id)))
+SELECT document_id, array_to_string(f, '|') AS failed_checks, round(100.0::DOUBLE * (21 - len(f)) / 21, 2) AS quality_score, CASE WHEN len(f) = 0 THEN 'pass' ELSE 'review' END AS status, empty_sections,
+  CASE WHEN r = 10 THEN coalesce(first_section::VARCHAR, '') ELSE '' END AS invalid_page_sections FROM c""")
 def sheet_quality(t) -> DataFrame:
-    """The 21 checks of every sheet (A10) and its empty and invalid sections."""
-    m = _metadata(t).withColumn("markdown", corpus.markdown()).withColumn("source_file_sha256", F.sha2("full", 256)).withColumn("source_text_sha256", T.fingerprint(F.col("full")))
-    m = m.withColumn("source_page_count", F.col("page_count")).withColumn("asset_files", F.transform("images", lambda i: i["path"]))
+    """The 21 checks of every delivered sheet against its files and its source (A10), and its empty and invalid sections."""
+    place = _delivered(t)
+    sources = t.spark.read.parquet(f"{place}/sources").select("doc_id", F.sha2("full", 256).alias("source_file_sha256"), T.fingerprint(F.col("full")).alias("source_text_sha256"), "source_page_count")
+    files = t.spark.read.parquet(f"{place}/files").groupBy("doc_id").agg(F.collect_set("path").alias("asset_files"))  # one document's
+    m = io.read_sheets(t.spark, f"{place}/sheets", _SHEET).join(sources, "doc_id", "left").join(files, "doc_id", "left").withColumn("asset_files", F.coalesce("asset_files", F.array().cast("array<string>")))
     checks = corpus.document_checks()
     failed = F.filter(F.array(*[F.when(~ok, name) for name, ok in checks.items()]), lambda x: x.isNotNull())
     m = m.select("document_id", failed.alias("f"), F.array_join(corpus.empty_sections(F.col("sections")), ",").alias("empty_sections"), F.array_join(corpus.invalid_sections(F.col("sections"), F.col("page_count")), ",").alias("invalid_page_sections"))

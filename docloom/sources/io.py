@@ -199,6 +199,35 @@ def asset_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return files.where(~F.col("path").endswith(".DS_Store")).select("path", "length", F.sha2("content", 256).alias("sha256"), "content")
 
 
+def pretty(columns: list[str]):
+    """A row's columns as an indented JSON document that keeps its nulls (K2)."""
+    return F.to_json(F.struct(*columns), {"pretty": "true", "ignoreNullFields": "false"})
+
+
+def write_sheets(df: DataFrame, path: str) -> None:
+    """Sheets (document_id, markdown, metadata columns) as a Markdown file and a pretty JSON file for each (K2, K4).
+
+    A sheet whose markdown is null has no such file. Spark's committer makes the files of each kind appear when all are written.
+    """
+    write_markdown(df.where("markdown IS NOT NULL"), f"{path}/markdown", "document_id", "markdown")
+    others = [c for c in df.columns if c != "markdown"]
+    df.select(pretty(others).alias("value"), "document_id").write.mode("overwrite").partitionBy("document_id").text(f"{path}/metadata")
+
+
+def read_sheets(spark: SparkSession, path: str, schema: str = METADATA) -> DataFrame:
+    """What write_sheets has written: the metadata of each sheet with its Markdown, null where there is no such file.
+
+    schema: of the metadata; a JSON file that doesn't fit it fails the read.
+    """
+    parts = lambda kind: spark.read.option("basePath", f"{path}/{kind}").option("recursiveFileLookup", False)
+    metadata_ = parts("metadata").schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(f"{path}/metadata")
+    if not there(spark, f"{path}/markdown/document_id=*"):
+        return metadata_.withColumn("markdown", F.lit(None).cast("string"))
+    texts = parts("markdown").schema("value string, document_id string").text(f"{path}/markdown", wholetext=True)
+    texts = texts.select("document_id", F.regexp_replace("value", r"\n\z", "").alias("markdown"))  # the sink's own line end
+    return metadata_.join(texts, "document_id", "left")
+
+
 def write_documents(df: DataFrame, path: str, markdown: str = "markdown") -> None:
     """Markdown and metadata side by side (K4): a text file for each document, and the other columns as JSON lines."""
     write_markdown(df, f"{path}/markdown", "document_id", markdown)
