@@ -42,8 +42,9 @@ def _pages(t) -> DataFrame:
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     fact = (
         F.when(k == 1, text("Emergencia CISPROQUIM\nBogotá: 601 ", n, "\nResto del país: 01 8000 ", n, "\nTeléfono: 604 ", n))
-        .when(k == 3, text("| Tolueno | 108-88-", n % 10, " | ", n, " % |"))
-        .when(k == 8, text("Usar guantes y gafas de clase ", n))
+        .when(k == 3, text("CAS y concentración\n| Tolueno | 108-88-", n % 10, " | ", n, " % |"))
+        .when(k == 8, text("Protección respiratoria: media máscara\nUsar guantes y gafas de clase ", n))
+        .when(k == 9, text("Aspecto: líquido\nPunto de inflamación: ", n, " °C"))
         .when(k == 14, text("Número ONU: UN ", 1000 + n % 9000, "\nClase: ", n % 9, "\nGrupo de embalaje: II"))
         .otherwise(text("Nota ", n))
     )
@@ -183,7 +184,8 @@ _LINES_SQL = rf"""
 raw_lines AS (SELECT doc_id, source, unnest(range(1, len(x) + 1)) AS i, x FROM (SELECT doc_id, source, string_split(text, {_NL}) AS x FROM documents WHERE text IS NOT NULL)),
 lines AS (SELECT doc_id, i, x[i] AS line, length(x[i]) AS n, ((length(x[i]) + doc_id) % 16 + 1)::INT AS k, ((i - 1) // 6 + 1)::INT AS page FROM raw_lines),
 facts AS (SELECT *, CASE k WHEN 1 THEN 'Emergencia CISPROQUIM' || {_NL} || 'Bogotá: 601 ' || n || {_NL} || 'Resto del país: 01 8000 ' || n || {_NL} || 'Teléfono: 604 ' || n
-    WHEN 3 THEN '| Tolueno | 108-88-' || n % 10 || ' | ' || n || ' % |' WHEN 8 THEN 'Usar guantes y gafas de clase ' || n
+    WHEN 3 THEN 'CAS y concentración' || {_NL} || '| Tolueno | 108-88-' || n % 10 || ' | ' || n || ' % |' WHEN 8 THEN 'Protección respiratoria: media máscara' || {_NL} || 'Usar guantes y gafas de clase ' || n
+    WHEN 9 THEN 'Aspecto: líquido' || {_NL} || 'Punto de inflamación: ' || n || ' °C'
     WHEN 14 THEN 'Número ONU: UN ' || (1000 + n % 9000) || {_NL} || 'Clase: ' || n % 9 || {_NL} || 'Grupo de embalaje: II' ELSE 'Nota ' || n END AS fact FROM lines),
 pages AS (SELECT doc_id, page, string_agg(CASE (n * 7 + doc_id) % 4 WHEN 0 THEN 'SECCIÓN ' || k || ': ' || {_TITLE_LIST}[k] || {_NL} || fact || {_NL} || line
     WHEN 1 THEN 'Ver seccion ' || k || {_NL} || line WHEN 2 THEN line || {_NL} ELSE line END, {_NL} ORDER BY i) AS text FROM facts GROUP BY 1, 2),
@@ -630,6 +632,61 @@ def smoke_summary(t) -> DataFrame:
     return answer.smoke_summary(answer.smoke_rows(_results(t), _questions(t).withColumnRenamed("expected_terms", "required_terms")))
 
 
+# fixed values: the five questions of the smoke test, with the section and the terms that their best result must have
+SMOKE = [
+    ("emergency_phone", "telefono de emergencia CISPROQUIM", 1, ["CISPROQUIM", "Bogotá", "Resto del país"]),
+    ("ppe_section_8", "equipo de proteccion personal guantes gafas respirador seccion 8", 8, ["Protección respiratoria"]),
+    ("transport_un", "numero ONU transporte clase grupo de embalaje", 14, ["Número ONU", "Grupo de embalaje"]),
+    ("composition_cas", "composicion componentes CAS concentracion", 3, ["CAS"]),
+    ("physical_properties", "propiedades fisicas quimicas punto de inflamacion densidad", 9, ["Aspecto"]),
+]
+_FIVE_SQL = _RESULTS_SQL.replace(
+    _RESULTS_SQL[_RESULTS_SQL.index("asked0 AS") : _RESULTS_SQL.index("indexed AS")],
+    "asked AS (SELECT * FROM (VALUES " + ", ".join("('{}', '{}', {}, {})".format(i, q, s, [*x]) for i, q, s, x in SMOKE) + ") v(query_id, text, expected_section, expected_terms)),\n",
+).replace("rank <= 4", "rank <= 5")
+
+
+def _smoke_five(t) -> DataFrame:
+    asked = t.spark.createDataFrame(SMOKE, "query_id string, text string, expected_section int, required_terms array<string>")
+
+    def make() -> DataFrame:
+        index = t.index("chunks", lambda: _indexed(_chunks(t)), "content")
+        top = search.Bounded(index, asked.select("query_id", "text"), 5, sections=index["docs"].select("doc_id", "section_number")).best()
+        return top.withColumnRenamed("doc_id", "chunk_id").join(_chunks(t), "chunk_id")
+
+    return answer.smoke_rows(t.stored("smoke", make), asked.drop("text"))
+
+
+@query(f"""
+WITH RECURSIVE {_SMOKE_SQL.replace(_RESULTS_SQL, _FIVE_SQL)} SELECT query_id, expected_section::INT AS expected_section, top1_section, top1_chunk_id, top1_score, coalesce(top1_section = expected_section, false) AS expected_section_top1,
+  coalesce(in_k, false) AS expected_section_in_top_k, array_to_string(hits, '|') AS required_terms_found, len(hits) = len(expected_terms) AS required_terms_ok FROM smoke""")
+def smoke_five_rows(t) -> DataFrame:
+    """The five questions of the smoke test over all chunks."""
+    return _smoke_five(t)
+
+
+@query(f"""
+WITH RECURSIVE {_SMOKE_SQL.replace(_RESULTS_SQL, _FIVE_SQL)} SELECT count(*) AS tests, sum(coalesce(top1_section = expected_section, false)::INT)::BIGINT AS top1_section_passed, sum(coalesce(in_k, false)::INT)::BIGINT AS topk_section_passed,
+  sum((len(hits) = len(expected_terms))::INT)::BIGINT AS required_terms_passed, CASE WHEN bool_and(coalesce(in_k, false) AND len(hits) = len(expected_terms)) THEN 'pass' ELSE 'review' END AS status FROM smoke""")
+def smoke_five_summary(t) -> DataFrame:
+    """The pass rule over the five questions."""
+    return answer.smoke_summary(_smoke_five(t))
+
+
+@query(f"""
+WITH RECURSIVE {_CHUNKS_SQL}, dealt AS (SELECT CASE WHEN length(content) % 11 = 1 THEN left(chunk_id, length(chunk_id) - 1) ELSE chunk_id END AS chunk_id, CASE WHEN length(content) % 11 = 2 THEN ' ' ELSE content END AS content,
+    CASE WHEN length(content) % 11 = 3 THEN '' ELSE source_file END AS source_file, CASE WHEN length(content) % 11 = 4 THEN 0 ELSE section_number END AS section FROM chunks),
+g AS (SELECT chunk_id, bool_or(trim(content) = '') AS empty, bool_or(source_file = '' OR section = 0) AS missing_trace, count(*) AS copies FROM dealt GROUP BY 1)
+SELECT * FROM g WHERE empty OR missing_trace OR copies > 1""")
+def chunk_faults(t) -> DataFrame:
+    """Chunks without content or trace or with another's id (A8), of chunks that their length makes faulty in these ways."""
+    n = F.length("content") % 11
+    trace = F.col("trace").withField("source_file", F.when(n == 3, "").otherwise(F.col("source_file"))).withField("section", F.when(n == 4, 0).otherwise(F.col("section_number")))
+    cut_id = F.when(n == 1, F.expr("left(chunk_id, length(chunk_id) - 1)")).otherwise(F.col("chunk_id"))
+    faulty = _chunks(t).select(cut_id.alias("chunk_id"), F.when(n == 2, " ").otherwise(F.col("content")).alias("content"), trace.alias("trace"))
+    return corpus.untraced(faulty)
+
+
 # --- uploads: the documents come in three batches, each of which brings the one before again ---
 
 
