@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
@@ -30,18 +32,58 @@ def squeeze(t: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
 
 
+def _plainly_folded(text: str) -> str:
+    """What the column functions make of a letter, with Python's own of the same kind."""
+    return text.lower().replace("ß", "ss").translate(_OFF)
+
+
+def normalised(text: str) -> str:
+    """Case-folded and decomposed by compatibility, without combining marks (T4)."""
+    return "".join(x for x in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(x))
+
+
+_OFF = {ord(a): BASES[i] if i < len(BASES) else None for i, a in enumerate(ACCENTED)}
+
+
+def _beyond(same) -> str:
+    """A pattern of the characters that column functions don't fold as Python does: all but ASCII and Latin letters of which same(letter) holds."""
+    known = [c for c in range(0xA0, 0x250) if same(chr(c))]
+    return "[^\\x00-\\x7F" + "".join(f"\\u{c:04X}" for c in known) + "]"
+
+
+_FOLDED_OTHERWISE = _beyond(lambda x: _plainly_folded(x) == normalised(x))
+_CASED_OTHERWISE = _beyond(lambda x: x.lower().replace("ß", "ss") == x.casefold())
+
+
+def _or_python(t: Column, plain: Column, pattern: str, f: Callable[[str], str]) -> Column:
+    """`plain`, but f for the texts that have a character of the pattern; only these go to Python."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(f, na_action="ignore")
+
+    other = F.coalesce(t.rlike(pattern), F.lit(False))
+    return F.when(other, run(F.when(other, t))).otherwise(plain)
+
+
 def casefold(t: Column) -> Column:
+    """Case-folded as far as a column function goes, also inside a lambda: Latin letters; whole_casefold folds all."""
     return F.replace(F.lower(t), F.lit("ß"), F.lit("ss"))
 
 
+def whole_casefold(t: Column) -> Column:
+    """Case-folded: one letter may become several."""
+    return _or_python(t, casefold(t), _CASED_OTHERWISE, str.casefold)
+
+
 def strip_accents(t: Column) -> Column:
     """Letters without their marks; those that decompose into several letters stay."""
     return F.translate(t, ACCENTED, BASES)
 
 
 def fold_accents(t: Column) -> Column:
-    """Case-folded, without accents (T4)."""
-    return strip_accents(casefold(t))
+    """Case-folded and decomposed, without marks, any script (T4)."""
+    return _or_python(t, strip_accents(casefold(t)), _FOLDED_OTHERWISE, normalised)
 
 
 def fold_sections(t: Column) -> Column:
@@ -51,7 +93,7 @@ def fold_sections(t: Column) -> Column:
 
 def fingerprint(t: Column) -> Column:
     """SHA-256 of the case-folded, squeezed text."""
-    return F.sha2(squeeze(casefold(t)), 256)
+    return F.sha2(squeeze(whole_casefold(t)), 256)
 
 
 def heading(t: Column) -> Column:

@@ -84,7 +84,7 @@ def query(sql: str | None = None):
 @query(f"SELECT doc_id, sha256({_NORM.format('text')}) AS text_sha256, length({_NORM.format('text')})::INT AS norm_chars FROM documents")
 def text_fingerprint(t) -> DataFrame:
     text = F.col("text")
-    return t("documents").select("doc_id", T.fingerprint(text).alias("text_sha256"), F.length(T.squeeze(T.casefold(text))).alias("norm_chars"))
+    return t("documents").select("doc_id", T.fingerprint(text).alias("text_sha256"), F.length(T.squeeze(T.whole_casefold(text))).alias("norm_chars"))
 
 
 @query(f"""

@@ -1,3 +1,5 @@
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
@@ -58,3 +60,21 @@ def test_items_keep_their_digits(spark):
     assert df.select(facts.literal_lines(F.col("t"), ("key",), 5)).first()[0] == ["key 100", "1 key 11"]
     df = spark.createDataFrame([("Teléfono: 604 500 \nTeléfono: 11 1",)], "t string")
     assert df.select(facts.provider_phones(F.col("t"))).first()[0] == "604 500 / 11 1"
+
+
+def test_folding_is_pythons_for_every_letter_of_the_basic_plane(spark):
+    letters = [chr(c) for c in range(0x20, 0x10000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c))[0] in "LMN"]
+    texts = letters + ["ﬁn ½ Ⅳ Σας ΣΑΣ", "Straße 한국어 Ångström ﬃ", "İstanbul ŉ ǰ ß ẞ", "plain", "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = d.select("id", T.fold_accents(F.col("t")).alias("f"), T.whole_casefold(F.col("t")).alias("c")).orderBy("id").collect()
+    for r, text in zip(got, texts, strict=True):
+        if text is None:
+            assert r["f"] is None and r["c"] is None
+            continue
+        assert r["c"] == text.casefold(), text
+        assert r["f"] == "".join(x for x in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(x)), text
+
+
+def test_lines_of_a_table_and_names_of_uploads(spark):
+    assert one(spark, "| a |  \n\n  \n| b |\t", T.table_lines) in ("| a |\n| b |\t", "| a |\n| b |")
+    assert one(spark, "Año Nuevo.PDF", lambda t: T.slug(t, accents=False)) == "a-o-nuevo-pdf" and one(spark, "Año", T.slug) == "ano"
