@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from docloom.operators import corpus
 from docloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -39,5 +40,10 @@ def test_matches_oracle(spark, duck, name):
     assert [list(map(str, r)) for r in mine] == [list(map(str, r)) for r in theirs] or mine == theirs
 
 
+def test_each_of_the_21_checks_fails_somewhere(spark):
+    failed = {x for r in catalogue.QUERIES["sheet_quality"](spark, SF).collect() for x in r["failed_checks"].split("|")}
+    assert failed == set(corpus.document_checks())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docloom.operators import inverted, search
 from docloom.plans import catalogue
 from docloom.sources import io
+from docloom.streaming import ingest
 
 DOCS, ASKED = "doc_id long, text string, section_number int", "query_id long, text string"
 
@@ -162,3 +163,28 @@ def test_a_stored_step_follows_its_tables(spark, tmp_path):
     assert ask() == {"gama", "delta"}
     catalogue.Tables.clear(spark)
     assert not any(k[0] == spark.sparkContext.applicationId for k in catalogue.Tables.written) and ask() == {"gama", "delta"}
+
+
+def test_an_upload_that_fails_halfway_adds_nothing_twice(spark, tmp_path, monkeypatch):
+    schema = "doc_id long, text string"
+    chunks = lambda d: d.select(F.concat_ws("-", "doc_id", F.lit("c")).alias("doc_id"), "text", F.col("text").alias("content"))
+    up = ingest.Upload(spark, f"{tmp_path}/c", "Mi colección 1", chunks)
+    rows = [(1, "uno dos"), (2, "UNO  dos"), (3, "tres"), (4, None), (5, "")]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    whole = ingest.Upload._batch
+
+    def halfway(self, batch, number):
+        self.index.add(self.chunks_of(batch.where("doc_id = 1")), self.content)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(ingest.Upload, "_batch", halfway)
+    with pytest.raises(Exception, match="lost"):
+        up.take(f"{tmp_path}/in/*", schema)
+    monkeypatch.setattr(ingest.Upload, "_batch", whole)
+    up.take(f"{tmp_path}/in/*", schema)
+    assert plain(up.report(), "doc_id", "status") == [(1, "converted"), (2, "duplicate"), (3, "converted"), (5, "converted")]
+    spark.createDataFrame([(9, "tres"), (10, "diez")], schema).coalesce(1).write.parquet(f"{tmp_path}/in/1")
+    up.take(f"{tmp_path}/in/*", schema)
+    assert plain(up.index.tables()["docs"], "doc_id") == [("1-c",), ("10-c",), ("3-c",), ("5-c",)]
+    assert up.summary().first().asDict() == {"collection_name": "Mi colección 1", "collection_slug": "mi-coleccion-1", "manufacturer_runtime": "UPLOAD_mi-coleccion-1", "documents": 4, "chunks": 4}
+    assert spark.read.json(f"{tmp_path}/c/summary").count() == 1
