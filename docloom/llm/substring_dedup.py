@@ -299,8 +299,8 @@ def repeated_passages(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     involved = cut(asked.union(folded.where("again").select("pid")).distinct())
     places = docs.mapInArrow(_places(IdFilter(involved), IdFilter(asked)), "doc_id long, pid long, paragraph long, n_words long, shingles array<long>")
     places = cut(places.join(involved, "pid"))
-    sets = places.where("shingles IS NOT NULL").select("pid", "shingles").dropDuplicates(["pid"])
-    sets = cut(sets)
+    # the filter lets a few paragraphs through that are too short for a shingle
+    sets = cut(places.where("size(shingles) > 0").select("pid", "shingles").dropDuplicates(["pid"]))
     places = places.drop("shingles").distinct()
     links = cut(confirm(near, sets, n_near))
 

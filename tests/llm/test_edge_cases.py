@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import html_text, mixing, near_dedup, packing, quality, registry, substring_dedup, token_count, toxicity, trees, url_filter, vector_search
+from docloom.llm import common, html_text, mixing, near_dedup, packing, quality, registry, substring_dedup, token_count, toxicity, trees, url_filter, vector_search
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string"
@@ -352,3 +352,13 @@ def test_pages_in_one_pass_equal_pages_alone():
     m = html_text.model()
     pages = [html_text._Writer(5000 + k).page() for k in range(30)] + [""]
     assert list(html_text.extract(pages, m)) == [next(html_text.extract([p], m)) for p in pages]
+
+
+def test_paragraphs_too_short_for_a_shingle_have_no_set(spark, monkeypatch):
+    """A filter that lets everything through: short paragraphs and near ones side by side."""
+    monkeypatch.setattr(common.IdFilter, "__call__", lambda self, ids: np.ones(len(ids), dtype=bool))
+    near = "the quick brown fox jumps over the lazy dog while seven other dogs sleep near the old mill by the river bank today."
+    texts = [f"Yes. No way. {near} One two." for _ in range(3)] + [f"Stop. {near.replace('seven', 'eight')} Go on. Ok." for _ in range(3)] + ["Short. Tiny one.", "Ok."]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = substring_dedup.repeated_passages(d).collect()
+    assert {r["doc_id"] for r in got if r["n_words"] > 15} == set(range(6))
