@@ -98,7 +98,8 @@ class Index:
         doc_ids that the index has already, and those that repeat within the batch, are left out (of these the smallest
         row stays); an empty batch makes no version unless it is the first.
         """
-        old, buckets = self.segments(), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # no more files than a few for each core
+        old, buckets = self.segments(), min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 4 * self.spark.sparkContext.defaultParallelism)
         others = [c for c in docs.columns if c != "doc_id"]
         docs = docs.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("d")).select("doc_id", "d.*")
         if old:
