@@ -52,7 +52,6 @@ def _beyond(same) -> str:
 
 
 _FOLDED_OTHERWISE = _beyond(lambda x: _plainly_folded(x) == normalised(x))
-_CASED_OTHERWISE = _beyond(lambda x: x.lower().replace("ß", "ss") == x.casefold())
 
 
 def _or_python(t: Column, plain: Column, pattern: str, f: Callable[[str], str]) -> Column:
@@ -71,9 +70,25 @@ def casefold(t: Column) -> Column:
     return F.replace(F.lower(t), F.lit("ß"), F.lit("ss"))
 
 
+def _unlike_lower() -> dict[str, str]:
+    """What case folding makes of the lower-case letters of the basic plane that it changes, but of ß."""
+    pairs = {chr(c).lower(): chr(c).casefold() for c in range(0x80, 0x10000) if chr(c).lower() != chr(c).casefold()}
+    return {a: b for a, b in pairs.items() if a != "ß"}
+
+
+_CASED = _unlike_lower()
+_SINGLE = {a: b for a, b in _CASED.items() if len(b) == 1}
+_SEVERAL = {a: b for a, b in _CASED.items() if len(b) > 1}
+
+
 def whole_casefold(t: Column) -> Column:
     """Case-folded: one letter may become several."""
-    return _or_python(t, casefold(t), _CASED_OTHERWISE, str.casefold)
+    folded = F.translate(casefold(t), "".join(_SINGLE), "".join(_SINGLE.values()))
+    several = folded
+    for a, b in _SEVERAL.items():
+        several = F.replace(several, F.lit(a), F.lit(b))
+    several = F.when(folded.rlike("[" + "".join(f"\\u{ord(a):04X}" for a in _SEVERAL) + "]"), several).otherwise(folded)
+    return F.when(t.rlike(r"[^\x00-\x7F]"), several).otherwise(F.lower(t))
 
 
 def strip_accents(t: Column) -> Column:

@@ -51,7 +51,6 @@ class Upload:
     """
 
     SEEN = "doc_id long, text_sha256 string, folder string"
-    REPORT = "doc_id long, status string"
 
     def __init__(self, spark: SparkSession, folder: str, name: str, chunks_of: Callable[[DataFrame], DataFrame], content: str = "content"):
         """chunks_of: from documents (doc_id, text, ...) to what the index takes (doc_id, text, `content`, ...)."""
