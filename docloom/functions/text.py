@@ -45,13 +45,19 @@ def normalised(text: str) -> str:
 _OFF = {ord(a): BASES[i] if i < len(BASES) else None for i, a in enumerate(ACCENTED)}
 
 
-def _beyond(same) -> str:
-    """A pattern of the characters that column functions don't fold as Python does: all but ASCII and Latin letters of which same(letter) holds."""
-    known = [c for c in range(0xA0, 0x250) if same(chr(c))]
-    return "[^\\x00-\\x7F" + "".join(f"\\u{c:04X}" for c in known) + "]"
+def _ranges(codes, gap: int = 1) -> str:
+    """Codes in order as ranges of a pattern's character class; those at most `gap` apart share one. Few ranges are read fast."""
+    out: list[list[int]] = []
+    for c in codes:
+        if out and c - out[-1][1] <= gap:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\u{a:04X}-\\u{b:04X}" for a, b in out)
 
 
-_FOLDED_OTHERWISE = _beyond(lambda x: _plainly_folded(x) == normalised(x))
+#: A character that the column functions don't fold as Python does: any but ASCII and the Latin letters that they do.
+_FOLDED_OTHERWISE = "[^" + _ranges([*range(0x80), *(c for c in range(0xA0, 0x180) if _plainly_folded(chr(c)) == normalised(chr(c)))]) + "]"
 
 
 def _or_python(t: Column, plain: Column, pattern: str, f: Callable[[str], str]) -> Column:
@@ -84,10 +90,9 @@ _SEVERAL = {a: b for a, b in _CASED.items() if len(b) > 1}
 def whole_casefold(t: Column) -> Column:
     """Case-folded: one letter may become several."""
     folded = F.translate(casefold(t), "".join(_SINGLE), "".join(_SINGLE.values()))
-    several = folded
-    for a, b in _SEVERAL.items():
-        several = F.replace(several, F.lit(a), F.lit(b))
-    several = F.when(folded.rlike("[" + "".join(f"\\u{ord(a):04X}" for a in _SEVERAL) + "]"), several).otherwise(folded)
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _SEVERAL.items()])
+    several = F.aggregate(pairs, folded, lambda x, p: F.replace(x, p["a"], p["b"]))
+    several = F.when(folded.rlike("[" + _ranges(sorted(map(ord, _SEVERAL)), 0x400) + "]"), several).otherwise(folded)
     return F.when(t.rlike(r"[^\x00-\x7F]"), several).otherwise(F.lower(t))
 
 
@@ -98,7 +103,8 @@ def strip_accents(t: Column) -> Column:
 
 def fold_accents(t: Column) -> Column:
     """Case-folded and decomposed, without marks, any script (T4)."""
-    return _or_python(t, strip_accents(casefold(t)), _FOLDED_OTHERWISE, normalised)
+    plain = F.when(t.rlike(r"[^\x00-\x7F]"), strip_accents(casefold(t))).otherwise(F.lower(t))
+    return _or_python(t, plain, _FOLDED_OTHERWISE, normalised)
 
 
 def fold_sections(t: Column) -> Column:
