@@ -83,18 +83,20 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def before_in_order(df: DataFrame, order: str, value: str, name: str, span: int = 4096) -> DataFrame:
+def before_in_order(df: DataFrame, order: str, value: str, name: str, by: tuple[str, ...] = (), span: int = 4096) -> DataFrame:
     """df, one row for each value of the long `order`, with `name`: the sum of `value` over all rows that come before.
 
-    Rows fall into ranges of `span` places; a task orders one range, or the table of the ranges' sums.
+    With `by`, sums are of the rows that share these columns, none of which is null. Rows fall into ranges of `span` places;
+    a task orders one range, or the table of the ranges' sums.
     """
     earlier = W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     df = df.withColumn("_range", F.floor(F.col(order) / span))
-    sums = df.groupBy("_range").agg(F.sum(value).alias("_sum"))
-    before = F.sum("_sum").over(W.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
-    sums = sums.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.coalesce(F.sum(value).over(earlier.partitionBy("_range")), F.lit(0))
-    return df.withColumn("_own", own).join(sums, "_range").withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_before", "_own")
+    sums = df.groupBy(*by, "_range").agg(F.sum(value).alias("_sum"))
+    before = F.sum("_sum").over(W.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.select(*by, "_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.coalesce(F.sum(value).over(earlier.partitionBy(*by, "_range")), F.lit(0))
+    df = df.withColumn("_own", own).join(sums, [*by, "_range"]).withColumn(name, F.col("_before") + F.col("_own"))
+    return df.drop("_range", "_before", "_own")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

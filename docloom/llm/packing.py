@@ -170,9 +170,9 @@ def plan(counts: DataFrame, bin_tokens: int = BIN_TOKENS) -> DataFrame:
     # bins that come before, over all sources: sums of a table of (bin, tokens)
     per_bin = sums.groupBy("bin").agg(F.sum("in_bin").alias("all_in_bin"))
     per_bin = before_in_order(per_bin, "bin", "all_in_bin", "bin_start").select("bin", "bin_start")
-    earlier = W.partitionBy("source_rank").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    sums = before_in_order(sums, "bin", "in_bin", "served", by=("source_rank",))
     sums = sums.join(per_bin, "bin").withColumn("share", F.col("of_source") / F.col("total"))
-    sums = sums.withColumn("owed", F.col("share") * F.col("bin_start") - F.coalesce(F.sum("in_bin").over(earlier), F.lit(0)))
+    sums = sums.withColumn("owed", F.col("share") * F.col("bin_start") - F.col("served"))
     filled = c.join(sums.select("source_rank", "bin", "bin_start", "share", "owed"), ["source_rank", "bin"])
     filled = filled.select("row", "n", "source_rank", F.col("h.h").alias("h"), "bin", "total", "bin_start", "share", "owed")
     return filled.groupBy("bin").applyInPandas(pack_bin, "row long, start long, length long, sequence_id long, offset long")
