@@ -213,6 +213,29 @@ def dense_key(ids: np.ndarray) -> int:
     return int(mix(np.sort(ids).view(np.uint64)).sum(dtype=np.uint64).astype(np.int64))
 
 
+#: Shingles of a dense group that one half of a task holds; one set may be larger.
+HALF = 1 << 22
+
+
+def dense_rows(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Rows (key, id): the members of a dense group under the keys of the tasks that confirm it.
+
+    A group whose sets (sizes, in shingles) pass HALF is dealt into parts of HALF, and any two parts meet in a task of their
+    own: each pair meets somewhere, and what the tasks link is all that is linked in the group.
+    """
+    order = np.argsort(ids)
+    ids, sizes, key = ids[order], sizes[order].astype(np.int64), dense_key(ids)
+    part = (np.cumsum(sizes) - sizes) // HALF
+    _, part = np.unique(part, return_inverse=True)
+    n = int(part.max(initial=0)) + 1
+    if n == 1:
+        return np.stack([np.full(len(ids), key), ids], axis=1)
+    row, other = np.nonzero(part[:, None] != np.arange(n))
+    x, y = np.minimum(part[row], other), np.maximum(part[row], other)
+    keys = mix(np.full(len(row), key, dtype=np.int64).view(np.uint64) + mix((x * n + y + 1).astype(np.uint64)))
+    return np.stack([keys.view(np.int64), ids[row]], axis=1)
+
+
 def confirm_groups(batches):
     """Links (a, b) that join all that is linked within each group of members (id, shingles), by their full sets."""
     for batch in batches:

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import OF, SHARE, IdFilter, U, components, confirm_groups, counted, cut, dense_key, mix, shingle_hashes, short_batches, slices, slim, text_bytes, word_hashes
+from .common import OF, SHARE, IdFilter, U, components, confirm_groups, counted, cut, dense_rows, mix, shingle_hashes, short_batches, slices, slim, text_bytes, word_hashes
 
 COORDINATES = 128
 TREES = 10
@@ -140,7 +140,7 @@ def _compare(batches):
     for batch in batches:
         lists = batch.column("members")
         flat = lists.flatten()
-        who, comp, block = (flat.field(i).to_numpy() for i in (0, 1, 3))
+        who, comp, block, size = (flat.field(i).to_numpy() for i in (0, 1, 3, 4))
         signatures = _matrix(flat.field(2))
         at, pairs, groups = np.cumsum([0] + pc.list_value_length(lists).to_pylist()), [], []
         for k in range(len(at) - 1):
@@ -155,7 +155,7 @@ def _compare(batches):
             if len(i) <= 2 * len(both):
                 pairs.append(np.stack([np.minimum(who[i], who[j]), np.maximum(who[i], who[j])], axis=1))
             else:
-                groups.append(np.stack([np.full(len(both), dense_key(who[both])), who[both]], axis=1))
+                groups.append(dense_rows(who[both], size[both]))
         none = [np.zeros((0, 2), np.int64)]
         pairs, groups = np.unique(np.concatenate(pairs + none), axis=0), np.concatenate(groups + none)
         kind = np.repeat([0, 1], [len(pairs), len(groups)])
@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     features = cut(docs.mapInArrow(_features, FEATURES))
     # copies fold into the smallest doc_id of their set
     sets = features.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    one = F.min(F.struct(F.col("doc_id").alias("id"), "s1", "s2", "signature")).alias("one")
+    one = F.min(F.struct(F.col("doc_id").alias("id"), "s1", "s2", "signature", "n_shingles")).alias("one")
     solo = cut(sets.groupBy("d1", "d2").agg(one).select("d1", "d2", "one.*"))
     folded = solo.select("d1", "d2", "id")
 
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comps = cut(components(links, most_rounds=2))  # parts of components do: they only save comparisons
 
     # second pass: what is left between components
-    found, rest, signatures = None, nodes.select("path", "id"), solo.select("id", "signature")
+    found, rest, signatures = None, nodes.select("path", "id"), solo.select("id", "signature", "n_shingles")
     for round_ in range(ROUNDS + 1):
         rest = labelled(rest)
         counts = rest.groupBy("path", "component").agg(F.count("*").alias("m"))
@@ -234,14 +234,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         dealt = now.withColumn("block", block.cast("long")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), most.cast("long"))))
         x, y = F.least("block", "other"), F.greatest("block", "other")
         mark = F.when(x == y, F.lit(-1).cast("long")).otherwise(F.col("block"))
-        dealt = dealt.select("path", x.alias("x"), y.alias("y"), F.struct("id", "component", "signature", mark.alias("block")).alias("m"))
+        dealt = dealt.select("path", x.alias("x"), y.alias("y"), F.struct("id", "component", "signature", mark.alias("block"), "n_shingles").alias("m"))
         groups = dealt.groupBy("path", "x", "y").agg(F.collect_list("m").alias("members")).select("members")
         pairs = cut(groups.mapInArrow(_compare, "kind long, a long, b long").distinct())
         found = pairs if found is None else found.union(pairs)
         large = rest.where(F.col("n_out") > SMALL)
         if last or large.isEmpty():
             break
-        rest = large.select("path", "id").join(signatures, "id").mapInArrow(_grow, "path long, id long, signature binary").select("path", "id")
+        rest = large.select("path", "id").join(signatures.drop("n_shingles"), "id").mapInArrow(_grow, "path long, id long, signature binary").select("path", "id")
     pairs = found.where("kind = 0").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
     extra = confirm(pairs, docs)
     dense = cut(found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("id")).distinct())

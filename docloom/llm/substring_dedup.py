@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import OF, SHARE, SHINGLE, IdFilter, U, _LANES, components, confirm_groups, counted, cut, dense_key, mix, short_batches, slices, slim, text_bytes, word_hashes
+from .common import OF, SHARE, SHINGLE, IdFilter, U, _LANES, components, confirm_groups, counted, cut, dense_rows, mix, short_batches, slices, slim, text_bytes, word_hashes
 
 BANDS = 3
 SHORT, LONG, NEAR = 8, 40, 4
@@ -221,8 +221,8 @@ def _compare(batches):
                 pairs.append(np.stack([pid[i[few]], pid[j[few]]], axis=1))
                 for r in np.flatnonzero(many):
                     own = slice(r * len(x), (r + 1) * len(x))
-                    ids = pid[np.unique(np.concatenate([i[own][near[own]], j[own][near[own]]]))]
-                    dense.append(np.stack([np.full(len(ids), dense_key(ids)), ids], axis=1))
+                    both = np.unique(np.concatenate([i[own][near[own]], j[own][near[own]]]))
+                    dense.append(dense_rows(pid[both], size[both]))
         pairs, dense = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0), np.concatenate(dense)
         kind, rows = np.repeat([0, 1], [len(pairs), len(dense)]), np.concatenate([pairs, dense])
         yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["kind", "a", "b"])

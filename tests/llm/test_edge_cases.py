@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -362,3 +363,77 @@ def test_paragraphs_too_short_for_a_shingle_have_no_set(spark, monkeypatch):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     got = substring_dedup.repeated_passages(d).collect()
     assert {r["doc_id"] for r in got if r["n_words"] > 15} == set(range(6))
+
+
+# --- bounds ---
+
+
+@pytest.mark.parametrize("half", [3000, 700, 100])
+def test_dense_groups_in_parts_give_the_same_links(monkeypatch, half):
+    """100 sets in five families, confirmed at once and in parts of so many shingles."""
+    r = np.random.default_rng(1)
+    cores = [r.integers(1, 1 << 40, 200) for _ in range(5)]
+    sets = []
+    for k in range(100):
+        own, m = cores[k % 5].copy(), int(r.integers(0, 40))
+        own[r.choice(200, m, replace=False)] = r.integers(1, 1 << 40, m)
+        sets.append(np.unique(own))
+    ids, sizes = r.permutation(1000)[:100].astype(np.int64), np.array([len(x) for x in sets])
+    by_id = dict(zip(ids.tolist(), sets, strict=True))
+
+    def groups(rows):
+        members = collections.defaultdict(list)
+        for key, i in rows.tolist():
+            members[key].append({"id": i, "shingles": by_id[i].tolist()})
+        form = pa.list_(pa.struct([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))]))
+        batch = pa.RecordBatch.from_arrays([pa.array(list(members.values()), form)], names=["members"])
+        reach = {i: {i} for i in by_id}
+        for out in common.confirm_groups([batch]):
+            for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True):
+                if reach[a] is not reach[b]:
+                    reach[a] |= reach[b]
+                    reach.update(dict.fromkeys(reach[a], reach[a]))
+        return {frozenset(x) for x in reach.values()}, max(sum(len(m["shingles"]) for m in x) for x in members.values())
+
+    at_once, _ = groups(common.dense_rows(ids, sizes))
+    monkeypatch.setattr(common, "HALF", half)
+    rows = common.dense_rows(ids, sizes)
+    in_parts, most = groups(rows)
+    assert in_parts == at_once and len(at_once) > 5
+    assert most <= 2 * (half + sizes.max())
+    order = r.permutation(100)
+    assert sorted(common.dense_rows(ids[order], sizes[order]).tolist()) == sorted(rows.tolist())
+
+
+def test_sums_of_what_comes_before(spark):
+    rows = [(g, k, (k * 7 + g) % 11) for g in range(3) for k in range(0, 300, 1 + g)]
+    got = common.before_in_order(spark.createDataFrame(rows, "g int, k long, v long"), "k", "v", "before", by=("g",), span=16).collect()
+    assert sorted((x["g"], x["k"], x["before"]) for x in got) == [(g, k, sum(v for h, j, v in rows if h == g and j < k)) for g, k, _ in rows]
+
+
+def test_texts_of_a_hundred_thousand_words(spark, vocab):
+    """Two near copies of 10^5 words beside short texts go through every operator on texts, in full."""
+    r = random.Random(3)
+    long = words(r, 100_000, vocab)
+    other = [*long[:-50], *words(r, 50, vocab)]
+    rows = [(1, " ".join(long), "a"), (2, " ".join(other), "b"), *((k, " ".join(words(r, 60, vocab)), "a") for k in range(3, 40))]
+    docs = spark.createDataFrame(rows, DOCS).repartition(2).cache()
+    labels = spark.createDataFrame([(k, 1, int(k % 5 == 0)) for k in range(3, 40)], "doc_id long, quality int, toxic int")
+    near = {x["doc_id"]: x for x in near_dedup.near_duplicates(docs).collect()}
+    assert near[2]["component_id"] == 1 and near[1]["n_shingles"] == len({tuple(long[i : i + 5]) for i in range(len(long) - 4)})
+    assert {x["doc_id"] for x in toxicity.score(docs, labels).collect()} == set(range(1, 40))
+    judged = {x["doc_id"]: x for x in quality.judge(docs, labels).collect()}
+    assert judged[1]["n_words"] == 100_000 and judged[1]["word_chars"] == sum(map(len, long))
+    left = {x["doc_id"]: x["text"] for x in substring_dedup.remove_passages(docs).collect()}
+    assert left[1] == rows[0][1] and (2 not in left or len(left[2]) < 0.2 * len(rows[1][1]))
+    assert {x["doc_id"]: x["size"] for x in mixing.mix(docs).collect()}[1] == 100_000
+    pieces = [x for x in packing.pack(docs).collect() if x["doc_id"] == 1]
+    assert sum(x["length"] for x in pieces) == pieces[0]["doc_tokens"] > 100_000
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
