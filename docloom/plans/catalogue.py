@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators import answer, attribute, chunk, corpus, facts, inverted, search, segment
+from ..operators import answer, attribute, chunk, corpus, facts, inverted, rings, search, segment
 from ..sources import io
 from ..streaming import ingest
 
@@ -368,6 +368,15 @@ def dense_topk(t) -> DataFrame:
     return search.top_k(_dense(t), 5).select("query_id", "rank", "doc_id", "score")
 
 
+@query(f"WITH {_DENSE} SELECT query_id, rank::INT AS rank, doc_id, score FROM {_ranked('dense', 5)}")
+def ring_topk(t) -> DataFrame:
+    """The same from an index of rings around pivots, of which the triangle inequality leaves out those that can't hold one of the best."""
+    e = t("embeddings")
+    path = t.step("rings", lambda: e, rings.write)
+    q = e.where("vec_id % 20 = 0 AND embedding IS NOT NULL").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return rings.Rings(t.spark, path).best(q, 5).select("query_id", "rank", "doc_id", "score")
+
+
 def section_sql(c: str) -> str:
     """The section a folded question asks for, or null."""
 
