@@ -147,18 +147,21 @@ class Rings:
         kind = dict(queries.dtypes)["q"]
         return queries.select("query_id", "q", "least").mapInArrow(run, f"query_id long, q {kind}, ring long, n long")
 
-    def scored(self, asked: DataFrame) -> DataFrame:
-        """(query_id, doc_id, score) of all vectors of the asked rings."""
+    def scored(self, asked: DataFrame, k: int) -> DataFrame:
+        """(query_id, doc_id, score) of those vectors of the asked rings that can be among a question's best k of a cell.
+
+        A cell's vectors meet all its questions in one product of matrices.
+        """
         cells = asked.join(F.broadcast(self.rings.select("ring", "cells")), "ring")
-        cells = cells.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))).withColumn("cell", F.col("ring") * _SHIFT + F.col("part"))
-        met = self.vectors.join(cells.select("query_id", "q", "cell"), "cell").where("vec_id != query_id")
-        return met.select("query_id", F.col("vec_id").alias("doc_id"), F.round(search.dot(F.col("q"), F.col("embedding")), 6).alias("score"))
+        cells = cells.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))).select("query_id", "q", (F.col("ring") * _SHIFT + F.col("part")).alias("cell"))
+        met = self.vectors.groupBy("cell").cogroup(cells.groupBy("cell")).applyInPandas(search.dense_block(k), "query_id long, doc_id long, score double")
+        return met.withColumn("score", F.round("score", 6))
 
     def rounds(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(asked in round one, its best k, asked in round two)."""
         queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "q")
         one = self.asked(queries.withColumn("least", F.lit(None).cast("double")), k)
-        best = io.staged(search.top_k(self.scored(one), k).drop("rank"), "first")
+        best = io.staged(search.top_k(self.scored(one, k), k).drop("rank"), "first")
         kth = best.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
         two = self.asked(queries.join(kth, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")))), k)
         return one, best, two
@@ -166,7 +169,7 @@ class Rings:
     def best(self, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, doc_id, score, rank): the best k, ties to the smaller id."""
         _, best, two = self.rounds(queries, k)
-        return search.top_k(best.union(self.scored(two)), k)
+        return search.top_k(best.union(self.scored(two, k)), k)
 
     def compared(self, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, rings, n): how many rings a question is compared with in both rounds, and how many vectors these hold."""
