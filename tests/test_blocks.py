@@ -57,3 +57,31 @@ def test_folding_reads_other_letters_where_the_ranges_end(spark):
     from docloom.functions import text as T
 
     assert [r[0] for r in d.select(T.needs_python(F.col("t")).isNotNull()).collect()] == [True, False, True, False]
+
+
+def test_pieces_without_a_number_do_not_meet_in_one_task(spark):
+    from docloom.operators import chunk, segment
+
+    pages = spark.createDataFrame([(1, 1, "SECCIÓN 1: Identificacion\nx")], "doc_id long, page int, text string")
+    titles = spark.createDataFrame([(1, "Identificacion")], "number int, expected string")
+    blocks = segment.section_blocks(pages, titles, spark.createDataFrame([(1, "p")], "doc_id long, product string"))
+    none = spark.createDataFrame([], "doc_id long, section_number int, items array<struct<page:int>>")
+    for df in (blocks, chunk.with_orphans(blocks, none, none, titles), segment.best_hits(segment.section_hits(pages), titles)):
+        assert "hashpartitioning(number" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_asset_takes_the_last_anchor_above_without_a_line_of_all(spark):
+    from docloom.operators import segment
+
+    assets = spark.createDataFrame([(1, "a", 1, 10), (1, "b", 1, 1), (1, "c", 2, 5), (2, "d", 9, 0)], "doc_id long, asset_id string, page int, y0 int")
+    anchors = spark.createDataFrame([(1, 1, 14, 7), (1, 1, 14, 3), (1, 1, 15, 9), (1, 1, 6, 2)], "doc_id long, page int, y0 int, number int")
+    blocks = spark.createDataFrame([(1, 1, 4, 1, 2), (1, 2, 5, 2, 3)], "doc_id long, place int, number int, page_start int, page_end int")
+    got = segment.attribute_assets(assets, anchors, blocks)
+    assert sorted((r["asset_id"], r["section_number"]) for r in got.collect()) == [("a", 7), ("b", 4), ("c", 4), ("d", 1)]
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_buckets_follow_the_text(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inverted, "CHARS", 100)
+    docs = spark.createDataFrame([(k, "palabra " * 20) for k in range(20)], "doc_id long, text string")
+    assert inverted.Index(spark, f"{tmp_path}/index")._buckets(docs) == 32
