@@ -47,3 +47,14 @@ def test_lines_of_assets_are_read_once(spark, tmp_path, name):
     catalogue.QUERIES[name](spark, str(tmp_path)).collect()
     steps = {k[2] for k in catalogue.Tables.written if k[1] == str(tmp_path)}
     assert "assets" in steps and not steps & {"tables", "images"}
+
+
+def test_coverage_needs_no_postings(spark, tmp_path):
+    rows = [(k, f"guantes{k} gafas numero{k % 3}", "en", "s", 6) for k in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "los guantes y la gafa"), (2, "nada")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r["query_id"], r["doc_id"], r["coverage"]) for r in catalogue.QUERIES["term_coverage"](spark, str(tmp_path)).collect()}
+    assert got == {(1, k, 1.0) for k in range(20)}
+    assert {k[2] for k in catalogue.Tables.written if k[1] == str(tmp_path)} == {"words", "lexicon"}
+    spark.createDataFrame([(99, "xguantesx", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long").write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    assert (1, 99, 0.5) in {(r["query_id"], r["doc_id"], r["coverage"]) for r in catalogue.QUERIES["term_coverage"](spark, str(tmp_path)).collect()}
