@@ -69,7 +69,7 @@ class Upload:
         folders = [r[0] for r in keyed.select("folder").distinct().collect()]  # FOLDERS at most
         seen = self._seen(spark).where(F.col("folder").isin(folders)).select("folder", "text_sha256")
         new = io.staged(first.join(seen, ["folder", "text_sha256"], "left_anti").select("d.*", "text_sha256", "folder"), "new")
-        self.index.add(self.chunks_of(new.select("doc_id", *others)), self.content)
+        self.index.add(io.staged(self.chunks_of(new.select("doc_id", *others)), "chunks"), self.content)
         told = keyed.join(new.select("text_sha256", F.col("doc_id").alias("first")), "text_sha256", "left")
         status = F.when(F.col("doc_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), "converted").otherwise("duplicate")
         told.select("doc_id", status.alias("status")).write.mode("overwrite").parquet(f"{self.folder}/report/batch={number}")

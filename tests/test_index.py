@@ -103,6 +103,18 @@ def test_batches_give_the_index_of_one_go(spark, asked, tmp_path):
     assert grown.tables()["docs"].count() == 120
 
 
+def test_an_index_keeps_no_texts(spark, tmp_path):
+    """A text is not written into the index, whether ids come again or not, and words are read once for all their tables."""
+    docs = spark.createDataFrame([(1, "uno dos", "grande casa"), (2, "dos", "casa")], "doc_id long, text string, content string").withColumn("section_number", F.lit(3))
+    index = inverted.Index(spark, f"{tmp_path}/i")
+    index.add(docs, "content")
+    index.add(docs.union(docs).union(docs.withColumn("doc_id", F.lit(5).cast("long"))), "content")  # 1 and 2 again, 5 twice: its smallest row stays
+    t = index.tables()
+    assert t["docs"].columns == ["doc_id", "section_number"] and plain(t["docs"], "doc_id", "section_number") == [(1, 3), (2, 3), (5, 3)]
+    assert plain(t["words"].where("doc_id != 5"), "doc_id", "word") == [(1, "casa"), (1, "grande"), (2, "casa")]
+    assert plain(t["words"].where("doc_id = 5"), "word") == [("casa",)] and set(plain(t["lexicon"], "word")) == {("casa",), ("grande",)}
+
+
 def test_an_empty_index_answers_nothing(spark, asked, tmp_path):
     empty = inverted.Index(spark, f"{tmp_path}/e")
     assert empty.versions() == [] and empty.add(spark.createDataFrame([], DOCS)) == 1
