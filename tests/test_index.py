@@ -200,3 +200,23 @@ def test_an_upload_that_fails_halfway_adds_nothing_twice(spark, tmp_path, monkey
     assert plain(up.index.tables()["docs"], "doc_id") == [("1-c",), ("10-c",), ("3-c",), ("5-c",)]
     assert up.summary().first().asDict() == {"collection_name": "Mi colección 1", "collection_slug": "mi-coleccion-1", "manufacturer_runtime": "UPLOAD_mi-coleccion-1", "documents": 4, "chunks": 4}
     assert spark.read.json(f"{tmp_path}/c/summary").count() == 1
+
+
+def test_keys_of_several_segments_meet(spark, asked, tmp_path):
+    """Of three segments a word comes once, and each document has its norm, where no table is sent to every task."""
+    rows = [(k, f"comun uno{k % 5} dos{k % 7} tres{k}", 1) for k in range(60)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index = inverted.Index(spark, f"{tmp_path}/i")
+        for k in range(3):
+            index.add(spark.createDataFrame([r for r in rows if r[0] % 3 == k], DOCS))
+        t = index.tables()
+        words = [r["word"] for r in t["lexicon"].distinct().collect()]
+        assert sorted(words) == sorted({w for _, text, _ in rows for w in text.split() if len(w) >= 4})
+        whole = inverted.Index(spark, f"{tmp_path}/w")
+        whole.add(spark.createDataFrame(rows, DOCS))
+        assert plain(t["norms"], "doc_id") == plain(whole.tables()["norms"], "doc_id") == [(k,) for k in range(60)]
+        assert {r["doc_id"]: round(r["norm"], 9) for r in t["norms"].collect()} == {r["doc_id"]: round(r["norm"], 9) for r in whole.tables()["norms"].collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
