@@ -42,15 +42,16 @@ def ingest(spark: SparkSession, source: str, target: str, schema: str, state: st
 
 
 class Upload:
-    """A collection of uploaded documents in a folder: what has come (`documents`), what became of each row (`report`), the index
-    of the chunks, and the stream's state (S12).
+    """A collection of uploaded documents in a folder: what has come (`documents`, `texts`), what became of each row (`report`),
+    the chunks, their index, and the stream's state (S12).
 
-    A batch's texts that an earlier batch or row has brought are reported as duplicates and go no further. The index is
-    written before the fingerprints: a batch that fails between the two and comes again finds its chunks there and adds
-    none twice.
+    It has three stages, each of which takes up what the one before has left: `receive` the files, `convert` new texts to
+    chunks, `build` the index of them; `take` runs all. A batch's texts that an earlier batch or row has brought are reported
+    as duplicates and go no further. What a stage makes of a batch lies in a folder of the batch's number, which is made anew
+    if the stage failed halfway; the index leaves out chunks that it has already.
     """
 
-    SEEN = "doc_id long, text_sha256 string, folder string"
+    SEEN = "doc_id long, text_sha256 string, batch int, folder string"
 
     def __init__(self, spark: SparkSession, folder: str, name: str, chunks_of: Callable[[DataFrame], DataFrame], content: str = "content"):
         """chunks_of: from documents (doc_id, text, ...) to what the index takes (doc_id, text, `content`, ...)."""
@@ -62,27 +63,55 @@ class Upload:
 
     def _batch(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        keyed = batch.where("text IS NOT NULL").withColumn("text_sha256", T.fingerprint(F.col("text")))
-        keyed = io.staged(keyed.withColumn("folder", F.substring("text_sha256", 1, 2)), "upload")
-        others = [c for c in batch.columns if c != "doc_id"]
-        first = keyed.groupBy("text_sha256", "folder").agg(F.min(F.struct("doc_id", *others)).alias("d"))
-        folders = [r[0] for r in keyed.select("folder").distinct().collect()]  # FOLDERS at most
-        seen = self._seen(spark).where(F.col("folder").isin(folders)).select("folder", "text_sha256")
-        new = io.staged(first.join(seen, ["folder", "text_sha256"], "left_anti").select("d.*", "text_sha256", "folder"), "new")
-        self.index.add(io.staged(self.chunks_of(new.select("doc_id", *others)), "chunks"), self.content)
-        told = keyed.join(new.select("text_sha256", F.col("doc_id").alias("first")), "text_sha256", "left")
+        keyed = io.staged(batch.where("text IS NOT NULL").withColumn("text_sha256", T.fingerprint(F.col("text"))), "upload")
+        ids = keyed.select("doc_id", "text_sha256", F.substring("text_sha256", 1, 1).alias("folder"))
+        folders = [r[0] for r in ids.select("folder").distinct().collect()]  # 16 at most
+        seen = self._seen(spark).where(F.col("folder").isin(folders) & (F.col("batch") != number)).select("folder", "text_sha256")
+        first = ids.groupBy("text_sha256", "folder").agg(F.min("doc_id").alias("doc_id"))
+        first = io.staged(first.join(seen, ["folder", "text_sha256"], "left_anti").select("doc_id", "text_sha256", "folder"), "new")
+        # texts meet the ids of those that stay; rows that repeat an id and a text but for case and white space are rare
+        new, others = keyed.join(first.drop("folder"), ["doc_id", "text_sha256"]), [c for c in batch.columns if c != "doc_id"]
+        if not ids.groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty():
+            new = new.groupBy("doc_id", "text_sha256").agg(F.min(F.struct(*others)).alias("d")).select("doc_id", "d.*")
+        new.select("doc_id", *others).write.mode("overwrite").parquet(f"{self.folder}/texts/batch={number}")
+        # a file for each folder, not one for each folder and task
+        first.repartition("folder").write.mode("overwrite").partitionBy("folder").parquet(f"{self.folder}/documents/batch={number}")
+        told = ids.join(first.select("text_sha256", F.col("doc_id").alias("first")), "text_sha256", "left")
         status = F.when(F.col("doc_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), "converted").otherwise("duplicate")
         told.select("doc_id", status.alias("status")).write.mode("overwrite").parquet(f"{self.folder}/report/batch={number}")
-        new.select("doc_id", "text_sha256", "folder").write.mode("append").partitionBy("folder").parquet(f"{self.folder}/documents")
 
-    def take(self, source: str, schema: str) -> None:
-        """Takes all Parquet files below source that no earlier call has taken."""
+    def _batches(self, stage: str) -> list[int]:
+        """Numbers of the batches that a stage has done, in order."""
+        return sorted(int(p.rstrip("/").split("=")[-1]) for p in io.there(self.spark, f"{self.folder}/{stage}/batch=*", "_SUCCESS"))
+
+    def receive(self, source: str, schema: str) -> None:
+        """Takes all Parquet files below source that no earlier call has taken, and reports what becomes of their rows."""
         if not io.there(self.spark, f"{self.folder}/documents"):
-            self.spark.createDataFrame([], self.SEEN).write.mode("append").partitionBy("folder").parquet(f"{self.folder}/documents")
+            none = self.spark.range(0).select(F.col("id").alias("doc_id"), F.lit("").alias("text_sha256"), F.lit(0).alias("batch"), F.lit("").alias("folder"))
+            none.write.mode("append").partitionBy("batch", "folder").parquet(f"{self.folder}/documents")
         stream = self.spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(source)
         name = "upload_" + uuid.uuid4().hex
         query = stream.writeStream.queryName(name).option("checkpointLocation", f"{self.folder}/state").trigger(availableNow=True).foreachBatch(self._batch).start()
         query.awaitTermination()
+
+    def convert(self) -> None:
+        """Makes chunks of the texts of all batches that have none yet."""
+        done = self._batches("chunks")
+        for k in [k for k in self._batches("report") if k not in done]:
+            self.chunks_of(self.spark.read.parquet(f"{self.folder}/texts/batch={k}")).write.mode("overwrite").parquet(f"{self.folder}/chunks/batch={k}")
+
+    def build(self) -> None:
+        """Adds the chunks of all batches to the index that it has not taken yet, a segment for each batch."""
+        done = self._batches("indexed")
+        for k in [k for k in self._batches("chunks") if k not in done]:
+            self.index.add(self.spark.read.parquet(f"{self.folder}/chunks/batch={k}"), self.content)
+            self.spark.range(1).write.mode("overwrite").parquet(f"{self.folder}/indexed/batch={k}")
+
+    def take(self, source: str, schema: str) -> None:
+        """Takes all Parquet files below source that no earlier call has taken, through all stages."""
+        self.receive(source, schema)
+        self.convert()
+        self.build()
         io.write_json(self.summary(), f"{self.folder}/summary")
 
     def report(self) -> DataFrame:
@@ -91,8 +120,8 @@ class Upload:
         return self.spark.read.parquet(f"{self.folder}/report")
 
     def summary(self) -> DataFrame:
-        """One row (K8): the collection, its documents and chunks."""
+        """One row (K8): the collection, its documents and chunks, which the index holds or will hold by their ids."""
         name = self.spark.createDataFrame([(self.name,)], "collection_name string").withColumn("collection_slug", T.slug(F.col("collection_name")))
-        chunks = sum(n for n, _ in self.index.segments().values())
+        chunks = self.spark.read.parquet(f"{self.folder}/chunks").agg(F.countDistinct("doc_id").alias("chunks"))
         documents = self._seen(self.spark).agg(F.count("*").alias("documents"))
-        return documents.join(name, F.lit(True)).select("collection_name", "collection_slug", F.concat(F.lit("UPLOAD_"), "collection_slug").alias("manufacturer_runtime"), "documents", F.lit(chunks).cast("long").alias("chunks"))
+        return documents.join(name, F.lit(True)).join(chunks, F.lit(True)).select("collection_name", "collection_slug", F.concat(F.lit("UPLOAD_"), "collection_slug").alias("manufacturer_runtime"), "documents", "chunks")

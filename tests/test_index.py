@@ -220,3 +220,24 @@ def test_keys_of_several_segments_meet(spark, asked, tmp_path):
         assert {r["doc_id"]: round(r["norm"], 9) for r in t["norms"].collect()} == {r["doc_id"]: round(r["norm"], 9) for r in whole.tables()["norms"].collect()}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_an_upload_reports_and_counts_without_its_index(spark, tmp_path):
+    """Each stage takes up what the one before has left; a batch that comes again says what it said; fingerprints lie in a file a folder."""
+    schema = "doc_id long, text string"
+    chunks = lambda d: d.select(F.concat_ws("-", "doc_id", F.lit("c")).alias("doc_id"), "text", F.col("text").alias("content"))
+    up = ingest.Upload(spark, f"{tmp_path}/c", "c", chunks)
+    rows = [(k, f"texto {k % 300}") for k in range(400)] + [(1, "TEXTO 1"), (1, "texto 1")]
+    spark.createDataFrame(rows, schema).repartition(8).write.parquet(f"{tmp_path}/in/0")
+    up.receive(f"{tmp_path}/in/*", schema)
+    told = plain(up.report(), "doc_id", "status")
+    assert told == sorted((k, "converted" if k < 300 else "duplicate") for k, _ in rows)
+    assert not io.there(spark, f"{tmp_path}/c/chunks") and not up.index.versions()
+    up._batch(spark.createDataFrame(rows, schema), 0)
+    assert plain(up.report(), "doc_id", "status") == told
+    files = io.there(spark, f"{tmp_path}/c/documents/batch=0/folder=*/*.parquet")
+    assert len(files) == len({f.rsplit("/", 2)[1] for f in files})
+    up.convert()
+    assert not up.index.versions() and (up.summary().first()["documents"], up.summary().first()["chunks"]) == (300, 300)
+    up.build()
+    assert up.index.tables()["docs"].count() == 300
