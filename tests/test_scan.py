@@ -48,7 +48,7 @@ def test_more_questions_than_a_block_meet_in_blocks(spark, monkeypatch):
     assert plain(search.Bounded(texts, asked, 3).best(), "query_id", "rank", "doc_id", "score") == whole
 
 
-@pytest.mark.parametrize("name", ["chunk_search", "smoke_five_rows"])
+@pytest.mark.parametrize("name", ["lexical_fallback", "tfidf_search", "hybrid_search", "chunk_search", "smoke_five_rows"])
 def test_a_search_writes_no_index(spark, tmp_path, monkeypatch, name):
     """No postings of all terms; questions too many to be sent to the tasks are put to an index, with the same rows."""
     rows = [(k, f"guantes{k} gafas numero{k % 3}\nproteccion personal {k}", "en", "s", 6) for k in range(24)]
