@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators import inverted
+from ..operators import inverted, scan, search
 from ..sources import io
 
 FOLDERS = 256
@@ -46,7 +46,8 @@ class Upload:
     the chunks, their index, and the stream's state (S12).
 
     It has three stages, each of which takes up what the one before has left: `receive` the files, `convert` new texts to
-    chunks, `build` the index of them; `take` runs all. A batch's texts that an earlier batch or row has brought are reported
+    chunks, `build` the index of them; `take` runs all. A stated set of questions needs no index: `count` keeps the frequencies of
+    each batch's terms, and `texts` are the chunks with the frequencies of all batches. A batch's texts that an earlier batch or row has brought are reported
     as duplicates and go no further. What a stage makes of a batch lies in a folder of the batch's number, which is made anew
     if the stage failed halfway; the index leaves out chunks that it has already.
     """
@@ -54,7 +55,7 @@ class Upload:
     SEEN = "doc_id long, text_sha256 string, batch int, folder string"
 
     def __init__(self, spark: SparkSession, folder: str, name: str, chunks_of: Callable[[DataFrame], DataFrame], content: str = "content"):
-        """chunks_of: from documents (doc_id, text, ...) to what the index takes (doc_id, text, `content`, ...)."""
+        """chunks_of: from documents (doc_id, text, ...) to what the index takes (doc_id, text, `content`, ...), or to what scan.Texts does (doc_id, head, text, ...)."""
         self.spark, self.folder, self.name, self.chunks_of, self.content = spark, folder, name, chunks_of, content
         self.index = inverted.Index(spark, f"{folder}/index")
 
@@ -104,9 +105,36 @@ class Upload:
         """Adds the chunks of all batches to the index that it has not taken yet, a segment for each batch."""
         done = self._batches("indexed")
         for k in [k for k in self._batches("chunks") if k not in done]:
-            self.index.add(self.spark.read.parquet(f"{self.folder}/chunks/batch={k}"), self.content)
+            chunks = self.spark.read.parquet(f"{self.folder}/chunks/batch={k}")
+            self.index.add(scan.whole(chunks) if "head" in chunks.columns else chunks, self.content)
             self.spark.range(1).write.mode("overwrite").parquet(f"{self.folder}/indexed/batch={k}")
 
+    def _new(self, number: int) -> DataFrame:
+        """The chunks that a batch is the first to bring, each once."""
+        read = lambda k: self.spark.read.parquet(f"{self.folder}/chunks/batch={k}")
+        docs, ids = search.once(read(number)), read(number).select("doc_id")
+        for k in [k for k in self._batches("chunks") if k < number]:
+            if not ids.join(read(k), "doc_id", "left_semi").isEmpty():
+                docs = docs.join(read(k).select("doc_id"), "doc_id", "left_anti")
+        return docs
+
+    def count(self) -> None:
+        """Counts the terms of the chunks of all batches whose terms are not counted yet, each batch apart."""
+        done = self._batches("terms")
+        for k in [k for k in self._batches("chunks") if k not in done]:
+            scan.frequencies(scan.spread(self._new(k))).write.mode("overwrite").parquet(f"{self.folder}/terms/batch={k}")
+
+    def texts(self) -> scan.Texts:
+        """The chunks of all batches that `count` has seen, with the frequencies of their terms."""
+        batches = self._batches("terms")
+        df = self.spark.read.parquet(*[f"{self.folder}/terms/batch={k}" for k in batches])
+        if len(batches) > 1:
+            df = io.staged(df.groupBy("hash").agg(F.sum("df").alias("df")), "terms")
+        docs = self._new(batches[0])
+        for k in batches[1:]:
+            docs = docs.unionByName(self._new(k))
+        return scan.Texts(scan.spread(docs), df)
+
     def take(self, source: str, schema: str) -> None:
         """Takes all Parquet files below source that no earlier call has taken, through all stages."""
         self.receive(source, schema)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from docloom.operators import inverted, scan, search
 from docloom.plans import catalogue, sheets  # noqa: F401  (sheets adds its queries)
 from docloom.sources import io
+from docloom.streaming import ingest
 
 from .test_index import ASKED, DOCS, plain, topics
 
@@ -61,3 +62,19 @@ def test_a_search_writes_no_index(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(catalogue, "ASKED", 0)
     catalogue.Tables.clear(spark)
     assert ask() == got and [k for k in catalogue.Tables.written if k[1] == str(tmp_path) and k[2].startswith("index")]
+
+
+def test_batches_of_an_upload_add_their_terms(spark, tmp_path):
+    """A chunk that comes again counts once; the rows are those of the chunks in one go, and no index is written."""
+    schema = "doc_id long, text string"
+    chunks = lambda d: d.select(F.concat_ws("-", "doc_id", F.lit("c")).alias("doc_id"), F.concat(F.lit("Documento "), "doc_id", F.lit("\n")).alias("head"), "text", F.lit(3).alias("section_number"))
+    up = ingest.Upload(spark, f"{tmp_path}/c", "c", chunks)
+    parts = [[(1, "guantes y gafas"), (2, "gafas"), (3, "tres")], [(2, "otros guantes"), (4, "cuatro gafas"), (5, "GUANTES y gafas")], [(6, "guantes")]]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        up.receive(f"{tmp_path}/in/*", schema)
+    up.convert(), up.count(), up.count()
+    kept = spark.createDataFrame([*parts[0], (4, "cuatro gafas"), (6, "guantes")], schema)  # 2 came before with another text, 5 is the text of 1
+    asked = spark.createDataFrame([(1, "gafas y guantes"), (2, "documento 4")], ASKED)
+    rows = [plain(search.Bounded(x, asked, 4).best(), "query_id", "rank", "doc_id", "score") for x in (up.texts(), inverted.tables(scan.whole(chunks(kept)), "content"))]
+    assert rows[0] == rows[1] and len(rows[0]) == 8 and not up.index.versions()
