@@ -78,3 +78,19 @@ def test_batches_of_an_upload_add_their_terms(spark, tmp_path):
     asked = spark.createDataFrame([(1, "gafas y guantes"), (2, "documento 4")], ASKED)
     rows = [plain(search.Bounded(x, asked, 4).best(), "query_id", "rank", "doc_id", "score") for x in (up.texts(), inverted.tables(scan.whole(chunks(kept)), "content"))]
     assert rows[0] == rows[1] and len(rows[0]) == 8 and not up.index.versions()
+
+
+def test_sheet_files_exchange_no_texts(spark, tmp_path):
+    """What is read of a sheet's files meets by its id as hashes; what sheets come from isn't made, their Markdown isn't stored twice."""
+    rows = [(k, f"Línea {k}\n" + "x" * (4 * k) + "\notra\n" * (k % 5), "en", "s", 6) for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    df = catalogue.QUERIES["sheet_files"](spark, str(tmp_path))
+    read = df.collect()
+    assert len(read) == 40 and {r["same"] for r in read} == {True, False}
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while "Join" not in plan.nodeName():
+        plan = plan.children().head()
+    assert {a.split("#")[0] for a in plan.output().mkString(" ").split()} <= {"document_id", "doc_id", "read", "was", "front_matter", "headings", "sha"}
+    steps = {k[2]: v[0] for k, v in catalogue.Tables.written.items() if k[1] == str(tmp_path)}
+    assert "origins" not in steps and "markdown" not in spark.read.parquet(steps["sheets"]).columns
+    assert {f.rsplit(".", 1)[1] for f in io.there(spark, f"{steps['delivered']}/m*/part-*")} == {"gz"}
